@@ -13,6 +13,16 @@ TRACKING_PARAMS = [
     "fbclid", "gclid", "msclkid",
 ]
 
+# Shops a URL host belongs to, with and without "www.".
+SOURCE_DOMAINS = {
+    "electronet.gr": "electronet", "www.electronet.gr": "electronet",
+    "skroutz.gr": "skroutz", "www.skroutz.gr": "skroutz",
+    "bestprice.gr": "bestprice", "www.bestprice.gr": "bestprice",
+    "public.gr": "public", "www.public.gr": "public",
+    "kotsovolos.gr": "kotsovolos", "www.kotsovolos.gr": "kotsovolos",
+    "plaisio.gr": "plaisio", "www.plaisio.gr": "plaisio",
+}
+
 URL_PATTERN = "(?s)^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(\\?[^#]*)?(#.*)?$"
 
 
@@ -94,3 +104,18 @@ def canonical_url(url: Column) -> Column:
 
 def canonical_url_hash(url: Column) -> Column:
     return F.sha2(canonical_url(url), 256)
+
+
+def source_name(url: Column) -> Column:
+    """Shop a URL belongs to, ``unknown`` for any other host."""
+    table = F.create_map(*[F.lit(x) for pair in SOURCE_DOMAINS.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, url_host(url)), F.lit("unknown"))
+
+
+# ------------------------------------------------------------- shape rules
+def redirect_path(url_or_slug: Column) -> Column:
+    """Path part of a URL, or the slug with one leading slash; empty for no value."""
+    text = trim_text(url_or_slug)
+    path = F.when(text.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), url_path(text)).otherwise(text)
+    clean = F.regexp_replace(path, "^/+|/+$", "")
+    return F.when(clean != "", F.concat(F.lit("/"), clean)).otherwise(F.lit(""))

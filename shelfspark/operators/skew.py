@@ -31,6 +31,35 @@ def first_row(
     return picked.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in names])
 
 
+def last_row(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """One row per key: the largest by ``order`` (NULL counts as smallest)."""
+    names = [c for c in (columns or df.columns) if c not in keys]
+    rank = F.struct(*order, *[F.col(c) for c in names])
+    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*names), rank).alias("_last"))
+    return picked.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in names])
+
+
+def flag_first(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str = "is_first"
+) -> DataFrame:
+    """All rows, with a mark on the first of every key; ``order`` identifies a row.
+
+    The first is found by an aggregate and joined back. The joined side has one row
+    per key, so a hot key is split by the adaptive skew join.
+    """
+    firsts = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_least"))
+    return (
+        df.join(firsts, list(keys))
+        .withColumn(flag, F.struct(*order) == F.col("_least"))
+        .drop("_least")
+    )
+
+
 def top_rows(
     df: DataFrame,
     keys: Sequence[str],

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from shelfspark.plans import catalog_queries, monitoring_queries  # noqa: F401
+from shelfspark.plans import catalog_queries, monitoring_queries, registry_queries  # noqa: F401

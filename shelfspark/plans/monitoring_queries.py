@@ -325,7 +325,7 @@ def _(v):
          UNION ALL SELECT product_id, run_id, store, price, url, 1 FROM offers_v WHERE shipping IS NOT NULL
          UNION ALL SELECT product_id, run_id, store, price, url, 2 FROM raw_payloads_v WHERE product_id % 5 <> 4 AND price > 0 AND url <> ''
          UNION ALL SELECT product_id, run_id, store, price, url, 3 FROM offers_v)
-       SELECT product_id, run_id, store, cast(price AS double) AS price, url, tier FROM t
+       SELECT product_id, run_id, store, cast(price AS double) AS price, url, cast(tier AS bigint) AS tier FROM t
        QUALIFY tier = min(tier) OVER (PARTITION BY product_id, run_id)""",
 )
 def _(v):
