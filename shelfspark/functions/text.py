@@ -35,6 +35,8 @@ HTML_ENTITIES = {
     "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'",
     "&euro;": "€", "&amp;": "&",
 }
+# Characters that count as blank at the ends of a text.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NBSP_CLASS = "[\\u00A0\\u202F\\u2007]"
 SPACES = "(?U)\\s+"
 
@@ -63,7 +65,7 @@ def _all(col: Column, pairs) -> Column:
 # -------------------------------------------------------------------- spacing
 def trim_text(col: Column) -> Column:
     """Trimmed text; NULL reads as empty."""
-    return F.regexp_replace(F.coalesce(col, F.lit("")), "(?U)^\\s+|\\s+$", "")
+    return F.trim(F.coalesce(col, F.lit("")), F.lit(BLANKS))
 
 
 def collapse_spaces(col: Column) -> Column:

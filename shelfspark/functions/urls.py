@@ -23,32 +23,75 @@ SOURCE_DOMAINS = {
     "plaisio.gr": "plaisio", "www.plaisio.gr": "plaisio",
 }
 
-URL_PATTERN = "(?s)^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(\\?[^#]*)?(#.*)?$"
-
-
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(trim_text(url), URL_PATTERN, group)
+def bind(value: Column, use) -> Column:
+    """``use(x)`` with ``value`` worked out once, however often ``x`` appears."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _with_parts(url: Column, use) -> Column:
+    """``use(p)`` over scheme, host, port, path and query of a URL text."""
+
+    def cut(text: Column) -> Column:
+        plain = F.substring_index(text, "#", 1)
+        head = F.substring_index(plain, "?", 1)
+        scheme = F.substring_index(head, "://", 1)
+        return F.struct(
+            text.alias("text"), F.lower(scheme).alias("scheme"),
+            F.substr(head, F.length(scheme) + 4).alias("rest"),
+            F.substr(plain, F.length(head) + 2).alias("query"),
+        )
+
+    def split_rest(p: Column) -> Column:
+        authority = F.substring_index(p["rest"], "/", 1)
+        return F.struct(
+            p["text"].alias("text"), p["scheme"].alias("scheme"), p["query"].alias("query"),
+            F.lower(F.substring_index(authority, "@", -1)).alias("place"),
+            F.substr(p["rest"], F.length(authority) + 1).alias("path"),
+        )
+
+    def split_port(p: Column) -> Column:
+        has_port = F.contains(p["place"], F.lit(":")) & ~F.endswith(p["place"], F.lit("]"))
+        port = F.when(has_port, F.substring_index(p["place"], ":", -1)).otherwise("")
+        host = F.when(has_port, F.regexp_replace(p["place"], ":[^:]*$", "")).otherwise(p["place"])
+        return F.struct(
+            p["text"].alias("text"), p["scheme"].alias("scheme"), p["path"].alias("path"),
+            p["query"].alias("query"), host.alias("host"), port.alias("port"),
+        )
+
+    whole = bind(trim_text(url), lambda t: bind(cut(t), lambda p: bind(split_rest(p), split_port)))
+    return bind(whole, use)
 
 
 def url_host(url: Column) -> Column:
-    authority = F.regexp_replace(_part(url, 2), "^.*@", "")
-    return F.lower(F.regexp_replace(authority, ":[0-9]*$", ""))
+    return _with_parts(url, lambda p: p["host"])
 
 
 def url_path(url: Column) -> Column:
-    return _part(url, 3)
+    return _with_parts(url, lambda p: p["path"])
+
+
+def _error(p: Column) -> Column:
+    return (
+        F.when(p["text"] == "", "url_required")
+        .when(~p["scheme"].isin("http", "https"), "unsupported_scheme")
+        .when(p["host"] == "", "missing_host")
+        .when(p["host"].rlike("\\s"), "malformed_host")
+        .when((p["port"] != "") & ~p["port"].rlike("^[0-9]{1,5}$"), "invalid_port")
+    )
 
 
 def url_error(url: Column) -> Column:
     """Why a URL is refused; NULL when it is usable."""
-    text = trim_text(url)
-    port = F.regexp_extract(_part(url, 2), ":([^:\\]]*)$", 1)
-    return (
-        F.when(text == "", "url_required")
-        .when(~F.lower(_part(url, 1)).isin("http", "https"), "unsupported_scheme")
-        .when(url_host(url) == "", "missing_host")
-        .when(url_host(url).rlike("\\s"), "malformed_host")
-        .when((port != "") & ~port.rlike("^[0-9]{1,5}$"), "invalid_port")
+    return _with_parts(url, _error)
+
+
+def url_forms(url: Column) -> Column:
+    """Struct of error, host and registry form, worked out together."""
+    return _with_parts(
+        url,
+        lambda p: F.struct(
+            _error(p).alias("error"), p["host"].alias("host"), _rebuild(p, p["path"]).alias("normalized")
+        ),
     )
 
 
@@ -59,47 +102,42 @@ def _encode(text: Column) -> Column:
     )
 
 
-def _clean_query(url: Column) -> Column:
-    query = F.regexp_replace(_part(url, 4), "^\\?", "")
-    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
-    decoded = F.transform(
-        pairs,
+def _decode(text: Column) -> Column:
+    return F.coalesce(F.try_url_decode(text), text)
+
+
+def _clean_query(query: Column) -> Column:
+    pairs = F.transform(
+        F.filter(F.split(query, "&"), lambda p: p != ""),
         lambda p: F.struct(
-            F.coalesce(F.try_url_decode(F.regexp_extract(p, "^[^=]*", 0)), p).alias("k"),
-            F.coalesce(
-                F.try_url_decode(F.regexp_extract(p, "^[^=]*=?(.*)$", 1)),
-                F.regexp_extract(p, "^[^=]*=?(.*)$", 1),
-            ).alias("v"),
+            _decode(F.regexp_extract(p, "^[^=]*", 0)).alias("k"),
+            _decode(F.regexp_extract(p, "^[^=]*=?(.*)$", 1)).alias("v"),
         ),
     )
-    kept = F.filter(decoded, lambda p: ~F.lower(F.trim(p["k"])).isin(TRACKING_PARAMS))
+    kept = F.filter(pairs, lambda p: ~F.lower(F.trim(p["k"])).isin(TRACKING_PARAMS))
     return F.array_join(
         F.transform(kept, lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&"
     )
 
 
-def _rebuild(url: Column, path: Column) -> Column:
-    port = F.regexp_extract(_part(url, 2), ":([0-9]+)$", 1)
-    query = _clean_query(url)
+def _rebuild(p: Column, path: Column) -> Column:
+    query = F.when(p["query"] != "", _clean_query(p["query"])).otherwise("")
+    port = F.when(p["port"] != "", F.concat(F.lit(":"), p["port"].try_cast("int").cast("string")))
     whole = F.concat(
-        F.lower(_part(url, 1)),
-        F.lit("://"),
-        url_host(url),
-        F.when(port != "", F.concat(F.lit(":"), port.try_cast("int").cast("string"))).otherwise(""),
-        path,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
+        p["scheme"], F.lit("://"), p["host"], F.coalesce(port, F.lit("")), path,
+        bind(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")),
     )
-    return F.when(url_error(url).isNull(), whole)
+    return F.when(_error(p).isNull(), whole)
 
 
 def normalize_url(url: Column) -> Column:
     """Registry form: lower scheme and host, no fragment, no tracking; path untouched."""
-    return _rebuild(url, _part(url, 3))
+    return _with_parts(url, lambda p: _rebuild(p, p["path"]))
 
 
 def canonical_url(url: Column) -> Column:
     """Capture form: as ``normalize_url`` and without trailing slashes."""
-    return _rebuild(url, F.regexp_replace(_part(url, 3), "/+$", ""))
+    return _with_parts(url, lambda p: _rebuild(p, F.regexp_replace(p["path"], "/+$", "")))
 
 
 def canonical_url_hash(url: Column) -> Column:

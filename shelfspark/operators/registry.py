@@ -13,10 +13,10 @@ from pyspark.sql import types as T
 from shelfspark.functions.money import lenient_decimal, share_percent
 from shelfspark.functions.text import collapse_spaces, trim_text
 from shelfspark.functions.urls import (
-    canonical_url, canonical_url_hash, normalize_url, source_name, url_error, url_host,
+    canonical_url, canonical_url_hash, normalize_url, source_name, url_forms,
 )
 from shelfspark.operators.catalog import URL_STATUSES, labels
-from shelfspark.operators.skew import first_row, flag_first, last_row
+from shelfspark.operators.skew import first_row, last_row
 
 URL_TYPES = ["manual", "imported", "discovered"]
 # Trust levels whose URLs are captured with full confidence.
@@ -168,13 +168,14 @@ def find_existing_candidates(incoming: DataFrame, stored: DataFrame) -> DataFram
 
 # --------------------------------------------------------------------- import
 def with_url_forms(rows: DataFrame, url: str = "url") -> DataFrame:
-    return rows.withColumns(
+    forms = rows.withColumn("_forms", url_forms(F.col(url)))
+    return forms.withColumns(
         {
-            "url_error": url_error(F.col(url)),
-            "url_normalized": normalize_url(F.col(url)),
-            "source_domain": url_host(F.col(url)),
+            "url_error": F.col("_forms.error"),
+            "url_normalized": F.col("_forms.normalized"),
+            "source_domain": F.col("_forms.host"),
         }
-    )
+    ).drop("_forms")
 
 
 def union_feeds(feeds: dict[str, DataFrame]) -> DataFrame:
@@ -197,29 +198,39 @@ def import_report(evidence: DataFrame, existing: DataFrame, order: Sequence[str]
         .when(F.col("resolved_id").isNull(), "unresolved_identity")
         .when(F.col("url_error").isNotNull(), "invalid_url")
     )
-    judged = evidence.withColumn("reason", reason)
-    skipped = judged.where(F.col("reason").isNotNull()).withColumn("action", F.lit("skipped"))
-    usable = judged.where(F.col("reason").isNull())
-    flagged = flag_first(usable, ["resolved_id", "url_normalized"], list(order))
+    judged = evidence.withColumn("skip", reason)
+    keys = ["resolved_id", "url_normalized"]
+    usable = judged.where(F.col("skip").isNull())
+    firsts = usable.groupBy(*keys).agg(F.min(F.struct(*order)).alias("least"))
+    # Skipped rows meet nothing below: their join key is made NULL.
     stored = existing.select(
         F.col("product_id").alias("resolved_id"), "url_normalized", F.struct(*MERGE_FIELDS).alias("old")
     )
-    new = F.struct(*[F.col(c) for c in MERGE_FIELDS if c != "url_normalized"])
-    merged = flagged.join(stored, ["resolved_id", "url_normalized"], "left").withColumn("new", new)
-    changed = F.size(changed_fields(F.col("old"), F.col("new"))) > 0
+    targets = firsts.join(stored, keys, "left").select(
+        F.col("resolved_id").alias("_id"), F.col("url_normalized").alias("_url"), "least", "old"
+    )
+    met = judged.join(
+        targets,
+        (F.when(F.col("skip").isNull(), F.col("resolved_id")) == F.col("_id"))
+        & (F.col("url_normalized") == F.col("_url")),
+        "left",
+    )
+    new = F.struct(*MERGE_FIELDS)
     action = (
-        F.when(~F.col("is_first"), "duplicate")
+        F.when(F.col("skip").isNotNull(), "skipped")
+        .when(F.struct(*order) != F.col("least"), "duplicate")
         .when(F.col("old").isNull(), "created")
-        .when(changed, "updated")
+        .when(F.size(changed_fields(F.col("old"), new)) > 0, "updated")
         .otherwise("duplicate")
     )
-    done = merged.withColumns(
-        {
-            "action": action,
-            "reason": F.when(~F.col("is_first"), "duplicate_candidate").when(action == "duplicate", "already_exists"),
-        }
+    why = F.when(F.struct(*order) != F.col("least"), "duplicate_candidate").when(
+        F.col("action") == "duplicate", "already_exists"
+    )
+    return (
+        met.withColumn("action", action)
+        .withColumn("reason", F.coalesce("skip", why))
+        .drop("skip", "_id", "_url", "least", "old")
     )
-    return skipped.unionByName(done.drop("is_first", "old", "new"), allowMissingColumns=True)
 
 
 def import_counters(report: DataFrame, apply: bool = True) -> DataFrame:
