@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfspark.functions.common import bind
 from shelfspark.functions.text import trim_text
 
 # Query parameters that only track a visit.
@@ -23,11 +24,6 @@ SOURCE_DOMAINS = {
     "plaisio.gr": "plaisio", "www.plaisio.gr": "plaisio",
 }
 
-def bind(value: Column, use) -> Column:
-    """``use(x)`` with ``value`` worked out once, however often ``x`` appears."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _with_parts(url: Column, use) -> Column:
     """``use(p)`` over scheme, host, port, path and query of a URL text."""
 
@@ -157,3 +153,66 @@ def redirect_path(url_or_slug: Column) -> Column:
     path = F.when(text.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), url_path(text)).otherwise(text)
     clean = F.regexp_replace(path, "^/+|/+$", "")
     return F.when(clean != "", F.concat(F.lit("/"), clean)).otherwise(F.lit(""))
+
+
+REVIEW_TITLE = "(?iu)(\\breview\\b|Αξιολόγησε|Αξιολογήστε)"
+NON_PRODUCT_WORDS = "(?i)(collection|promo|campaign|banner)"
+# Path parts of pages that list, sell or explain, but show no single product.
+NON_PRODUCT_PATHS = [
+    "/search", "/category", "/categories", "/cat/", "/cart", "/checkout", "/account",
+    "/login", "/blog", "/compare", "/wishlist", "/discussion",
+]
+
+
+def without_query(url: Column) -> Column:
+    """Lower scheme and host plus path; empty for a text that is no URL."""
+    plain = _with_parts(
+        url,
+        lambda p: F.concat(
+            p["scheme"], F.lit("://"), p["host"],
+            F.when(p["port"] != "", F.concat(F.lit(":"), p["port"])).otherwise(""), p["path"],
+        ),
+    )
+    return F.when(url_host(url) != "", plain).otherwise("")
+
+
+def url_rejection(url: Column) -> Column:
+    """Why a URL is no product page by its words; empty when nothing speaks against it."""
+    path = F.regexp_replace(F.coalesce(F.try_url_decode(url_path(url)), url_path(url)), "/+$", "")
+    words = F.coalesce(F.try_url_decode(url), url)
+    return (
+        F.when(F.lower(path).rlike("(/|^)review$"), "url_ends_with_review")
+        .when(words.rlike(NON_PRODUCT_WORDS), "url_contains_non_product_marker")
+        .otherwise("")
+    )
+
+
+def page_rejection(candidate: Column, canonical: Column, title: Column) -> Column:
+    by_candidate, by_canonical = url_rejection(candidate), url_rejection(canonical)
+    return (
+        F.when(by_candidate != "", F.concat(F.lit("candidate_"), by_candidate))
+        .when(by_canonical != "", F.concat(F.lit("canonical_"), by_canonical))
+        .when(title.rlike(REVIEW_TITLE), "title_contains_review_marker")
+        .otherwise("")
+    )
+
+
+def is_product_url(url: Column, domain: Column, allow: Column, block: Column) -> Column:
+    """Does a URL have the shape of a product page of its source?
+
+    ``allow`` and ``block`` are the source's patterns joined by ``|``; an empty block
+    pattern blocks nothing.
+    """
+    host, plain = url_host(url), without_query(url)
+    same_host = (host == F.lower(domain)) | (host == F.regexp_replace(F.lower(domain), "^www[.]", ""))
+    blocked = (block != "") & F.regexp(plain, F.concat(F.lit("(?i)"), block))
+    allowed = F.regexp(plain, F.concat(F.lit("(?i)"), allow))
+    return same_host & (url_rejection(url) == "") & ~blocked & allowed
+
+
+def looks_like_product_path(path: Column) -> Column:
+    low = F.lower(F.trim(path))
+    listed = F.lit(False)
+    for part in NON_PRODUCT_PATHS:
+        listed = listed | F.contains(low, F.lit(part))
+    return ~low.isin("", "/") & ~listed

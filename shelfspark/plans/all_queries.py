@@ -1,3 +1,8 @@
 """Importing this module registers every query."""
 
-from shelfspark.plans import catalog_queries, monitoring_queries, registry_queries  # noqa: F401
+from shelfspark.plans import (  # noqa: F401
+    catalog_queries,
+    matching_queries,
+    monitoring_queries,
+    registry_queries,
+)
