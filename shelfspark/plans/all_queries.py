@@ -1,6 +1,7 @@
 """Importing this module registers every query."""
 
 from shelfspark.plans import (  # noqa: F401
+    attribute_queries,
     catalog_queries,
     matching_queries,
     monitoring_queries,
