@@ -66,14 +66,20 @@ def _soft_keys(tokens: Column, side: str) -> Column:
 
 def prepare_paths(paths: DataFrame) -> DataFrame:
     """Taxonomy paths with their match keys and word lists."""
-    return paths.select(
-        "path", "parent", "leaf", "sub", "url",
+    keyed = paths.select(
+        "path", "parent", "leaf", "sub",
         match_key(F.col("parent")).alias("parent_key"),
         match_key(F.col("leaf")).alias("leaf_key"),
         match_key(F.coalesce("sub", F.lit(""))).alias("sub_key"),
         match_key(F.col("path")).alias("path_key"),
         F.array_distinct(words(match_key(F.col("url")))).alias("url_words"),
     )
+    return keyed.withColumns(
+        {
+            "leaf_words": F.array_distinct(words(F.col("leaf_key"))),
+            "sub_words": F.array_distinct(words(F.col("sub_key"))),
+        }
+    )
 
 
 def _with_rare_word(paths: DataFrame) -> DataFrame:
@@ -81,7 +87,7 @@ def _with_rare_word(paths: DataFrame) -> DataFrame:
 
     A crumb that holds all words of a sub-category holds this one, so it is enough to meet on.
     """
-    used = paths.select("path", F.explode(F.array_distinct(words(F.col("sub_key")))).alias("_word"))
+    used = paths.select("path", F.explode("sub_words").alias("_word"))
     counts = used.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
     rare = used.join(counts, "_word").groupBy("path").agg(
         F.min_by("_word", F.struct("_n", "_word")).alias("rare_word")
@@ -109,7 +115,8 @@ def taxonomy_candidates(products: DataFrame, paths: DataFrame, rules: Sequence[d
     )
     t = _with_rare_word(prepare_paths(paths))
     tag = lambda name, arr: F.transform(arr, lambda x: F.concat(F.lit(name), x))
-    crumb_words = F.array_distinct(F.flatten(F.transform("crumbs", words)))
+    p = p.withColumn("crumb_words", F.transform("crumbs", words))
+    crumb_words = F.array_distinct(F.flatten("crumb_words"))
     rule_words = sorted({w for r in rules for w in r["words"]})
     p_keys = F.concat(
         tag("c:", F.col("crumbs")), tag("w:", crumb_words), tag("u:", F.col("url_words")),
@@ -118,7 +125,7 @@ def taxonomy_candidates(products: DataFrame, paths: DataFrame, rules: Sequence[d
     )
     path_rule_words = F.concat(
         *[
-            F.when(F.array_contains(words(F.concat_ws(" ", "leaf_key", "sub_key")), r["path_word"]),
+            F.when(F.array_contains(F.concat("leaf_words", "sub_words"), r["path_word"]),
                    F.array(*[F.lit(w) for w in r["words"]])).otherwise(empty_texts())
             for r in rules
         ],
@@ -127,7 +134,7 @@ def taxonomy_candidates(products: DataFrame, paths: DataFrame, rules: Sequence[d
     t_keys = F.concat(
         tag("c:", F.filter(F.array("parent_key", "leaf_key", "sub_key"), lambda k: k != "")),
         tag("w:", F.filter(F.array("rare_word"), lambda w: w.isNotNull())), tag("u:", F.col("url_words")),
-        _soft_keys(words(F.concat_ws(" ", "leaf_key", "sub_key")), "path"),
+        _soft_keys(F.array_union("leaf_words", "sub_words"), "path"),
         tag("r:", F.array_distinct(path_rule_words)),
     )
     meet = (
@@ -138,31 +145,37 @@ def taxonomy_candidates(products: DataFrame, paths: DataFrame, rules: Sequence[d
     )
     pairs = meet.join(p.withColumnRenamed("url_words", "p_url_words"), "product_id").join(t, "path")
     in_crumbs = lambda k: (F.col(k) != "") & F.array_contains("crumbs", F.col(k))
-    sub_in_crumb = (F.col("sub_key") != "") & F.exists(
-        "crumbs", lambda c: F.size(F.array_except(words(F.col("sub_key")), words(c))) == 0
-    )
-    full = (F.size("crumbs") >= 3) & (F.col("crumb_path") != "") & (F.col("crumb_path") == F.col("path_key"))
-    shared = F.size(F.array_intersect("p_url_words", "url_words"))
-    leaf_words, sub_words = F.array_distinct(words(F.col("leaf_key"))), F.array_distinct(words(F.col("sub_key")))
-    share = lambda w: _soft_overlap(w, F.col("name_words")) / F.greatest(F.size(w), F.lit(1))
+    share = lambda w: _soft_overlap(F.col(w), F.col("name_words")) / F.greatest(F.size(w), F.lit(1))
+    own_words = F.concat("leaf_words", "sub_words")
+    # Features first, so that each is worked out once and then used twice.
+    facts = {
+        "_parent": in_crumbs("parent_key"),
+        "_leaf": in_crumbs("leaf_key"),
+        "_sub": in_crumbs("sub_key") | ((F.col("sub_key") != "") & F.exists(
+            "crumb_words", lambda c: F.size(F.array_except("sub_words", c)) == 0)),
+        "_full": (F.size("crumbs") >= 3) & (F.col("crumb_path") != "") & (F.col("crumb_path") == F.col("path_key")),
+        "_shared": F.size(F.array_intersect("p_url_words", "url_words")),
+        "_leaf_share": share("leaf_words"),
+        "_sub_share": share("sub_words"),
+    }
     parts = [
-        (in_crumbs("parent_key"), F.lit(3.0), "parent_breadcrumb"),
-        (in_crumbs("leaf_key"), F.lit(4.0), "leaf_breadcrumb"),
-        (in_crumbs("sub_key") | sub_in_crumb, F.lit(5.0), "sub_breadcrumb"),
-        (full, F.lit(4.0), "full_breadcrumb_path"),
-        (shared > 0, F.least(shared * 0.5, F.lit(3.0)), "url_overlap"),
-        (share(leaf_words) > 0, share(leaf_words) * 1.5, "leaf_name_overlap"),
-        (share(sub_words) > 0, share(sub_words) * 2.0, "sub_name_overlap"),
+        (F.col("_parent"), F.lit(3.0), "parent_breadcrumb"),
+        (F.col("_leaf"), F.lit(4.0), "leaf_breadcrumb"),
+        (F.col("_sub"), F.lit(5.0), "sub_breadcrumb"),
+        (F.col("_full"), F.lit(4.0), "full_breadcrumb_path"),
+        (F.col("_shared") > 0, F.least(F.col("_shared") * 0.5, F.lit(3.0)), "url_overlap"),
+        (F.col("_leaf_share") > 0, F.col("_leaf_share") * 1.5, "leaf_name_overlap"),
+        (F.col("_sub_share") > 0, F.col("_sub_share") * 2.0, "sub_name_overlap"),
     ]
-    for r in rules:
-        cond = F.array_contains(words(F.concat_ws(" ", "leaf_key", "sub_key")), r["path_word"]) & F.arrays_overlap(
+    for n, r in enumerate(rules):
+        facts[f"_rule{n}"] = F.array_contains(own_words, r["path_word"]) & F.arrays_overlap(
             "evidence_words", F.array(*[F.lit(w) for w in r["words"]])
         )
-        parts.append((cond, F.lit(float(r["points"])), r["reason"]))
+        parts.append((F.col(f"_rule{n}"), F.lit(float(r["points"])), r["reason"]))
     score = F.lit(0.0)
     for cond, points, _ in parts:
         score = score + F.when(cond, points).otherwise(F.lit(0.0))
-    return pairs.select(
+    return pairs.withColumns(facts).select(
         "product_id", "path", "parent", "leaf", "sub",
         F.round(score, 4).alias("confidence"),
         labels(*[(c, name) for c, _, name in parts]).alias("reasons"),
