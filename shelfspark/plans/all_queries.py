@@ -5,5 +5,6 @@ from shelfspark.plans import (  # noqa: F401
     catalog_queries,
     matching_queries,
     monitoring_queries,
+    quality_queries,
     registry_queries,
 )
