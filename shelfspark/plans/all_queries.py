@@ -3,6 +3,7 @@
 from shelfspark.plans import (  # noqa: F401
     attribute_queries,
     catalog_queries,
+    change_queries,
     matching_queries,
     monitoring_queries,
     quality_queries,

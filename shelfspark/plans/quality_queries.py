@@ -227,7 +227,7 @@ def _(v):
 
 @query("J24_similar_texts")
 def _(v):
-    return Q.similar_texts(v.export_v.select("model", "name"), "model", "name")
+    return Q.similar_texts(v.part, "p_partkey", "p_name")
 
 
 @query(
