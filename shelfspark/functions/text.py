@@ -8,6 +8,8 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfspark.functions.common import bind
+
 # ---------------------------------------------------------------- fixed values
 # Greek letters and their Latin spelling, one letter each.
 GREEK_ONE = "αβγδεζηικλμνξοπρσςτυφω"
@@ -222,32 +224,45 @@ def meta_title(parts: Column, suffix: str = "", max_chars: int = 65) -> Column:
     clean = F.filter(
         F.transform(
             parts,
-            lambda p: F.struct(
-                normalize_spaces(p["value"]).alias("value"),
-                fold_case(normalize_spaces(p["value"])).alias("key"),
-                p["required"].alias("required"),
-                p["priority"].alias("priority"),
+            lambda p: bind(
+                normalize_spaces(p["value"]),
+                lambda v: F.struct(
+                    v.alias("value"), fold_case(v).alias("key"), p["required"].alias("required"),
+                    p["priority"].alias("priority"),
+                ),
             ),
         ),
         lambda p: p["value"] != "",
     )
-    keys = F.transform(clean, lambda p: p["key"])
-    distinct_parts = F.filter(clean, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
-    optional = F.filter(distinct_parts, lambda p: ~p["required"])
-    # Order of removal: larger priority number first, earlier part first among equals.
-    removal = F.array_sort(
-        F.transform(optional, lambda p, i: F.struct(-p["priority"], i.alias("i"), p["key"].alias("key")))
-    )
 
-    def title_without(dropped: Column) -> Column:
-        gone = F.transform(F.slice(removal, F.lit(1), dropped), lambda r: r["key"])
-        kept = F.filter(distinct_parts, lambda p: ~F.array_contains(gone, p["key"]))
-        return F.array_join(F.transform(kept, lambda p: p["value"]), " ")
+    def once(found: Column) -> Column:
+        keys = F.transform(found, lambda p: p["key"])
+        return F.filter(found, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
+
+    def with_removal(kept: Column) -> Column:
+        optional = F.filter(kept, lambda p: ~p["required"])
+        # Order of removal: larger priority number first, earlier part first among equals.
+        removal = F.array_sort(
+            F.transform(optional, lambda p, i: F.struct(-p["priority"], i.alias("i"), p["key"].alias("key")))
+        )
+        return F.struct(kept.alias("parts"), F.transform(removal, lambda r: r["key"]).alias("removal"))
+
+    def titles(x: Column) -> Column:
+        def without(dropped: Column) -> Column:
+            gone = F.slice(x["removal"], F.lit(1), dropped)
+            left = F.filter(x["parts"], lambda p: ~F.array_contains(gone, p["key"]))
+            return F.array_join(F.transform(left, lambda p: p["value"]), " ")
+
+        return F.transform(F.sequence(F.lit(0), F.size(x["removal"])), without)
 
-    steps = F.transform(F.sequence(F.lit(0), F.size(optional)), title_without)
-    fitting = F.filter(steps, lambda t: F.length(t) + len(suffix) <= max_chars)
-    best = F.coalesce(F.get(fitting, F.lit(0)), F.element_at(steps, -1))
-    return F.when(best != "", F.concat(best, F.lit(suffix))).otherwise(F.lit(""))
+    def choose(steps: Column) -> Column:
+        fitting = F.filter(steps, lambda t: F.length(t) + len(suffix) <= max_chars)
+        return F.coalesce(F.get(fitting, F.lit(0)), F.element_at(steps, -1))
+
+    steps = bind(bind(bind(clean, once), with_removal), titles)
+    return bind(
+        bind(steps, choose), lambda best: F.when(best != "", F.concat(best, F.lit(suffix))).otherwise(F.lit(""))
+    )
 
 
 def meta_title_status(title: Column) -> Column:
