@@ -91,9 +91,9 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def share_percent(part: Column, whole: Column) -> Column:
-    """Coverage in percent of counts, two decimals; 0 when there is nothing to cover."""
+    """Coverage in percent of counts, two decimals, half even; 0 when there is nothing to cover."""
     return F.when(
-        whole > 0, F.round(part.cast("double") * 100.0 / whole.cast("double"), 2)
+        whole > 0, F.bround(part.cast("double") * 100.0 / whole.cast("double"), 2)
     ).otherwise(F.lit(0.0))
 
 

@@ -177,7 +177,7 @@ def taxonomy_candidates(products: DataFrame, paths: DataFrame, rules: Sequence[d
         score = score + F.when(cond, points).otherwise(F.lit(0.0))
     return pairs.withColumns(facts).select(
         "product_id", "path", "parent", "leaf", "sub",
-        F.round(score, 4).alias("confidence"),
+        F.bround(score, 4).alias("confidence"),
         labels(*[(c, name) for c, _, name in parts]).alias("reasons"),
     )
 
@@ -311,7 +311,7 @@ def gate_templates(pool: DataFrame, sets: DataFrame) -> DataFrame:
         + ratio(F.col("pair_overlap"), "pair_set") * 0.4
         + ratio(F.col("discriminator_overlap"), "discriminators") * 0.1
     )
-    return counted.withColumns({"gate_reasons": reasons, "score": F.round(score, 4)})
+    return counted.withColumns({"gate_reasons": reasons, "score": F.bround(score, 4)})
 
 
 def match_templates(products: DataFrame, pool: DataFrame, sets: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def name_similarity(rows: DataFrame, name: str, title: str, out: str = "title_si
     ratio = sequence_ratio(F.when(enough, key(name)), F.when(enough, key(title)))
     scored = matched.withColumn("_r", ratio)
     weak = (F.col("_m.ratio") < 0.35) & (F.col("_r") < 0.55)
-    score = F.round(0.75 * F.col("_m.ratio") + 0.25 * F.col("_r"), 4)
+    score = F.bround(0.75 * F.col("_m.ratio") + 0.25 * F.col("_r"), 4)
     return scored.withColumns(
         {
             out: F.when(enough & ~weak, score).otherwise(F.lit(0.0)),
@@ -434,7 +434,7 @@ def score_candidates(evidence: DataFrame, group: Sequence[str] = ("product_id",
         .when(~F.col("price_compatible"), F.greatest(F.lit(0.0), capped - 0.10))
         .otherwise(capped)
     )
-    final = F.round(F.when(F.col("title_only"), F.least(priced, F.lit(0.50))).otherwise(priced), 4)
+    final = F.bround(F.when(F.col("title_only"), F.least(priced, F.lit(0.50))).otherwise(priced), 4)
     error = F.col("error_code")
     held = error.isin("blocked_or_captcha", "http_403") | ((error == "") & F.col("blocked"))
     case = (

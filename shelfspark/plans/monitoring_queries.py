@@ -837,7 +837,7 @@ def _(v):
         count(*) FILTER (NOT has_active_url) AS without_active, cast(sum(active_urls) AS bigint) AS active_urls,
         cast(sum(needs_review_urls) AS bigint) AS needs_review_urls, cast(sum(broken_urls) AS bigint) AS broken_urls,
         cast(sum(disabled_urls) AS bigint) AS disabled_urls, cast(sum(redirected_urls) AS bigint) AS redirected_urls,
-        round(count(*) FILTER (has_active_url) * 100.0::double / count(*), 2) AS coverage_percent FROM cv""",
+        round_even(count(*) FILTER (has_active_url) * 100.0::double / count(*), 2) AS coverage_percent FROM cv""",
 )
 def _(v):
     return O.coverage_totals(_coverage(v))

@@ -404,7 +404,7 @@ def _(v):
     """WITH a AS (SELECT product_id FROM catalog_v WHERE active), u AS (SELECT * FROM existing_urls_v SEMI JOIN a USING (product_id)),
        t AS (SELECT count(*) AS source_url_count, count(DISTINCT product_id) FILTER (status = 'active') AS with_active,
                     strftime(max(updated_at), '%Y-%m-%d') AS updated_at, (SELECT count(*) FROM a) AS catalog_product_count FROM u)
-       SELECT *, catalog_product_count - with_active AS without_active, round(with_active * 100.0::double / catalog_product_count, 2) AS coverage_percent FROM t""",
+       SELECT *, catalog_product_count - with_active AS without_active, round_even(with_active * 100.0::double / catalog_product_count, 2) AS coverage_percent FROM t""",
 )
 def _(v):
     return R.registry_summary(v.catalog_v, v.existing_urls_v).withColumn("updated_at", F.date_format("updated_at", TS))
