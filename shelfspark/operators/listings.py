@@ -33,25 +33,28 @@ LISTING_COLLECTIONS = [
 ]
 
 
-def dedupe_listings(listings: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:
-    """One listing per store and price, the one with a URL first; blank stores per price and URL."""
-    priced = listings.where(usable(F.col("price"))).withColumns(
+def _keyed(listings: DataFrame) -> DataFrame:
+    """Priced listings with the key that makes two of them the same."""
+    return listings.where(usable(F.col("price"))).withColumns(
         {
             "_store": fold_case(F.col("store")),
             "_price": F.round("price", 2),
             "_url": F.when(F.col("store") == "", fold_case(F.col("url"))).otherwise(F.lit("")),
         }
     )
+
+
+def dedupe_listings(listings: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:
+    """One listing per store and price, the one with a URL first; blank stores per price and URL."""
     no_url = (F.col("store") != "") & (F.col("url") == "")
     order = [no_url, *[F.col(c) for c in seq]]
-    return first_row(priced, [*keys, "_store", "_price", "_url"], order).drop("_price", "_url")
+    return first_row(_keyed(listings), [*keys, "_store", "_price", "_url"], order).drop("_price", "_url")
 
 
 def rank_listings(listings: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:
     """Deduplicated listings numbered by price, store and URL within each product."""
-    return exact_rank(
-        dedupe_listings(listings, keys, seq), keys, ["price", "_store", "url"]
-    ).drop("_store")
+    unique = dedupe_listings(listings, keys, seq)
+    return exact_rank(unique, keys, ["price", "_store", "url"], sizes_from=listings).drop("_store")
 
 
 def top_listings(listings: DataFrame, keys: Sequence[str], seq: Sequence[str], n: int) -> DataFrame:
@@ -62,9 +65,13 @@ def top_listings(listings: DataFrame, keys: Sequence[str], seq: Sequence[str], n
 
 def best_and_next(listings: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:
     """Best and next store per product, the top three, and how many listings there are."""
-    unique = dedupe_listings(listings, keys, seq)
-    counts = unique.groupBy(*keys).agg(F.count(F.lit(1)).alias("captured_listings_count"))
-    top = top_rows(unique, keys, [F.col(c) for c in ("price", "_store", "url")], 3)
+    needed = listings.select(*keys, "store", "price", "url", *seq)
+    # The count needs the distinct keys only, not the rows behind them.
+    counts = (
+        _keyed(needed).select(*keys, "_store", "_price", "_url").distinct()
+        .groupBy(*keys).agg(F.count(F.lit(1)).alias("captured_listings_count"))
+    )
+    top = top_listings(needed, keys, seq, 3)
 
     def pick(column: str, rank: int) -> Column:
         return F.max(F.when(F.col("rank") == rank, F.col(column)))
@@ -95,7 +102,7 @@ def rank_offers(offers: DataFrame, keys: Sequence[str], tie: Sequence[str]) -> D
         }
     )
     order = ["_given", "price", "_seller", *tie]
-    return exact_rank(prepared, keys, order).drop("_given", "_seller", "_has_rank")
+    return exact_rank(prepared, keys, order, sizes_from=priced).drop("_given", "_seller", "_has_rank")
 
 
 def attach_offers(observations: DataFrame, offers: DataFrame, listed: DataFrame) -> DataFrame:

@@ -17,31 +17,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _pick(df, keys, order, columns, choose) -> DataFrame:
+    names = [c for c in (columns or df.columns) if c not in keys]
+    # All value columns take part in the order, so ties are settled the same way every run,
+    # and the chosen struct carries the values itself.
+    ranked = F.struct(
+        *[o.alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(f"`{c}`").alias(c) for c in names]
+    )
+    picked = df.groupBy(*keys).agg(choose(ranked).alias("_row"))
+    return picked.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in names])
+
+
 def first_row(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    columns: Sequence[str] | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str] | None = None
 ) -> DataFrame:
     """One row per key: the smallest by ``order`` (ascending, NULL first)."""
-    names = [c for c in (columns or df.columns) if c not in keys]
-    # All value columns take part in the order, so ties are settled the same way every run.
-    rank = F.struct(*order, *[F.col(c) for c in names])
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*names), rank).alias("_first"))
-    return picked.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in names])
+    return _pick(df, keys, order, columns, F.min)
 
 
 def last_row(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    columns: Sequence[str] | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str] | None = None
 ) -> DataFrame:
     """One row per key: the largest by ``order`` (NULL counts as smallest)."""
-    names = [c for c in (columns or df.columns) if c not in keys]
-    rank = F.struct(*order, *[F.col(c) for c in names])
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*names), rank).alias("_last"))
-    return picked.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in names])
+    return _pick(df, keys, order, columns, F.max)
 
 
 def flag_first(
@@ -79,6 +77,7 @@ def exact_rank(
     rank_col: str = "rank",
     hot_share: float = 0.01,
     ranges: int = 64,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Number all rows of every group from 1 by the ascending columns ``order``.
 
@@ -86,16 +85,13 @@ def exact_rank(
     any order. A group is hot when it holds more than ``hot_share`` of the rows, so
     there are at most ``1 / hot_share`` hot groups, and the cut points (at most a few
     hundred per group, taken by a hash of the row) are small enough to broadcast.
+    ``sizes_from`` may name a cheaper frame with at least as many rows per group to find
+    the hot groups in; without hot groups the cutting steps drop out at run time.
     """
     order_key = F.struct(*[F.col(c) for c in order])
-    group_key = F.struct(*[F.col(c) for c in keys])
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.sum("_n").alias("_total"))
-    hot = (
-        sizes.join(F.broadcast(total), F.col("_n") > F.col("_total") * F.lit(hot_share))
-        .where(F.col("_n") > ranges * 16)
-        .select(*keys, "_n")
-    )
+    sizes = (df if sizes_from is None else sizes_from).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.agg(F.sum("_n")).scalar()
+    hot = sizes.where((F.col("_n") > total * F.lit(hot_share)) & (F.col("_n") > ranges * 16))
     # Every row has the same chance of becoming a cut point; about `ranges` per hot group.
     cuts = (
         df.join(F.broadcast(hot), list(keys))

@@ -169,6 +169,19 @@ def _names(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table stored as one or two larger blocks is dealt out to all cores.
+
+    Tables of many files or blocks, as on a cluster, already have enough tasks and are
+    left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 2 << 20 or size > 1 << 30 or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 class Views:
     """Driver tables and adapter views of one data folder, read on first use."""
 
@@ -186,7 +199,7 @@ class Views:
 
     def _load(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
         if name in SPARK_VIEWS:
             return SPARK_VIEWS[name](self)
         return self.sql(VIEWS[name])
