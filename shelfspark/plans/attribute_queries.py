@@ -44,7 +44,7 @@ VIEWS["templates_v"] = f"""
            CASE variant WHEN 'a' THEN 1 ELSE CASE WHEN p_size % 4 = 0 THEN 3 ELSE 1 END END AS min_label_overlap,
            1 AS min_section_overlap, 'file_' || variant || '.json' AS source_file
     FROM (SELECT DISTINCT p_type, p_size, 'a' AS variant FROM {{part}} WHERE p_size < 45
-          UNION ALL SELECT DISTINCT p_type, p_size, 'b' AS variant FROM {{part}} WHERE p_size % 3 <> 1 AND p_size < 45
+          UNION ALL SELECT DISTINCT p_type, p_size, 'b' AS variant FROM {{part}} WHERE p_size BETWEEN 15 AND 44
           UNION ALL SELECT DISTINCT p_type, 48, 'a' AS variant FROM {{part}})"""
 VIEWS["filter_groups_v"] = """
     SELECT 'cat_' || p_type AS category_id, 'fg_' || p_type || '_' || lower(g) AS group_id, g AS group_name,
@@ -57,10 +57,10 @@ VIEWS["filter_values_v"] = """
           UNION ALL SELECT DISTINCT p_type, 'Blue' FROM {part})
     UNION ALL SELECT DISTINCT 'fg_' || p_type || '_size', cast(p_size AS string) || ' kg', 'active' FROM {part}"""
 VIEWS["filter_evidence_v"] = """
-    SELECT p_partkey AS product_id, 'source' AS kind, 'Color' AS label, split_part(p_name, ' ', 1) AS value, 1 AS seq FROM {part} WHERE p_partkey % 3 <> 0
-    UNION ALL SELECT p_partkey, 'manufacturer', 'COLOR', 'black matt', 2 FROM {part} WHERE p_partkey % 3 = 0 AND p_partkey % 5 <> 0
+    SELECT p_partkey AS product_id, 'source' AS kind, 'Color' AS label, CASE WHEN p_partkey % 3 <> 0 THEN split_part(p_name, ' ', 1) ELSE '—' END AS value, 1 AS seq FROM {part}
+    UNION ALL SELECT p_partkey, 'manufacturer', 'COLOR', CASE WHEN p_partkey % 3 = 0 AND p_partkey % 5 <> 0 THEN 'black matt' ELSE '' END, 2 FROM {part}
     UNION ALL SELECT p_partkey, 'source', 'size', cast(p_size AS string) || 'kg', 3 FROM {part}
-    UNION ALL SELECT p_partkey, 'approved_review', 'Mode', 'Turbo', 4 FROM {part} WHERE p_partkey % 7 = 0
+    UNION ALL SELECT p_partkey, 'approved_review', 'Mode', CASE WHEN p_partkey % 7 = 0 THEN 'Turbo' ELSE ' ' END, 4 FROM {part}
     UNION ALL SELECT p_partkey, 'source', 'Mode', 'Eco', 5 FROM {part}
     UNION ALL SELECT p_partkey, 'source', 'Old', CASE WHEN p_partkey % 2 = 0 THEN '-' ELSE 'x' END, 6 FROM {part}"""
 VIEWS["specs_v"] = """
@@ -72,8 +72,8 @@ VIEWS["mpn_candidates_v"] = """
     SELECT p_partkey AS product_id, 'MPN: kx ' || cast(p_partkey AS string) || '/ B' || cast(p_size AS string) AS value, 'source' AS source,
            0.8 AS confidence, 'verified' AS status, 1 AS seq FROM {part}
     UNION ALL SELECT p_partkey, 'KX ' || cast(p_partkey AS string) || '/B' || cast(p_size AS string), 'title', 0.6, 'inferred', 2 FROM {part}
-    UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'Z' || cast(p_partkey AS string) WHEN p_partkey % 4 = 1 THEN 'n/a'
-        ELSE lpad(cast(p_partkey AS string), 6, '0') END, 'existing', 0.99, 'verified', 3 FROM {part} WHERE p_size % 3 = 0"""
+    UNION ALL SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN '' WHEN p_partkey % 4 = 0 THEN 'Z' || cast(p_partkey AS string) WHEN p_partkey % 4 = 1 THEN 'n/a'
+        ELSE lpad(cast(p_partkey AS string), 6, '0') END, 'existing', 0.99, 'verified', 3 FROM {part}"""
 
 RULES = [{"reason": "steam_evidence", "points": 3, "path_word": "kettles", "words": ["steam", "boil"]}]
 
@@ -600,12 +600,12 @@ def _(v):
 @query(
     "FN39_energy_and_btu",
     """SELECT p_partkey AS product_id, CASE p_size % 3 WHEN 0 THEN 'A++' WHEN 1 THEN 'B' ELSE '' END AS energy, p_size || '000 BTU' AS btu,
-          CASE p_size % 2 WHEN 0 THEN 'C+' ELSE '' END AS class_text FROM part WHERE p_size BETWEEN 1 AND 99""",
+          CASE p_size % 2 WHEN 0 THEN 'C+' ELSE '' END AS class_text FROM part""",
 )
 def _(v):
     size = F.col("p_size")
     title = F.concat(F.col("p_brand"), F.when(size % 3 == 0, " B A++ ").when(size % 3 == 1, " Β, ").otherwise(" "), size.cast("string"), F.lit(".000 BTU"))
-    return v.part.where("p_size BETWEEN 1 AND 99").select(
+    return v.part.select(
         F.col("p_partkey").alias("product_id"), N.energy_class_in_text(title).alias("energy"), N.btu_in_text(title).alias("btu"),
         N.energy_class(F.when(size % 2 == 0, "(Γ+)").otherwise("kappa")).alias("class_text"),
     )

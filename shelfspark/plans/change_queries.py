@@ -137,11 +137,11 @@ def _(v):
     "D42_rollback_check",
     "WITH " + _PLAN + """, r AS (SELECT model, k, field, n, o FROM l WHERE classification IN ('safe_content_update', 'review_required')),
        c AS (SELECT r.*, CASE k % 5 WHEN 0 THEN o WHEN 1 THEN 'manual' ELSE n END AS now FROM r)
-       SELECT model, field, CASE WHEN k % 10 = 9 THEN 'missing' WHEN now = n THEN 'restore' WHEN now = o THEN 'noop' ELSE 'mismatch' END AS action FROM c""",
+       SELECT model, field, CASE WHEN k % 7 = 0 THEN 'missing' WHEN now = n THEN 'restore' WHEN now = o THEN 'noop' ELSE 'mismatch' END AS action FROM c""",
 )
 def _(v):
     p = v.proposed_v
-    both = _current(v).join(p.select("model", "k", *[F.col(f).alias(f"p_{f}") for f in _FIELDS[:-1]]), "model").where("k % 10 <> 9")
+    both = _current(v).join(v.export_v.select("model", "status"), "model").join(p.select("model", "k", *[F.col(f).alias(f"p_{f}") for f in _FIELDS[:-1]]), "model").where("status <> '0'")
     now = lambda f: F.when(F.col("k") % 5 == 0, F.col(f)).when(F.col("k") % 5 == 1, "manual").otherwise(F.col(f"p_{f}")).alias(f)
     return X.rollback_check(X.rollback_rows(_plan(v)), both.select("model", *[now(f) for f in _FIELDS[:-1]]))
 
@@ -166,12 +166,12 @@ def _findings(v):
         "name": F.when(k % 9 == 1, "changed").otherwise(F.col("name")),
         "seo_keyword": F.when(k % 9 < 2, "moved").otherwise(F.col("seo_keyword")),
         "image": F.when(k % 11 == 0, "new.jpg").otherwise(F.col("image")),
-    }).where(k % 13 != 0).select(*cols)
+    }).where("status <> '0'").select(*cols)
     expected = v.export_v.withColumn("seo_keyword", F.when(k % 9 == 0, "moved").when(k % 9 == 1, "moved").otherwise(F.col("seo_keyword"))).select(*cols)
     return X.monitoring_findings(before, after, expected, _context(v))
 
 
-_FINDINGS = """e AS (SELECT *, model::int AS k, model::int % 13 <> 0 AS has FROM export_v),
+_FINDINGS = """e AS (SELECT *, model::int AS k, status <> '0' AS has FROM export_v),
      f AS (SELECT model, unnest([
        {'f': 'seo_health.blocking_failures', 's': CASE WHEN k % 4 = 0 THEN 'pass' ELSE 'fail' END, 'b': true},
        {'f': 'seo_health.score_regression', 's': CASE WHEN k % 6 = 0 THEN 'not_run' WHEN k % 3 = 2 THEN 'warn' ELSE 'pass' END, 'b': false},

@@ -151,7 +151,9 @@ def _(v):
     """SELECT model, name, '' AS mpn2, CASE WHEN right(model, 1) < '5' THEN 'Even' ELSE '' END AS kind FROM export_v""",
 )
 def _(v):
-    filters = v.export_v.where("substr(model, 6, 1) < '5'").select("model", F.lit("Kind").alias("group_name"), F.lit("Even").alias("value"))
+    filters = v.export_v.select(
+        "model", F.lit("Kind").alias("group_name"), F.when(F.substring("model", 6, 1) < "5", "Even").otherwise("").alias("value")
+    )
     rows = SK.product_csv_rows(v.export_v, filters, ["model", "name", "mpn2"], ["Kind", "Unused"])
     return rows.withColumnRenamed("filter_group:Kind", "kind")
 

@@ -85,8 +85,8 @@ VIEWS["capture_sources_v"] = """
     FROM {lineitem} WHERE l_returnflag <> 'N' GROUP BY l_partkey, l_suppkey"""
 VIEWS["vendors_v"] = """
     SELECT DISTINCT s_suppkey % 6 AS vendor_id,
-           CASE s_suppkey % 6 WHEN 1 THEN 'skroutz' WHEN 2 THEN 'bestprice' ELSE 'shop' END AS vendor
-    FROM {supplier} WHERE s_suppkey % 6 <> 5"""
+           CASE s_suppkey % 6 WHEN 1 THEN 'skroutz' WHEN 2 THEN 'bestprice' WHEN 5 THEN NULL ELSE 'shop' END AS vendor
+    FROM {supplier}"""
 VIEWS["tasks_v"] = """
     SELECT offer_key AS task_id, 'run-' || split_part(offer_key, '-', 1) AS run_id, product_id,
            CASE seller_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'succeeded' WHEN 2 THEN 'Running' ELSE 'failed' END AS task_status

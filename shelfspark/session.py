@@ -39,15 +39,6 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="shelfspark-")
 
 
-def cut_lineage(df):
-    """Checkpoint to the shared folder, so that a lost executor costs no recompute."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
-
-
 def local_session(app: str = "shelfspark", cpus: str | int | None = None) -> SparkSession:
     """Single-machine session for tests and the bench."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
