@@ -15,7 +15,7 @@ from shelfspark.functions import html as H
 from shelfspark.functions.common import bind, empty_texts
 from shelfspark.functions.money import MONEY, WIDE, greek_money, landed_price, lenient_decimal, usable
 from shelfspark.functions.text import (
-    collapse_spaces, fold_case, normalize_spaces, product_text_key, product_tokens, search_queries,
+    collapse_spaces, fold_case, product_text_key, product_tokens, search_queries,
     trim_text, words,
 )
 from shelfspark.functions.urls import (

@@ -42,22 +42,6 @@ def last_row(
     return _pick(df, keys, order, columns, F.max)
 
 
-def flag_first(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str = "is_first"
-) -> DataFrame:
-    """All rows, with a mark on the first of every key; ``order`` identifies a row.
-
-    The first is found by an aggregate and joined back. The joined side has one row
-    per key, so a hot key is split by the adaptive skew join.
-    """
-    firsts = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_least"))
-    return (
-        df.join(firsts, list(keys))
-        .withColumn(flag, F.struct(*order) == F.col("_least"))
-        .drop("_least")
-    )
-
-
 def top_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -89,8 +73,9 @@ def exact_rank(
     the hot groups in; without hot groups the cutting steps drop out at run time.
     """
     order_key = F.struct(*[F.col(c) for c in order])
-    sizes = (df if sizes_from is None else sizes_from).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.sum("_n")).scalar()
+    counted = df if sizes_from is None else sizes_from
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counted.agg(F.count(F.lit(1))).scalar()
     hot = sizes.where((F.col("_n") > total * F.lit(hot_share)) & (F.col("_n") > ranges * 16))
     # Every row has the same chance of becoming a cut point; about `ranges` per hot group.
     cuts = (
