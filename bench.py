@@ -40,6 +40,7 @@ def main() -> None:
             start = time.perf_counter()
             known[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times[name] = round(time.perf_counter() - start, 3)
+        print(f"{name} cold {cold[name]} warm {warm[name]}", file=sys.stderr, flush=True)
     line = {
         "metric": "headline_queries_warm_total",
         "value": round(sum(warm.values()), 3),
