@@ -8,14 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import table
-from shelfspark.llm.neardup import near_duplicates
-from shelfspark.llm.packing import pack
+from shelfspark.llm import ann, brown, fingerprints, langid, mixing, neardup, packing, quality, tokencount, warc
+from shelfspark.llm.common import fold, table
+
+# Production parameters of the mix: a source may repeat at most twice, no document is left out.
+MIX_REPETITION = 2.0
+MIX_BLOCK = 262_144
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tempered mix of all documents: epoch, block and position of every document."""
+    target = mixing.Target(repetition=MIX_REPETITION)
+    return mixing.mix(table(spark, sf_dir, "documents"), target, block=MIX_BLOCK)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum-of-squares packing of all documents into windows of 2048 tokens."""
-    pieces = pack(
+    pieces = packing.pack(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("byte_bpe_50k.tiktoken"),
     )
@@ -24,14 +33,98 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locally consistent fingerprints of all texts and of their edited texts."""
+    return fingerprints.with_next(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compression scores of all documents, learnt outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted"
+    )
+
+
+def op5_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based bigram scores of all documents, learnt outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    model, counts = brown.fit(docs)
+    return brown.score(docs, model, counts).select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score",
+    )
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 % of their three-word shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Capture records of all pages: a full response each, and a later check that found it unchanged.
+
+    The check spells the address differently; every seventh page's entity tag has changed
+    by then, every fifth answer has none, every eleventh check comes before the response.
+    """
+    p = F.col("page_id")
+    digest = F.md5("html")
+    at = F.timestamp_seconds(F.lit(1_700_000_000).cast("bigint") + p * 60)
+    later = F.timestamp_seconds(F.lit(1_700_000_000).cast("bigint") + p * 60 + F.when(p % 11 == 0, -3600).otherwise(86_400))
+    etag = F.when(p % 5 != 0, F.concat(F.lit('"'), F.substring(digest, 1, 12), F.lit('"')))
+    size = F.length("html").cast("string")
+    full = pages.select(
+        (2 * p).alias("record_id"), F.lit("response").alias("kind"), F.col("url"), at.alias("at"), etag.alias("etag"),
+        F.lit(None).cast("string").alias("last_modified"), digest.alias("digest"),
+        F.create_map(F.lit("content-length"), size, F.lit("content-type"), F.lit("text/html"),
+                     F.lit("date"), F.date_format(at, "yyyy-MM-dd HH:mm:ss")).alias("headers"))
+    check = pages.select(
+        (2 * p + 1).alias("record_id"), F.lit("revisit").alias("kind"),
+        F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")).alias("url"), later.alias("at"),
+        F.when(p % 7 == 0, F.lit('"new"')).otherwise(etag).alias("etag"), F.lit(None).cast("string").alias("last_modified"),
+        digest.alias("digest"),
+        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), F.date_format(later, "yyyy-MM-dd HH:mm:ss"),
+                     F.lit("expires"), F.lit("never")).alias("headers"))
+    return full.unionByName(check)
+
+
+def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not-modified checks of all pages resolved against the latest earlier response."""
+    found = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    return found.select(
+        "record_id", "url_key", F.unix_timestamp("at").alias("at"), "status", "refers_to", "lag_seconds",
+        warc.header_text(F.col("headers")).alias("headers"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of all documents."""
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_quality": op4_quality,
+    "op5_brown": op5_brown,
+    "op6_language": op6_language,
+    "op7_neighbours": op7_neighbours,
     "op8_near_dedup": op8_near_dedup,
+    "op9_revisits": op9_revisits,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {}
 
