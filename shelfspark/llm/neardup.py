@@ -6,10 +6,12 @@ order of its own that is the same for all documents (optimal densification). ``r
 make a band, and documents with an equal band share a bucket.
 
 A bucket never yields all its pairs: it yields a star, edges from one centre to the other
-members. Edges are confirmed on the full shingle sets, and the links' components are found.
-Buckets that still hold several components then get a new centre, outsiders first, which
-meets the members of the other components, and so on until one component is left or every
-member was centre: no candidate pair between different components stays unchecked.
+members. Edges whose signatures are far apart go, the others are confirmed on the full shingle sets,
+and the links' components are found. Buckets that still hold several components then get
+new centres, members of their smaller components first, which meet the members of other
+components, round by round until one component is left or every member was a centre: no
+candidate pair between different components stays unchecked. A round has at most ``FAN``
+centres per bucket, so its edges grow with the members and not with their pairs.
 Documents with equal sets meet by a digest of the set first, so copies cost one row each.
 
 Hot buckets and centres: minima are aggregated before the shuffle, and the joins are plain
@@ -24,14 +26,15 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import mix64, saved, small_batches
 
 _MEMO: dict[bytes, int] = {}
 _MEMO_WORDS = 500_000
-_SIGNED = "digest array<bigint>, bands array<bigint>"
+FAN = 32
+_SIGNED = "digest array<bigint>, bands array<bigint>, brief binary"
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -91,36 +94,39 @@ def signature(values: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
-def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key per band; the band's number is part of the key."""
+def band_keys(values: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, bytes]:
+    """One 64-bit key per band, the band's number being part of it, and a byte per bin."""
     weights = _weights(bands, rows)
-    cells = mix64(signature(values, bands * rows)).reshape(bands, rows)
-    return mix64((cells * weights).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
+    cells = mix64(signature(values, bands * rows))
+    sums = (cells.reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64)
+    return mix64(sums + np.arange(bands, dtype=np.uint64)), (cells >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def _sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set and band keys of every document."""
+    """doc_id, n_shingles, digest of the set, band keys and brief signature of every document."""
     fields = pa.schema([
         ("doc_id", pa.int64()), ("n_shingles", pa.int64()),
-        ("digest", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())),
+        ("digest", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())), ("brief", pa.binary()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, briefs = [], [], [], []
             for text in batch.column(1).to_pylist():
                 values = shingles(text, words)
                 sizes.append(len(values))
                 if len(values):
                     whole = xxhash.xxh3_128_digest(values.tobytes())
                     digests.append(np.frombuffer(whole, dtype=np.int64))
-                    keys.append(band_keys(values, bands, rows).view(np.int64))
+                    bands_of, brief = band_keys(values, bands, rows)
+                    keys.append(bands_of.view(np.int64))
+                    briefs.append(brief)
                 else:
-                    digests.append(None)
-                    keys.append(None)
+                    for column in (digests, keys, briefs):
+                        column.append(None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, fields.field(2).type),
-                 pa.array(keys, fields.field(3).type)], schema=fields)
+                 pa.array(keys, fields.field(3).type), pa.array(briefs, pa.binary())], schema=fields)
 
     return docs.mapInArrow(run, f"doc_id bigint, n_shingles bigint, {_SIGNED}")
 
@@ -159,8 +165,35 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (src, dst) whose sets have 100 * intersection >= percent * union."""
+def least_equal(sizes: np.ndarray, bins: int, percent: int) -> np.ndarray:
+    """Equal bins that a pair at the threshold has but for a chance of 1e-9: six deviations below the mean."""
+    share = percent / 100
+    spread = np.sqrt(share * (1 - share) / np.minimum(np.maximum(sizes, 1), bins))
+    return bins * (share - 6 * spread)
+
+
+def _likely(edges: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
+    """Edges (src, dst) that sizes and signatures allow to be links."""
+    side = lambda name: briefs.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"{name}_n"),
+                                      F.col("brief").alias(f"{name}_brief"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.minimum(np.asarray(batch.column(2)), np.asarray(batch.column(3)))
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(len(sizes), -1) for i in (4, 5))
+            equal = (one == two).sum(axis=1)
+            keep = pa.array(equal >= least_equal(sizes, one.shape[1], percent))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["src", "dst"])
+
+    near = (edges.join(side("src"), "src").join(side("dst"), "dst")
+            .where(100 * F.least("src_n", "dst_n") >= percent * F.greatest("src_n", "dst_n")))
+    return near.select("src", "dst", "src_n", "dst_n", "src_brief", "dst_brief").mapInArrow(run, "src bigint, dst bigint")
+
+
+def _confirmed(edges: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges (src, dst) whose whole sets have 100 * intersection >= percent * union."""
+    ends = edges.select(F.col("src").alias("doc_id")).union(edges.select("dst")).distinct()
+    sets = saved(_sets(texts.join(ends, "doc_id", "left_semi"), words))
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"{name}_set"))
     shared = F.size(F.array_intersect("src_set", "dst_set")).cast("bigint")
     union = F.size("src_set") + F.size("dst_set") - shared
@@ -168,11 +201,25 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * shared >= percent * union).select("src", "dst"))
 
 
+def _next_centres(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (bucket, doc_id, label) of buckets with several components, and their next centres.
+
+    Members of a bucket's most frequent component need not be centres while others are left.
+    """
+    tagged = members.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select(
+        "bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    per_label = tagged.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = per_label.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"))
+    kept = saved(tagged.join(mixed.where("labels > 1").select("bucket", "main"), "bucket"))
+    order = Window.partitionBy("bucket").orderBy("doc_id")
+    centres = kept.where("label <> main").withColumn("n", F.row_number().over(order)).where(F.col("n") <= FAN)
+    return kept.select("bucket", "doc_id", "label"), saved(centres.select("bucket", "doc_id", "label"))
+
+
 def _stars(members: DataFrame, centres: DataFrame) -> DataFrame:
-    """Edges from each bucket's centre to the bucket's members of other components."""
+    """Edges from each bucket's centres to the bucket's members of other components."""
     return (members.join(centres.select("bucket", F.col("doc_id").alias("dst"), F.col("label").alias("centre")), "bucket")
-            .where("label <> centre").select(F.col("doc_id").alias("src"), "dst")
-            .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+            .where("label <> centre").select(F.greatest("doc_id", "dst").alias("src"), F.least("doc_id", "dst").alias("dst")).distinct())
 
 
 def near_duplicates(
@@ -184,50 +231,53 @@ def near_duplicates(
     distinct word shingles; component_id is the smallest doc_id a document reaches and
     ``kept`` marks that one. Documents without words have no shingles and no links.
     Rows with a null doc_id cannot be named in a link and are left alone: null component,
-    kept. Repeated rows of a doc_id are one document of equal sets; each keeps its row. If
-    a doc_id has several texts, they form one document for reachability. Other columns
-    are ignored; an empty table gives an empty one. With the default bands a link at the
+    kept. Several rows of one doc_id are one document, of their smallest text, and give one
+    row. Other columns are ignored; an empty table gives an empty one. With the default bands a link at the
     threshold is missed with a probability below 1e-5 (0.80) or 1e-8 (0.85).
     """
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = saved(_sign(narrow, words, bands, rows))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    repeated = _repeated(docs)
+    if not repeated.isEmpty():
+        again = texts.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        texts = texts.join(repeated, "doc_id", "left_anti").unionByName(again)
+    signed = saved(_sign(texts, words, bands, rows))
+    named = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     # A set's first document stands for all that have the same set.
-    firsts = saved(signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest")
-                   .agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
-    reached = signed.where("doc_id IS NOT NULL AND n_shingles > 0").join(
-        firsts.select("digest", "rep"), "digest").select("doc_id", "rep")
-    buckets = firsts.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("bucket"))
+    low = saved(named.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
+    firsts = saved(low.select("doc_id").join(named, "doc_id"))
+    buckets = firsts.select("doc_id", F.explode("bands").alias("bucket"))
     shared = saved(buckets.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
                    .where("low <> high"))
-    members = saved(buckets.join(shared.select("bucket"), "bucket"))
-    wanted = members.select("doc_id").distinct()
-    sets = saved(_sets(narrow.join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-                       .join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]))
-    edges = (members.join(shared.select("bucket", F.col("low").alias("dst")), "bucket").where("doc_id <> dst")
-             .select(F.col("doc_id").alias("src"), "dst").distinct())
-    links = [saved(_confirmed(edges, sets, percent))]
-    members = saved(members.join(shared.select("bucket", F.col("low").alias("doc_id")), ["bucket", "doc_id"], "left_anti"))
+    members = saved(buckets.join(shared.select("bucket", "low"), "bucket").where("doc_id <> low"))
+    briefs = firsts.select("doc_id", "n_shingles", "brief")
+    edges = members.select(F.col("doc_id").alias("src"), F.col("low").alias("dst")).distinct()
+    members = members.select("bucket", "doc_id")
+    links: list[DataFrame] = []
+    labels = None
     while True:
-        labels = components(reduce(DataFrame.union, links))
-        tagged = members.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select(
-            "bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-        per_label = tagged.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-        centres = saved(per_label.groupBy("bucket").agg(
-            F.min_by(F.struct("doc_id", "label"), F.struct("n", "label")).alias("c"), F.count("*").alias("labels"))
-            .where("labels > 1").select("bucket", "c.doc_id", "c.label"))
+        likely = saved(_likely(edges, briefs, percent))
+        if labels is None or not likely.isEmpty():
+            found = saved(_confirmed(likely, texts, words, percent))
+            if labels is None or not found.isEmpty():
+                links.append(found)
+                labels = components(reduce(DataFrame.union, links))
+        members, centres = _next_centres(members, labels)
         if centres.isEmpty():
             break
-        members = saved(tagged.join(centres.select("bucket"), "bucket", "left_semi"))
-        links.append(saved(_confirmed(_stars(members, centres), sets, percent)))
-        members = saved(members.select("bucket", "doc_id").join(
-            centres.select("bucket", "doc_id"), ["bucket", "doc_id"], "left_anti"))
-    # Copies hang on their set's first document.
-    named = saved(components(reduce(DataFrame.union, [*links, reached.select(
-        F.col("doc_id").alias("src"), F.col("rep").alias("dst"))])))
-    return signed.select("doc_id", "n_shingles").join(
-        named.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"),
-        F.coalesce(F.coalesce("label", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+        edges = _stars(members, centres)
+        members = members.select("bucket", "doc_id").join(centres.select("bucket", "doc_id"), ["bucket", "doc_id"], "left_anti")
+    # Copies follow their set's first document.
+    own = saved(low.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select(
+        "digest", F.coalesce("label", "doc_id").alias("label")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
+    return signed.select("doc_id", "n_shingles", "digest").join(own, "digest", "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _repeated(docs: DataFrame) -> DataFrame:
+    """Ids that several rows have."""
+    ids = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
+    return saved(ids.agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -235,13 +285,12 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Rows without doc_id stay. Of several rows of one doc_id the one of the smallest text stays.
     """
-    found = saved(near_duplicates(docs, words, percent).select("doc_id", "kept"))
-    repeated = saved(found.where("doc_id IS NOT NULL AND kept").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    gone = found.where("NOT kept").select("doc_id").distinct()
+    gone = saved(near_duplicates(docs, words, percent).where("NOT kept").select("doc_id"))
+    repeated = _repeated(docs)
     if repeated.isEmpty():
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     once = docs.join(gone.union(repeated), "doc_id", "left_anti").select(*docs.columns)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    again = (docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id")
+    again = (docs.join(repeated, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").groupBy("doc_id")
              .agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias("row")).select("row.*"))
     return once.unionByName(again)
