@@ -1,23 +1,58 @@
 """Corpus pipeline over the documents table: its stages in order, and the run of all.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
-and reread as the next stage's documents.
+and reread as the next stage's documents. All but the last return the documents' columns.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import neardup
+from shelfspark.llm import langid, mixing, neardup, packing, quality
 from shelfspark.llm.common import saved, table
 
+# A document goes if less than this part of its pooled probability is on one language.
+LEAST_LANGUAGE_SCORE = 0.4
+# A source may repeat at most this often in the mix; no document is left out of it.
+REPETITION = 2.0
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters in a language the network is sure enough of."""
+    return langid.keep_known(docs, langid.fit(docs), LEAST_LANGUAGE_SCORE)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier predicts as good."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words, similarity of 0.8 or more."""
     return neardup.keep_first(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tempered mix in the order of its blocks; a document appears once per epoch of its source."""
+    mixed = mixing.mix(docs, mixing.Target(repetition=REPETITION), whole=True)
+    # A block lies whole in one partition, its documents in the order of their positions.
+    return mixed.sortWithinPartitions("block", "position").select("row.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as token sequences of at most 2048 ids, one row per piece."""
+    return packing.pack(
+        docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("language", language),
+    ("quality", good_quality),
+    ("near_dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+# Trained models and a tokenizer take part: tested against brute force instead.
 ORACLE_SQL = None

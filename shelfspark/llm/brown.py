@@ -212,8 +212,12 @@ def best_classes(units: np.ndarray, near: np.ndarray, of: np.ndarray, table: np.
         rest[own] -= after
         rest[:, own] -= before
         rest = np.maximum(rest, 0)
-        row, col, flat = rest.sum(axis=1), rest.sum(axis=0), _gain(rest)
+        flat, at = _gain(rest), np.arange(len(table))
         gain = (_gain(rest + after) - flat).sum(axis=1) + (_gain(rest + before[:, None]) - flat).sum(axis=0)
+        # The class's own cell grows by both sides at once.
+        inner = rest[at, at]
+        gain += _gain(inner + after + before) + _gain(inner) - _gain(inner + after) - _gain(inner + before)
+        row, col = rest.sum(axis=1) + before, rest.sum(axis=0) + after
         gain -= _gain(row + after.sum()) - _gain(row) + _gain(col + before.sum()) - _gain(col)
         gain[0] = -np.inf
         choice = int(np.argmax(gain))

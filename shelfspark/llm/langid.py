@@ -257,7 +257,10 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, network: Network, least: float = 0.0) -> DataFrame:
-    """Rows whose text has a language and a score of at least ``least``, with all their columns."""
+    """Rows whose text has a language and a score of at least ``least``, with all their columns.
+
+    A network that knows no language only tells texts without letters apart.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(network)
     key = id(network)
 
@@ -267,8 +270,11 @@ def keep_known(docs: DataFrame, network: Network, least: float = 0.0) -> DataFra
 
         reader, out = _reader(key, shared), []
         for at in range(0, len(texts), 256):
-            found = reader.predict([t if isinstance(t, str) else None for t in texts.iloc[at: at + 256]])
-            out += [lang != UNKNOWN and score >= least for lang, score in found]
+            part = [t if isinstance(t, str) else None for t in texts.iloc[at: at + 256]]
+            if reader.network.languages:
+                out += [lang != UNKNOWN and score >= least for lang, score in reader.predict(part)]
+            else:
+                out += [bool(t and _LETTER.search(t)) for t in part]
         return pd.Series(out, dtype=bool)
 
     return docs.where(known(F.col("text").cast("string")))

@@ -101,9 +101,9 @@ def _key(seed: str, *columns: str) -> Column:
 
 def mix(
     docs: DataFrame, target: Target, budget: int | None = None, block: int = 262_144, bucket_rows: int = 4096,
-    carry: tuple[str, ...] = (),
+    whole: bool = False,
 ) -> DataFrame:
-    """Rows of the mix: doc_id, source, tokens, epoch, block, position, and the columns of ``carry``.
+    """Rows of the mix: doc_id, source, tokens, epoch, block, position; with ``whole`` also the ``row`` itself.
 
     Order by block and position to read the mix. A document appears once per epoch of its
     source; the last epoch stops where the source's quota of tokens is reached. A null
@@ -115,8 +115,9 @@ def mix(
         blanks(F.col("text").cast("string")).alias("tokens"),
         # One name per source, a null one included, so that plain equality joins meet it.
         F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("source").cast("string"))).alias("name"),
-        *[F.col(f"`{c}`").alias(f"_{c}") for c in carry],
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []),
     )
+    carried = ["row"] if whole else []
     plan = saved(weights(own, target, budget))
     size = plan.agg(F.sum("quota")).first()[0] or 0
     blocks = max(1, math.ceil(size / block))
@@ -144,4 +145,4 @@ def mix(
     return (placed.withColumn("shuffle", _key("block", "epoch", "doc_id", "tokens"))
             .withColumn("position", F.row_number().over(shuffled).cast("bigint"))
             .select("doc_id", "source", "tokens", F.col("epoch").cast("bigint").alias("epoch"), "block", "position",
-                    *[F.col(f"_{c}").alias(c) for c in carry]))
+                    *carried))

@@ -288,8 +288,8 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     gone = saved(near_duplicates(docs, words, percent).where("NOT kept").select("doc_id"))
     repeated = _repeated(docs)
     if repeated.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    once = docs.join(gone.union(repeated), "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(gone, "doc_id", "left_anti")
+    once = docs.join(gone.union(repeated), "doc_id", "left_anti")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     again = (docs.join(repeated, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").groupBy("doc_id")
              .agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias("row")).select("row.*"))

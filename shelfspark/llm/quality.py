@@ -153,6 +153,6 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("boolean")
     def good(texts):
         scorer = Scorer(shared.value)
-        return texts.map(lambda t: scorer.score(t) >= 0.5)
+        return texts.map(lambda t: scorer.score(t if isinstance(t, str) else None) >= 0.5)
 
     return docs.where(good(F.col("text").cast("string")))

@@ -82,21 +82,20 @@ def captures(pages: DataFrame) -> DataFrame:
     """
     p = F.col("page_id")
     digest = F.md5("html")
-    at = F.timestamp_seconds(F.lit(1_700_000_000).cast("bigint") + p * 60)
-    later = F.timestamp_seconds(F.lit(1_700_000_000).cast("bigint") + p * 60 + F.when(p % 11 == 0, -3600).otherwise(86_400))
+    at = F.lit(1_700_000_000).cast("bigint") + p * 60
+    later = at + F.when(p % 11 == 0, -3600).otherwise(86_400)
     etag = F.when(p % 5 != 0, F.concat(F.lit('"'), F.substring(digest, 1, 12), F.lit('"')))
-    size = F.length("html").cast("string")
     full = pages.select(
-        (2 * p).alias("record_id"), F.lit("response").alias("kind"), F.col("url"), at.alias("at"), etag.alias("etag"),
-        F.lit(None).cast("string").alias("last_modified"), digest.alias("digest"),
-        F.create_map(F.lit("content-length"), size, F.lit("content-type"), F.lit("text/html"),
-                     F.lit("date"), F.date_format(at, "yyyy-MM-dd HH:mm:ss")).alias("headers"))
+        (2 * p).alias("record_id"), F.lit("response").alias("kind"), F.col("url"), F.timestamp_seconds(at).alias("at"),
+        etag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), digest.alias("digest"),
+        F.create_map(F.lit("content-length"), F.length("html").cast("string"), F.lit("content-type"), F.lit("text/html"),
+                     F.lit("date"), at.cast("string")).alias("headers"))
     check = pages.select(
         (2 * p + 1).alias("record_id"), F.lit("revisit").alias("kind"),
-        F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")).alias("url"), later.alias("at"),
+        F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")).alias("url"), F.timestamp_seconds(later).alias("at"),
         F.when(p % 7 == 0, F.lit('"new"')).otherwise(etag).alias("etag"), F.lit(None).cast("string").alias("last_modified"),
         digest.alias("digest"),
-        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), F.date_format(later, "yyyy-MM-dd HH:mm:ss"),
+        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), later.cast("string"),
                      F.lit("expires"), F.lit("never")).alias("headers"))
     return full.unionByName(check)
 
@@ -126,7 +125,82 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_revisits": op9_revisits,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+
+# The exponent in closed form: the rarest source repeats twice, the most frequent once.
+_MIX = f"""
+WITH d AS (
+    SELECT doc_id, source, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS name,
+           length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) + 1 AS tokens
+    FROM documents),
+s AS (SELECT name, cast(sum(tokens) AS BIGINT) AS t FROM d GROUP BY name),
+e AS (SELECT max(t) AS top,
+             CASE WHEN max(t) > {MIX_REPETITION} * min(t) THEN 1 - ln({MIX_REPETITION}) / ln(max(t) / min(t)) ELSE 0 END AS a
+      FROM s),
+q AS (SELECT name, t, greatest(1, cast(ceil(pow(t, a) * pow(top, 1 - a) - 1e-6) AS BIGINT)) AS quota FROM s, e),
+b AS (SELECT greatest(1, cast(ceil(sum(quota) / {MIX_BLOCK}) AS BIGINT)) AS blocks FROM q),
+r AS (SELECT d.*, t, quota, unnest(range(0, (quota - 1) // t + 1)) AS epoch FROM d JOIN q USING (name)),
+k AS (SELECT *, epoch || '|' || coalesce(cast(doc_id AS VARCHAR), '') || '|' || tokens AS named FROM r),
+c AS (SELECT *, epoch * t + sum(tokens) OVER (PARTITION BY name, epoch ORDER BY md5('order|' || named)
+                                              ROWS UNBOUNDED PRECEDING) - tokens AS start FROM k),
+p AS (SELECT *, cast(cast(start AS HUGEINT) * blocks // quota AS BIGINT) AS block FROM c, b WHERE start < quota)
+SELECT doc_id, source, cast(tokens AS BIGINT) AS tokens, cast(epoch AS BIGINT) AS epoch, block,
+       row_number() OVER (PARTITION BY block ORDER BY md5('block|' || named), md5('order|' || named)) AS position
+FROM p"""
+
+_NEAR = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\\x20\\x09-\\x0D]+') AS words
+    FROM documents),
+g AS (
+    SELECT DISTINCT doc_id, array_to_string(words[i : i + 2], ' ') AS shingle
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 1))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+l AS (
+    SELECT a, b
+    FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM g x JOIN g y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+          GROUP BY x.doc_id, y.doc_id)
+    JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+    WHERE 100 * common >= 85 * (na.n + nb.n - common)),
+r AS (
+    SELECT doc_id, doc_id AS reached FROM documents
+    UNION
+    SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id, min(reached) = r.doc_id AS kept
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+_REVISITS = """
+WITH u AS (
+    SELECT page_id, md5(html) AS digest, length(html) AS size, 1700000000 + page_id * 60 AS at,
+           regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
+    FROM pages),
+h AS (
+    SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), ':(80|443)$', ''), '^www[.]', '') AS host,
+           regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+           list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'),
+                       x -> x <> '' AND NOT regexp_full_match(x, '(utm_[^&]*|ref|gclid|fbclid)(=.*)?')) AS params
+    FROM u),
+c AS (
+    SELECT *, host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url_key,
+           CASE WHEN page_id % 5 <> 0 THEN '"' || substr(digest, 1, 12) || '"' END AS etag
+    FROM h),
+v AS (
+    SELECT *, at + CASE WHEN page_id % 11 = 0 THEN -3600 ELSE 86400 END AS later,
+           CASE WHEN page_id % 7 = 0 THEN '"new"' ELSE etag END AS new_etag
+    FROM c),
+j AS (
+    SELECT v.*, r.page_id AS to_page, r.at AS to_at, r.size AS to_size, coalesce(v.new_etag = r.etag, v.digest = r.digest) AS agrees,
+           row_number() OVER (PARTITION BY v.page_id ORDER BY r.at DESC NULLS LAST, r.page_id DESC) AS n
+    FROM v LEFT JOIN c r ON r.url_key = v.url_key AND r.at <= v.later)
+SELECT 2 * page_id + 1 AS record_id, url_key, later AS at,
+       CASE WHEN to_page IS NULL THEN 'unmatched' WHEN agrees THEN 'resolved' ELSE 'changed' END AS status,
+       CASE WHEN agrees THEN 2 * to_page END AS refers_to, CASE WHEN agrees THEN later - to_at END AS lag_seconds,
+       'content-length: ' || CASE WHEN agrees THEN cast(to_size AS VARCHAR) || chr(10) || 'content-type: text/html' ELSE '0' END
+           || chr(10) || 'date: ' || later || chr(10) || 'expires: never' AS headers
+FROM j WHERE n = 1"""
+
+# The other operators train models, tokenize or approximate: tested against brute force.
+ORACLES: dict[str, str] = {"op1_mixing": _MIX, "op8_near_dedup": _NEAR, "op9_revisits": _REVISITS}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
