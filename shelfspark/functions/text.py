@@ -299,12 +299,20 @@ def meta_keywords(values: Column, brand: Column, mpn: Column) -> Column:
 
 
 # ---------------------------------------------------------------- text health
+# How Windows-1253 shows the bytes that lead twice-encoded text. C3 is shown as
+# a capital gamma; what follows it is one of the bytes 82, 83, 8E, 8F, or the bytes of a
+# quotation mark that was encoded twice. A gamma before any other character is plain Greek.
+DOUBLE_LEAD = "Γ"
+DOUBLE_NEXT = ["‚", "ƒ", "\\u008e", "\\u008f", "Άβ‚¬"]
+
+
 def text_issues(col: Column) -> Column:
     """Names of the encoding faults found in a text, in fixed order."""
+    doubled = f"{DOUBLE_LEAD}(?:{'|'.join(DOUBLE_NEXT)})[^\\n]"
     flags = F.array(
         F.when(F.contains(col, F.lit("�")), "replacement_character"),
         F.when(col.rlike("[\\u0080-\\u009f]"), "c1_control_character"),
-        F.when(col.rlike("Γƒ.|Γ‚.|Γ.|ΓΆβ‚¬"), "mojibake_pattern"),
+        F.when(col.rlike(doubled), "mojibake_pattern"),
         F.when(col.rlike("\\?{3,}") & ~F.contains(col, F.lit("http")), "question_mark_run"),
     )
     return F.filter(flags, lambda f: f.isNotNull())

@@ -843,23 +843,16 @@ def sanitize_headers(headers: Column) -> Column:
     )
 
 
-def _drop_sensitive(value):
-    if isinstance(value, dict):
-        return {
-            k: _drop_sensitive(v)
-            for k, v in value.items()
-            if not any(mark in k.strip().lower() for mark in SENSITIVE_KEY_MARKERS)
-        }
-    if isinstance(value, list):
-        return [_drop_sensitive(v) for v in value]
-    return value
+def _harmless(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    """Members of one JSON object without the sensitive ones; the parser calls it at every depth."""
+    return {k: v for k, v in pairs if not any(mark in k.strip().lower() for mark in SENSITIVE_KEY_MARKERS)}
 
 
 @F.pandas_udf(T.StringType())
 def _sanitize_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def clean(text):
         try:
-            return json.dumps(_drop_sensitive(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+            return json.dumps(json.loads(text, object_pairs_hook=_harmless), ensure_ascii=False, separators=(",", ":"))
         except ValueError:
             return text
 

@@ -565,7 +565,7 @@ def _(v):
 @query(
     "FN37_measurement",
     """SELECT p_partkey AS product_id, p_size || ',5 kg' AS weight, CASE WHEN p_size % 2 = 0 THEN p_size || '0W' ELSE p_size || ',5 kg' END AS first_found,
-          p_size || '.00L'  AS capacity, 'kg' AS unit FROM part""",
+          p_size || '.00L'  AS capacity FROM part""",
 )
 def _(v):
     size = F.col("p_size").cast("string")
@@ -573,10 +573,27 @@ def _(v):
     return v.part.select(
         F.col("p_partkey").alias("product_id"), N.measurement_in_text(text, ["kg"]).alias("weight"),
         N.measurement_in_text(text, ["kg", "watt"]).alias("first_found"), N.measurement_in_text(text, ["lt"]).alias("capacity"),
-        N.unit_of(F.lit("Net βάρος"), size).alias("unit"),
     )
 
 
+# Label, value and category of a field; the unit is what a reader expects, by number of the case.
+_UNIT_CASES = [
+    ("Net βάρος", "5", ""), ("Όγκος", "5lt", ""), ("Πόδια", "12cm", ""), ("Πόδια", "12 cm", ""), ("Τάση", "230", ""),
+    ("Ισχύς", "800", ""), ("Χωρητικότητα", "8", "Πλυντήρια Ρούχων"), ("Χωρητικότητα", "320", "Ψυγεία"), ("Χωρητικότητα", "8", "Τηλεοράσεις"),
+    ("Χρώμα", "μαύρο", "Ψυγεία"), ("Φορτίο", "8", ""), ("Ύψος", "85", "Πλυντήρια"),
+]
+
+
+@query(
+    "FN37_unit",
+    """SELECT p_partkey AS product_id, list_extract(['kg', 'Lt', 'cm', 'cm', 'V', 'W', 'kg', 'Lt', '', '', 'kg', 'cm'], (p_partkey % 12 + 1)::int) AS unit FROM part""",
+)
+def _(v):
+    cases = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(c, ("label", "value", "category"))]) for c in _UNIT_CASES])
+    case = F.element_at(cases, (F.col("p_partkey") % len(_UNIT_CASES) + 1).cast("int"))
+    return v.part.select(F.col("p_partkey").alias("product_id"), N.unit_of(case["label"], case["value"], case["category"]).alias("unit"))
+
+
 @query(
     "FN37_compact_unit",
     "SELECT p_partkey AS product_id, p_size || 'kg' AS compact FROM part",
@@ -589,24 +606,32 @@ def _(v):
 
 @query(
     "FN38_value_alias_keys",
-    """SELECT p_partkey AS product_id, p_size || 'kg|' || p_size || ' kg|' || p_size AS keys FROM part""",
+    """SELECT p_partkey AS product_id, CASE p_partkey % 6 WHEN 0 THEN p_size || 'kg|' || p_size || ' kg|' || p_size
+            WHEN 1 THEN 'front load|εμπρος' WHEN 2 THEN p_size || '|' || p_size || ' kg|' || p_size || 'lt|' || p_size || ' rpm'
+            WHEN 3 THEN 'silver|ασημι' WHEN 4 THEN p_size || ' κιλα|' || p_size || ' kg|' || p_size ELSE '4k uhd|4k ultra hd|ultra hd 4k|ultra hd' END AS keys FROM part""",
 )
 def _(v):
-    return v.part.select(
-        F.col("p_partkey").alias("product_id"), N.value_alias_keys(F.concat("p_size", F.lit("KG"))).alias("keys")
-    )
+    size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 6
+    value = (F.when(kind == 0, F.concat(size, F.lit("KG"))).when(kind == 1, "Front Load").when(kind == 2, size)
+             .when(kind == 3, "Silver").when(kind == 4, F.concat(size, F.lit(" κιλά"))).otherwise("4K UHD"))
+    return v.part.select(F.col("p_partkey").alias("product_id"), N.value_alias_keys(value).alias("keys"))
+
+
+# Titles by number of the case, and the class that a reader finds in them.
+_CLASS_CASES = ["ψυγείο a++ inverter", "fridge α+ white", "X B A++ 5", "Y Β, 3", "no class here", "Κλάση C/D+", "TV G/F", "oven A+++", "δ+ γ"]
 
 
 @query(
     "FN39_energy_and_btu",
-    """SELECT p_partkey AS product_id, CASE p_size % 3 WHEN 0 THEN 'A++' WHEN 1 THEN 'B' ELSE '' END AS energy, p_size || '000 BTU' AS btu,
+    """SELECT p_partkey AS product_id, list_extract(['A++', 'A+', 'A++', 'B', '', 'C', '', 'A+++', 'D+'], (p_partkey % 9 + 1)::int) AS energy, p_size || '000 BTU' AS btu,
           CASE p_size % 2 WHEN 0 THEN 'C+' ELSE '' END AS class_text FROM part""",
 )
 def _(v):
     size = F.col("p_size")
-    title = F.concat(F.col("p_brand"), F.when(size % 3 == 0, " B A++ ").when(size % 3 == 1, " Β, ").otherwise(" "), size.cast("string"), F.lit(".000 BTU"))
+    title = F.element_at(F.array(*[F.lit(t) for t in _CLASS_CASES]), (F.col("p_partkey") % len(_CLASS_CASES) + 1).cast("int"))
     return v.part.select(
-        F.col("p_partkey").alias("product_id"), N.energy_class_in_text(title).alias("energy"), N.btu_in_text(title).alias("btu"),
+        F.col("p_partkey").alias("product_id"), N.energy_class_in_text(title).alias("energy"),
+        N.btu_in_text(F.concat("p_brand", F.lit(" "), size.cast("string"), F.lit(".000 BTU"))).alias("btu"),
         N.energy_class(F.when(size % 2 == 0, "(Γ+)").otherwise("kappa")).alias("class_text"),
     )
 

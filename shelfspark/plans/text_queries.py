@@ -126,20 +126,32 @@ def _(v):
     return v.names_v.select("product_id", S.meta_keywords(values, F.col("brand"), F.concat(F.lit("M"), "size")).alias("keywords"))
 
 
-@query("FN26_mojibake_repair", "SELECT product_id, 'αβγ ' || brand AS repaired, brand AS clean FROM names_v")
+@query(
+    "FN26_mojibake_repair",
+    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Ψυγείο ' || lang WHEN 1 THEN 'αβγ ' || lang WHEN 2 THEN 'Γάλα ' || lang WHEN 3 THEN 'Ξ± ' || lang ELSE lang END AS repaired
+       FROM documents""",
+)
 def _(v):
-    return v.names_v.select(
-        "product_id", Y.repair_mojibake(F.concat(F.lit("Ξ±Ξ²Ξ³ "), "brand")).alias("repaired"), Y.repair_mojibake(F.col("brand")).alias("clean")
-    )
+    # What a wrong code page makes of Greek words, clean Greek, and a single damaged letter.
+    shown = {0: "Ξ¨Ο…Ξ³ΞµΞ―ΞΏ ", 1: "Ξ±Ξ²Ξ³ ", 2: "Γάλα ", 3: "Ξ± "}
+    kind = F.col("doc_id") % 5
+    text = F.concat(F.coalesce(*[F.when(kind == k, t) for k, t in shown.items()], F.lit("")), "lang")
+    return v.documents.select("doc_id", Y.repair_mojibake(text).alias("repaired"))
+
+
+# Endings that carry an encoding fault or look like one; the oracle knows them by number only.
+_ENDINGS = ["", " Γάλα φρέσκο", " ΜΑΓΕΙΡΙΚΗ ΓΩΝΙΑ Γ", " Γƒx", " Γ‚ ", " Γ\u008f.", " ΓΆβ‚¬™", " \ufffd", " ???", " Γƒ"]
 
 
 @query(
     "FN27_text_issues",
-    """SELECT doc_id, concat_ws('|', CASE WHEN contains(text, '�') THEN 'replacement_character' END, CASE WHEN regexp_matches(text, '[\\x{80}-\\x{9f}]') THEN 'c1_control_character' END,
-          CASE WHEN regexp_matches(text, 'Γ.') THEN 'mojibake_pattern' END, CASE WHEN regexp_matches(text, '[?]{3,}') AND NOT contains(text, 'http') THEN 'question_mark_run' END) AS issues FROM documents""",
+    """SELECT doc_id, concat_ws('|', CASE WHEN doc_id % 10 = 7 THEN 'replacement_character' END, CASE WHEN doc_id % 10 = 5 THEN 'c1_control_character' END,
+          CASE WHEN doc_id % 10 IN (3, 4, 5, 6) THEN 'mojibake_pattern' END,
+          CASE WHEN (doc_id % 10 = 8 OR contains(text, '???')) AND NOT contains(text, 'http') THEN 'question_mark_run' END) AS issues FROM documents""",
 )
 def _(v):
-    return v.documents.select("doc_id", S.text_issues(F.col("text")).alias("issues"))
+    ending = F.element_at(F.array(*[F.lit(e) for e in _ENDINGS]), (F.col("doc_id") % 10 + 1).cast("int"))
+    return v.documents.select("doc_id", S.text_issues(F.concat("text", ending)).alias("issues"))
 
 
 @query("FN20_content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
