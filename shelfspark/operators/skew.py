@@ -5,8 +5,8 @@ None of them brings a whole group into one task:
 * ``first_row`` is an aggregate, so every map task hands on one row per key.
 * ``top_rows`` filters on ``row_number() <= n``; Spark cuts each group to n rows
   before the shuffle (group limit below the exchange).
-* ``exact_rank`` numbers whole groups. Groups above a share of the input are cut
-  into ordered ranges first, and each range is numbered by its own task.
+* ``exact_rank`` numbers whole groups. Groups of more rows than a task should number
+  are cut into ordered ranges first, and each range is numbered by its own task.
 """
 
 from __future__ import annotations
@@ -59,35 +59,33 @@ def exact_rank(
     keys: Sequence[str],
     order: Sequence[str],
     rank_col: str = "rank",
-    hot_share: float = 0.01,
-    ranges: int = 64,
+    task_rows: int = 2_000_000,
+    most_ranges: int = 4_096,
     sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Number all rows of every group from 1 by the ascending columns ``order``.
 
     ``order`` must identify a row within its group, or equal rows are numbered in
-    any order. A group is hot when it holds more than ``hot_share`` of the rows, so
-    there are at most ``1 / hot_share`` hot groups, and the cut points (at most a few
-    hundred per group, taken by a hash of the row) are small enough to broadcast.
-    ``sizes_from`` may name a cheaper frame with at least as many rows per group to find
-    the hot groups in; without hot groups the cutting steps drop out at run time.
+    any order. A group of more than ``task_rows`` rows is cut into about as many ordered
+    ranges as it has times that many rows, at most ``most_ranges``. The cut points are rows
+    taken by a hash, so there are no more of them than rows over ``task_rows``; whether they
+    are broadcast is left to Spark's size check. ``sizes_from`` may name a cheaper frame with
+    at least as many rows per group to find the large groups in; without large groups the
+    cutting steps drop out at run time.
     """
     order_key = F.struct(*[F.col(c) for c in order])
     counted = df if sizes_from is None else sizes_from
-    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counted.agg(F.count(F.lit(1))).scalar()
-    hot = sizes.where((F.col("_n") > total * F.lit(hot_share)) & (F.col("_n") > ranges * 16))
-    # Every row has the same chance of becoming a cut point; about `ranges` per hot group.
+    hot = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > task_rows).withColumn(
+        "_ranges", F.least(F.ceil(F.col("_n") / F.lit(task_rows)), F.lit(most_ranges))
+    )
+    # Every row of a large group has the same chance of becoming a cut point.
     cuts = (
-        df.join(F.broadcast(hot), list(keys))
-        .where(
-            F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.greatest(F.col("_n"), F.lit(1)))
-            < F.lit(ranges)
-        )
+        df.join(hot, list(keys))
+        .where(F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.col("_n")) < F.col("_ranges"))
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_set(order_key)).alias("_cuts"))
     )
-    bucketed = df.join(F.broadcast(cuts), list(keys), "left").withColumn(
+    bucketed = df.join(cuts, list(keys), "left").withColumn(
         "_range",
         F.coalesce(
             F.size(F.filter(F.col("_cuts"), lambda cut: cut < order_key)), F.lit(0)
@@ -97,7 +95,7 @@ def exact_rank(
         Window.unboundedPreceding, -1
     )
     offsets = (
-        bucketed.join(F.broadcast(cuts.select(*keys)), list(keys), "left_semi")
+        bucketed.join(cuts.select(*keys), list(keys), "left_semi")
         .groupBy(*keys, "_range")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select(*keys, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_skip"))
@@ -105,7 +103,7 @@ def exact_rank(
     within = Window.partitionBy(*keys, "_range").orderBy(*order)
     return (
         bucketed.withColumn("_pos", F.row_number().over(within))
-        .join(F.broadcast(offsets), [*keys, "_range"], "left")
+        .join(offsets, [*keys, "_range"], "left")
         .withColumn(rank_col, (F.col("_pos") + F.coalesce(F.col("_skip"), F.lit(0))).cast("bigint"))
         .drop("_pos", "_skip", "_range")
     )

@@ -217,8 +217,9 @@ def _(v):
 def _(v):
     folder = fresh_dir(v, "health")
     attempts = v.spark.sql(monitoring_queries.VIEWS["captures_v"], events=_file_stream(v, "events"))
-    J.run_state_stream(attempts, J.health_step, folder, folder + "-cp").awaitTermination()
-    return J.latest_state(v.spark, folder, 0).select("source_id", "last_fetch_status", "consecutive_failures")
+    run = J.run_state_stream(attempts, J.health_step, folder, folder + "-cp")
+    run.awaitTermination()
+    return J.latest_state(v.spark, folder, run).select("source_id", "last_fetch_status", "consecutive_failures")
 
 
 @query("ST3_snapshot_stream", "SELECT DISTINCT source_id, artifact_ref, digest_no::varchar AS digest FROM incoming_snapshots_v")
@@ -240,8 +241,9 @@ def _(v):
     folder = fresh_dir(v, "jobs")
     rows = v.spark.sql(monitoring_queries.VIEWS["jobs_v"], events=_file_stream(v, "events"))
     jobs = rows.withColumn("job_id", F.col("user_id"))
-    J.run_state_stream(jobs, J.heartbeat_step, folder, folder + "-cp").awaitTermination()
-    return J.stale_now(J.latest_state(v.spark, folder, 0), {"click": 600}).select("job_id", "job_type")
+    run = J.run_state_stream(jobs, J.heartbeat_step, folder, folder + "-cp")
+    run.awaitTermination()
+    return J.stale_now(J.latest_state(v.spark, folder, run), {"click": 600}).select("job_id", "job_type")
 
 
 monitoring_queries.VIEWS["stream_obs_v"] = """

@@ -208,9 +208,21 @@ def _(v):
     return v.names_v.select("product_id", Y.lint_flags(text, F.lit("gadget"), F.lit("box"), F.array(F.lit("m1"), F.lit(""))).alias("flags"))
 
 
-@query("FN43_repeated_phrases")
+@query(
+    "FN43_repeated_phrases",
+    r"""WITH t AS (SELECT doc_id, regexp_extract_all(replace(lower(strip_accents(text || CASE WHEN doc_id % 4 = 0 THEN ' Copper kettle stands near copper KETTLE' ELSE '' END)), 'ß', 'ss'),
+                                                     '[\p{L}\p{N}]+') AS w FROM documents),
+            p AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t),
+            g AS (SELECT doc_id, i, n, w[i : i + n - 1] AS run FROM p, (SELECT unnest([2, 3, 4, 5]) AS n) WHERE i + n - 1 <= len(w)),
+            k AS (SELECT doc_id, i, n, array_to_string(run, ' ') AS phrase FROM g
+                  WHERE len(list_distinct(list_filter(run, lambda x: x NOT IN ('with', 'that', 'this') AND (length(x) > 3 OR regexp_matches(x, '[0-9]'))))) >= 2),
+            f AS (SELECT *, min(i) OVER (PARTITION BY doc_id, phrase) AS first FROM k),
+            r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i, phrase DESC) AS place FROM f WHERE i > first AND i - first <= 10)
+       SELECT doc_id, phrase FROM r WHERE place = 1""",
+)
 def _(v):
-    return Y.repeated_phrases(v.documents, "doc_id", "text", ["with", "that", "this"])
+    ending = F.when(F.col("doc_id") % 4 == 0, " Copper kettle stands near copper KETTLE").otherwise("")
+    return Y.repeated_phrases(v.documents.withColumn("text", F.concat("text", ending)), "doc_id", "text", ["with", "that", "this"])
 
 
 @query(

@@ -57,8 +57,12 @@ def run_state_stream(
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
-def latest_state(spark: SparkSession, state_dir: str, last_batch: int) -> DataFrame:
-    return spark.read.parquet(f"{state_dir}/version={last_batch}")
+def latest_state(spark: SparkSession, state_dir: str, query: StreamingQuery) -> DataFrame:
+    """State after the last batch of an ended query; versions are numbered by batch."""
+    last = query.lastProgress
+    if last is None:
+        raise ValueError("the query has not finished a batch yet")
+    return spark.read.parquet(f"{state_dir}/version={last['batchId']}")
 
 
 def health_step(batch: DataFrame, before: DataFrame | None) -> DataFrame:
