@@ -146,20 +146,18 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node and the smallest node it reaches, for every node of ``links`` (src, dst).
 
-    Each round takes the smallest label among the neighbours and then the label's own
+    Each round takes the smallest label among the neighbours and then that label's own
     label, so long chains shrink by powers; every round is a written table.
     """
-    both = saved(links.select("src", "dst").union(links.select("dst", "src")).where("src <> dst").distinct())
+    both = links.select("src", "dst").union(links.select("dst", "src")).where("src <> dst")
     labels = saved(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"))
                    .select("node", F.least("node", "low").alias("label")))
     while True:
         near = (both.join(labels.select(F.col("node").alias("dst"), "label"), "dst")
                 .groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near")))
-        step = saved(labels.join(near, "node", "left").select(
-            "node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label")))
-        own = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        step = saved(step.join(own, "label", "left").select(
-            "node", "was", F.least("label", F.coalesce("next", "label")).alias("label")))
+        own = labels.select(F.col("node").alias("near"), F.col("label").alias("next"))
+        step = saved(labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("near"))
+                     .join(own, "near").select("node", "was", F.least("near", "next").alias("label")))
         labels = step.select("node", "label")
         if step.where("label <> was").isEmpty():
             return labels
