@@ -32,20 +32,21 @@ VIEWS["two_paths_v"] = """
            p_brand AS "filter_group:Brand", CASE WHEN p_size % 2 = 0 THEN '' ELSE ' ' || cast(p_size AS string) || ' ' END AS "filter_group:Size"
     FROM {part}"""
 VIEWS["two_paths_v"] = VIEWS["two_paths_v"].replace('"filter_group:Brand"', "fg_brand").replace('"filter_group:Size"', "fg_size")
-VIEWS["known_paths_v"] = "SELECT DISTINCT p_type || ' > A' AS path FROM {part} WHERE p_type < 'M'"
+VIEWS["known_paths_v"] = "SELECT DISTINCT p_type || CASE WHEN p_type < 'M' THEN ' > A' ELSE ' > Z' END AS path FROM {part}"
 VIEWS["templates_v"] = f"""
     SELECT p_type || '-' || cast(p_size AS string) || '-' || variant AS template_id, {_PATH} AS category_path, p_type AS t_parent,
            {_LEAF} AS t_leaf, 'Model ' || cast(p_size AS string) AS t_sub, 'exact' AS match_policy,
-           CASE WHEN p_size % 10 = 0 THEN 'manual_only' WHEN p_size % 10 = 1 THEN 'draft' ELSE 'active' END AS template_status,
+           CASE WHEN p_size <> 48 AND (p_size > 44 OR variant = 'b' AND p_size < 15) THEN 'draft'
+                WHEN p_size % 10 = 0 THEN 'manual_only' WHEN p_size % 10 = 1 THEN 'draft' ELSE 'active' END AS template_status,
            split('general~power', '~') AS section_names,
            CASE variant WHEN 'a' THEN split('color~size~steam~weight', '~') ELSE split('color~size~noise', '~') END AS label_set,
            CASE variant WHEN 'a' THEN split('general color~general size~general steam', '~') ELSE split('general color~general size', '~') END AS pair_set,
            CASE variant WHEN 'a' THEN 'steam' ELSE '' END AS only_label,
            CASE variant WHEN 'a' THEN 1 ELSE CASE WHEN p_size % 4 = 0 THEN 3 ELSE 1 END END AS min_label_overlap,
            1 AS min_section_overlap, 'file_' || variant || '.json' AS source_file
-    FROM (SELECT DISTINCT p_type, p_size, 'a' AS variant FROM {{part}} WHERE p_size < 45
-          UNION ALL SELECT DISTINCT p_type, p_size, 'b' AS variant FROM {{part}} WHERE p_size BETWEEN 15 AND 44
-          UNION ALL SELECT DISTINCT p_type, 48, 'a' AS variant FROM {{part}})"""
+    FROM (SELECT DISTINCT p_type, p_size, 'a' AS variant FROM {{part}}
+          UNION SELECT DISTINCT p_type, p_size, 'b' AS variant FROM {{part}}
+          UNION SELECT DISTINCT p_type, 48, 'a' AS variant FROM {{part}})"""
 VIEWS["filter_groups_v"] = """
     SELECT 'cat_' || p_type AS category_id, 'fg_' || p_type || '_' || lower(g) AS group_id, g AS group_name,
            g = 'Color' AS required, CASE g WHEN 'Mode' THEN 'inactive' WHEN 'Old' THEN 'deprecated' ELSE 'active' END AS status

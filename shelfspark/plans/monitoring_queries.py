@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import money as M
@@ -516,18 +517,22 @@ def _(v):
 
 @query(
     "A10_refetch_counts",
-    """WITH s AS (SELECT * FROM observations_v WHERE attempt = 1 AND source = 'market_a'),
-       b AS (SELECT run_id, max(attempt) AS last, count(*) AS n FROM s GROUP BY 1),
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY run_id, product_id, seller_id ORDER BY attempt DESC, observation_id) = 1 AS newest
+                  FROM (SELECT *, split_part(observation_id, '/', 4) AS seller_id FROM observations_v)),
+       b AS (SELECT run_id, max(attempt) AS last, count(*) AS n FROM o WHERE NOT newest GROUP BY 1),
        i AS (SELECT run_id, count(*) AS c, count(*) FILTER (match_status = 'matched') AS m,
-                    count(*) FILTER (match_status = 'unmatched') AS u FROM observations_v WHERE attempt = 2 GROUP BY 1)
+                    count(*) FILTER (match_status = 'unmatched') AS u FROM o WHERE newest GROUP BY 1)
        SELECT i.run_id, c AS observation_count, m AS matched, u AS unmatched,
               coalesce(n, 0) AS replaced_observation_count, coalesce(n, 0) > 0 AS was_refetch,
               cast(coalesce(last, 0) + 1 AS bigint) AS fetch_attempt
        FROM i LEFT JOIN b USING (run_id)""",
 )
 def _(v):
-    obs = v.observations_v
-    return O.refetch_counts(obs.where("attempt = 1 AND source = 'market_a'"), obs.where("attempt = 2"))
+    # The newest attempt per run, product and seller is the incoming one; it replaces the others.
+    seller = F.element_at(F.split("observation_id", "/"), 4)
+    newest = Window.partitionBy("run_id", "product_id", seller).orderBy(F.desc("attempt"), "observation_id")
+    obs = v.observations_v.withColumn("n", F.row_number().over(newest))
+    return O.refetch_counts(obs.where("n > 1").drop("n"), obs.where("n = 1").drop("n"))
 
 
 @query(

@@ -43,8 +43,10 @@ VIEWS["evidence_v"] = """
     FROM {offers_v}"""
 VIEWS["existing_urls_v"] = """
     SELECT l_partkey * 100000 + l_suppkey AS url_id, l_partkey AS product_id,
-           'https://shop' || cast(l_suppkey AS string) || '.example.com/p/' || cast(l_partkey AS string) AS url_normalized,
-           'https://shop' || cast(l_suppkey AS string) || '.example.com/p/' || cast(l_partkey AS string) AS url,
+           'https://shop' || cast(l_suppkey AS string) || '.example.com' || CASE min(l_returnflag) WHEN 'A' THEN '/p/' ELSE '/moved/' END
+               || cast(l_partkey AS string) AS url_normalized,
+           'https://shop' || cast(l_suppkey AS string) || '.example.com' || CASE min(l_returnflag) WHEN 'A' THEN '/p/' ELSE '/moved/' END
+               || cast(l_partkey AS string) AS url,
            'shop' AS source_name, 'shop' || cast(l_suppkey AS string) || '.example.com' AS source_domain,
            CASE (l_partkey + l_suppkey) % 6 WHEN 0 THEN 'broken' WHEN 1 THEN 'needs_review' WHEN 2 THEN 'disabled'
                 WHEN 3 THEN 'redirected' ELSE 'active' END AS status,
@@ -55,7 +57,7 @@ VIEWS["existing_urls_v"] = """
            CASE WHEN l_suppkey % 5 = 0 THEN 'HTTP 500' ELSE NULL END AS last_error,
            CASE WHEN l_suppkey % 7 = 0 THEN 'Imported' ELSE NULL END AS notes,
            l_suppkey % 4 AS failure_count, max(l_shipdate) AS updated_at
-    FROM {lineitem} WHERE l_returnflag = 'A' GROUP BY l_partkey, l_suppkey"""
+    FROM {lineitem} GROUP BY l_partkey, l_suppkey"""
 VIEWS["imported_urls_v"] = """
     SELECT l_partkey AS product_id,
            'https://shop' || cast(l_suppkey AS string) || '.example.com/p/' || cast(l_partkey AS string) AS url_normalized,
@@ -82,7 +84,7 @@ VIEWS["capture_sources_v"] = """
            CASE l_suppkey % 10 WHEN 1 THEN 'skroutz_firecrawl' ELSE 'direct' END AS strategy,
            CASE WHEN l_suppkey % 12 = 1 THEN 'NO_OFFER_OBSERVATIONS_PARSED' WHEN l_suppkey % 12 = 2 THEN 'Firecrawl_Blocked' ELSE '' END AS flag,
            max(l_shipdate) AS updated_at
-    FROM {lineitem} WHERE l_returnflag <> 'N' GROUP BY l_partkey, l_suppkey"""
+    FROM {lineitem} GROUP BY l_partkey, l_suppkey"""
 VIEWS["vendors_v"] = """
     SELECT DISTINCT s_suppkey % 6 AS vendor_id,
            CASE s_suppkey % 6 WHEN 1 THEN 'skroutz' WHEN 2 THEN 'bestprice' WHEN 5 THEN NULL ELSE 'shop' END AS vendor
