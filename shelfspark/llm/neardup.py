@@ -6,12 +6,20 @@ order of its own that is the same for all documents (optimal densification). ``r
 make a band, and documents with an equal band share a bucket.
 
 A bucket never yields all its pairs: it yields a star, edges from one centre to the other
-members. Edges whose signatures are far apart go, the others are confirmed on the full shingle sets,
-and the links' components are found. Buckets that still hold several components then get
-new centres, members of their smaller components first, which meet the members of other
-components, round by round until one component is left or every member was a centre: no
-candidate pair between different components stays unchecked. A round has at most ``FAN``
-centres per bucket, so its edges grow with the members and not with their pairs.
+members. The centre is the member that shares buckets with most others, as the text that
+many copies were made from does. Every edge is measured on the full shingle sets, and the
+links' components are found. Two members x and y of one centre c that are still in different
+components can only be linked
+
+* if they share a shingle that c does not have, among the first few such shingles of both
+  (the usual prefix of a similarity join, here of the sets less c), or
+* if what they share with c is enough by itself, which the measured sizes tell.
+
+So the members meet again in buckets of such shingles, and pairs of the second kind are
+compared directly. Copies of one text differ in rare shingles, so these buckets are small
+however many copies there are. In them members of the smaller components are centres in
+turn, at most ``FAN`` per bucket and round, until one component is left or every member was
+a centre. No candidate pair of different components stays unchecked.
 Documents with equal sets meet by a digest of the set first, so copies cost one row each.
 
 Hot buckets and centres: minima are aggregated before the shuffle, and the joins are plain
@@ -20,13 +28,14 @@ equality joins of two exchanges, which the adaptive skew join can split.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import mix64, saved, small_batches
@@ -34,7 +43,7 @@ from shelfspark.llm.common import mix64, saved, small_batches
 _MEMO: dict[bytes, int] = {}
 _MEMO_WORDS = 500_000
 FAN = 32
-_SIGNED = "digest array<bigint>, bands array<bigint>, brief binary"
+_SIGNED = "digest array<bigint>, bands array<bigint>"
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -94,39 +103,37 @@ def signature(values: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
-def band_keys(values: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, bytes]:
-    """One 64-bit key per band, the band's number being part of it, and a byte per bin."""
+def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 64-bit key per band; the band's number is part of it."""
     weights = _weights(bands, rows)
     cells = mix64(signature(values, bands * rows))
     sums = (cells.reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64)
-    return mix64(sums + np.arange(bands, dtype=np.uint64)), (cells >> np.uint64(56)).astype(np.uint8).tobytes()
+    return mix64(sums + np.arange(bands, dtype=np.uint64))
 
 
 def _sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys and brief signature of every document."""
+    """doc_id, n_shingles, digest of the set and band keys of every document."""
     fields = pa.schema([
         ("doc_id", pa.int64()), ("n_shingles", pa.int64()),
-        ("digest", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())), ("brief", pa.binary()),
+        ("digest", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            sizes, digests, keys, briefs = [], [], [], []
+            sizes, digests, keys = [], [], []
             for text in batch.column(1).to_pylist():
                 values = shingles(text, words)
                 sizes.append(len(values))
                 if len(values):
                     whole = xxhash.xxh3_128_digest(values.tobytes())
                     digests.append(np.frombuffer(whole, dtype=np.int64))
-                    bands_of, brief = band_keys(values, bands, rows)
-                    keys.append(bands_of.view(np.int64))
-                    briefs.append(brief)
+                    keys.append(band_keys(values, bands, rows).view(np.int64))
                 else:
-                    for column in (digests, keys, briefs):
-                        column.append(None)
+                    digests.append(None)
+                    keys.append(None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, fields.field(2).type),
-                 pa.array(keys, fields.field(3).type), pa.array(briefs, pa.binary())], schema=fields)
+                 pa.array(keys, fields.field(3).type)], schema=fields)
 
     return docs.mapInArrow(run, f"doc_id bigint, n_shingles bigint, {_SIGNED}")
 
@@ -163,40 +170,73 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def least_equal(sizes: np.ndarray, bins: int, percent: int) -> np.ndarray:
-    """Equal bins that a pair at the threshold has but for a chance of 1e-9: six deviations below the mean."""
-    share = percent / 100
-    spread = np.sqrt(share * (1 - share) / np.minimum(np.maximum(sizes, 1), bins))
-    return bins * (share - 6 * spread)
+def outside(one: np.ndarray, two: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """Common elements of two sorted sets, and the first elements of ``one`` outside ``two``.
+
+    A set that is linked with ``one`` and shares anything with it outside ``two`` shares one of
+    these: it needs at least ceil(percent * size) elements of ``one``, of which ``two`` has only
+    the common ones.
+    """
+    at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+    inside = two[at] == one
+    common = int(inside.sum())
+    rest = one[~inside]
+    needed = max(1, -(-percent * len(one) // 100) - common)
+    return common, rest[: max(0, len(rest) - needed + 1)]
 
 
-def _likely(edges: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
-    """Edges (src, dst) that sizes and signatures allow to be links."""
-    side = lambda name: briefs.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"{name}_n"),
-                                      F.col("brief").alias(f"{name}_brief"))
+def _measured(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (src, dst) with the sets' sizes, their common elements and src's elements outside dst."""
+    fields = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("n_src", pa.int64()), ("n_dst", pa.int64()),
+                        ("common", pa.int64()), ("outside", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.minimum(np.asarray(batch.column(2)), np.asarray(batch.column(3)))
-            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(len(sizes), -1) for i in (4, 5))
-            equal = (one == two).sum(axis=1)
-            keep = pa.array(equal >= least_equal(sizes, one.shape[1], percent))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["src", "dst"])
-
-    near = (edges.join(side("src"), "src").join(side("dst"), "dst")
-            .where(100 * F.least("src_n", "dst_n") >= percent * F.greatest("src_n", "dst_n")))
-    return near.select("src", "dst", "src_n", "dst_n", "src_brief", "dst_brief").mapInArrow(run, "src bigint, dst bigint")
-
-
-def _confirmed(edges: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges (src, dst) whose whole sets have 100 * intersection >= percent * union."""
-    ends = edges.select(F.col("src").alias("doc_id")).union(edges.select("dst")).distinct()
-    sets = saved(_sets(texts.join(ends, "doc_id", "left_semi"), words))
+        for batch in small_batches(batches):
+            found, sizes = [], []
+            for i in range(batch.num_rows):
+                one, two = (batch.column(c)[i].values.to_numpy().view(np.uint64) for c in (2, 3))
+                found.append(outside(one, two, percent))
+                sizes.append((len(one), len(two)))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array([s[0] for s in sizes], pa.int64()), pa.array([s[1] for s in sizes], pa.int64()),
+                pa.array([f[0] for f in found], pa.int64()), pa.array([f[1].view(np.int64) for f in found], fields.field(5).type),
+            ], schema=fields)
+
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"{name}_set"))
-    shared = F.size(F.array_intersect("src_set", "dst_set")).cast("bigint")
-    union = F.size("src_set") + F.size("dst_set") - shared
-    return (edges.join(side("src"), "src").join(side("dst"), "dst")
-            .where(100 * shared >= percent * union).select("src", "dst"))
+    pairs = edges.join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", "src_set", "dst_set")
+    return pairs.mapInArrow(run, "src bigint, dst bigint, n_src bigint, n_dst bigint, common bigint, outside array<bigint>")
+
+
+def _linked(percent: int) -> Column:
+    return 100 * F.col("common") >= percent * (F.col("n_src") + F.col("n_dst") - F.col("common"))
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Edges (src, dst) from the members (bucket, doc_id, n) of each bucket to its centre.
+
+    The centre is the member with the largest sum of its buckets' sizes, n being a bucket's size.
+    """
+    weighed = saved(members.join(members.groupBy("doc_id").agg(F.sum("n").alias("weight")), "doc_id").select(
+        "bucket", "doc_id", "weight"))
+    centres = saved(weighed.groupBy("bucket").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("dst")))
+    return weighed.join(centres, "bucket").where("doc_id <> dst").select(F.col("doc_id").alias("src"), "dst").distinct()
+
+
+def _mixed(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """Measured edges with src's component, of centres whose members are in several components."""
+    tagged = measured.join(labels.select(F.col("node").alias("src"), "label"), "src", "left").withColumn(
+        "label", F.coalesce("label", "src"))
+    several = tagged.groupBy("dst").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return saved(tagged.join(several.select("dst"), "dst"))
+
+
+def _again(mixed: DataFrame) -> DataFrame:
+    """Buckets of shingles outside the centre, where members of several components meet: bucket, doc_id."""
+    rows = mixed.select("dst", F.col("src").alias("doc_id"), "label", F.explode("outside").alias("shingle")).select(
+        F.xxhash64("dst", "shingle").alias("bucket"), "doc_id", "label")
+    several = rows.groupBy("bucket").agg(
+        F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return saved(rows.join(several.select("bucket"), "bucket").select("bucket", "doc_id"))
 
 
 def _next_centres(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,22 +246,33 @@ def _next_centres(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, Dat
     """
     tagged = members.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select(
         "bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    per_label = tagged.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = per_label.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"))
-    kept = saved(tagged.join(mixed.where("labels > 1").select("bucket", "main"), "bucket"))
+    main = tagged.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    kept = saved(tagged.join(main.select("bucket", "main"), "bucket"))
     order = Window.partitionBy("bucket").orderBy("doc_id")
     centres = kept.where("label <> main").withColumn("n", F.row_number().over(order)).where(F.col("n") <= FAN)
-    return kept.select("bucket", "doc_id", "label"), saved(centres.select("bucket", "doc_id", "label"))
+    return kept.drop("main"), saved(centres.select("bucket", "doc_id", "label"))
 
 
-def _stars(members: DataFrame, centres: DataFrame) -> DataFrame:
+def _fans(members: DataFrame, centres: DataFrame) -> DataFrame:
     """Edges from each bucket's centres to the bucket's members of other components."""
     return (members.join(centres.select("bucket", F.col("doc_id").alias("dst"), F.col("label").alias("centre")), "bucket")
             .where("label <> centre").select(F.greatest("doc_id", "dst").alias("src"), F.least("doc_id", "dst").alias("dst")).distinct())
 
 
+def _direct(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one centre that may be linked by what they share with it alone."""
+    side = lambda p: mixed.select("dst", *[F.col(c).alias(f"{p}_{c}") for c in ("src", "label", "n_src", "common")])
+    # At least one of the two is not linked with the centre itself, else both were in its component.
+    one = side("a").join(mixed.where(~_linked(percent)).select("dst", F.col("src").alias("a_src")), ["dst", "a_src"], "left_semi")
+    enough = (100 + percent) * F.least("a_common", "b_common") >= percent * (F.col("a_n_src") + F.col("b_n_src"))
+    # One that is not linked needs smaller partners than the centre, of at least percent of its size.
+    return one.join(side("b"), "dst").where(enough & (F.col("a_label") != F.col("b_label"))).select(
+        F.greatest("a_src", "b_src").alias("src"), F.least("a_src", "b_src").alias("dst")).distinct()
+
+
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6,
+    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 44, rows: int | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -230,9 +281,11 @@ def near_duplicates(
     ``kept`` marks that one. Documents without words have no shingles and no links.
     Rows with a null doc_id cannot be named in a link and are left alone: null component,
     kept. Several rows of one doc_id are one document, of their smallest text, and give one
-    row. Other columns are ignored; an empty table gives an empty one. With the default bands a link at the
-    threshold is missed with a probability below 1e-5 (0.80) or 1e-8 (0.85).
+    row. Other columns are ignored; an empty table gives an empty one. ``rows`` bins per band
+    are as many as leave an equal band a chance of 0.27 at the threshold, so that all of
+    ``bands`` miss such a link with a probability of about 1e-6.
     """
+    rows = rows or max(1, round(math.log(0.27) / math.log(percent / 100))) if percent < 100 else rows or 8
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     repeated = _repeated(docs)
     if not repeated.isEmpty():
@@ -242,28 +295,29 @@ def near_duplicates(
     named = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     # A set's first document stands for all that have the same set.
     low = saved(named.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
-    firsts = saved(low.select("doc_id").join(named, "doc_id"))
-    buckets = firsts.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = saved(buckets.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-                   .where("low <> high"))
-    members = saved(buckets.join(shared.select("bucket", "low"), "bucket").where("doc_id <> low"))
-    briefs = firsts.select("doc_id", "n_shingles", "brief")
-    edges = members.select(F.col("doc_id").alias("src"), F.col("low").alias("dst")).distinct()
-    members = members.select("bucket", "doc_id")
-    links: list[DataFrame] = []
-    labels = None
+    buckets = saved(named.select("doc_id", "bands").join(low.select("doc_id"), "doc_id").select(
+        "doc_id", F.explode("bands").alias("bucket")))
+    shared = saved(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    members = saved(buckets.join(shared, "bucket"))
+    # All whole sets that are ever compared come from one shuffle of the texts, at any size.
+    wanted = members.select("doc_id").distinct()
+    sets = saved(_sets(texts.join(wanted.hint("merge"), "doc_id", "left_semi"), words))
+    measured = saved(_measured(_stars(members), sets, percent))
+    links = [measured.where(_linked(percent)).select("src", "dst")]
+    labels = components(links[0])
+    mixed = _mixed(measured, labels)
+    members, edges = _again(mixed), _direct(mixed, percent)
     while True:
-        likely = saved(_likely(edges, briefs, percent))
-        if labels is None or not likely.isEmpty():
-            found = saved(_confirmed(likely, texts, words, percent))
-            if labels is None or not found.isEmpty():
-                links.append(found)
-                labels = components(reduce(DataFrame.union, links))
         members, centres = _next_centres(members, labels)
-        if centres.isEmpty():
+        edges = saved(edges.unionByName(_fans(members, centres)).distinct())
+        if edges.isEmpty():
             break
-        edges = _stars(members, centres)
+        found = saved(_measured(edges, sets, percent).where(_linked(percent)).select("src", "dst"))
+        if not found.isEmpty():
+            links.append(found)
+            labels = components(reduce(DataFrame.union, links))
         members = members.select("bucket", "doc_id").join(centres.select("bucket", "doc_id"), ["bucket", "doc_id"], "left_anti")
+        edges = edges.limit(0)
     # Copies follow their set's first document.
     own = saved(low.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select(
         "digest", F.coalesce("label", "doc_id").alias("label")))
