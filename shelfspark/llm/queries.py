@@ -171,30 +171,30 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
 
 _REVISITS = """
 WITH u AS (
-    SELECT page_id, md5(html) AS digest, length(html) AS size, 1700000000 + page_id * 60 AS at,
+    SELECT page_id, md5(html) AS digest, length(html) AS size, 1700000000 + page_id * 60 AS seen,
            regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
     FROM pages),
 h AS (
     SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), ':(80|443)$', ''), '^www[.]', '') AS host,
            regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
            list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'),
-                       x -> x <> '' AND NOT regexp_full_match(x, '(utm_[^&]*|ref|gclid|fbclid)(=.*)?')) AS params
+                       lambda x: x <> '' AND NOT regexp_full_match(x, '(utm_[^&]*|ref|gclid|fbclid)(=.*)?')) AS params
     FROM u),
 c AS (
     SELECT *, host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url_key,
            CASE WHEN page_id % 5 <> 0 THEN '"' || substr(digest, 1, 12) || '"' END AS etag
     FROM h),
 v AS (
-    SELECT *, at + CASE WHEN page_id % 11 = 0 THEN -3600 ELSE 86400 END AS later,
+    SELECT *, seen + CASE WHEN page_id % 11 = 0 THEN -3600 ELSE 86400 END AS later,
            CASE WHEN page_id % 7 = 0 THEN '"new"' ELSE etag END AS new_etag
     FROM c),
 j AS (
-    SELECT v.*, r.page_id AS to_page, r.at AS to_at, r.size AS to_size, coalesce(v.new_etag = r.etag, v.digest = r.digest) AS agrees,
-           row_number() OVER (PARTITION BY v.page_id ORDER BY r.at DESC NULLS LAST, r.page_id DESC) AS n
-    FROM v LEFT JOIN c r ON r.url_key = v.url_key AND r.at <= v.later)
-SELECT 2 * page_id + 1 AS record_id, url_key, later AS at,
+    SELECT v.*, r.page_id AS to_page, r.seen AS to_seen, r.size AS to_size, coalesce(v.new_etag = r.etag, v.digest = r.digest) AS agrees,
+           row_number() OVER (PARTITION BY v.page_id ORDER BY r.seen DESC NULLS LAST, r.page_id DESC) AS n
+    FROM v LEFT JOIN c r ON r.url_key = v.url_key AND r.seen <= v.later)
+SELECT 2 * page_id + 1 AS record_id, url_key, later AS "at",
        CASE WHEN to_page IS NULL THEN 'unmatched' WHEN agrees THEN 'resolved' ELSE 'changed' END AS status,
-       CASE WHEN agrees THEN 2 * to_page END AS refers_to, CASE WHEN agrees THEN later - to_at END AS lag_seconds,
+       CASE WHEN agrees THEN 2 * to_page END AS refers_to, CASE WHEN agrees THEN later - to_seen END AS lag_seconds,
        'content-length: ' || CASE WHEN agrees THEN cast(to_size AS VARCHAR) || chr(10) || 'content-type: text/html' ELSE '0' END
            || chr(10) || 'date: ' || later || chr(10) || 'expires: never' AS headers
 FROM j WHERE n = 1"""
