@@ -291,20 +291,34 @@ def _checks(v):
     return Q.quality_checks(_check_rows(v), _SUFFIX, taken)
 
 
-@query(
-    "D29_quality_checks",
-    "WITH " + _CHECKS + "SELECT model, x.c AS \"check\", x.w::double AS weight, x.s AS status, x.b AND x.s = 'fail' AS blocks_publish FROM c",
-)
+# Checks that every product of the table passes, with their weights, and those that only air conditioners have.
+_ALWAYS = """{'identity.brand_present': 3, 'identity.category_phrase_present': 3, 'identity.primary_identifier_present': 4, 'meta_description.identity': 4,
+     'meta_description.present': 2, 'meta_description.verified_differentiators': 4, 'meta_title.identity': 5, 'meta_title.no_repetition': 2, 'meta_title.present': 2,
+     'meta_title.search_intent': 4, 'contract.meta_keywords_optional': 2, 'seo_keyword.no_mutable_terms': 3, 'seo_keyword.present': 2, 'seo_keyword.published_lock': 7}"""
+_AC_ONLY = """{'identity.air_conditioner_capabilities_consistent': 4, 'identity.model_pair_preserved': 4, 'technical.btu_normalized': 3,
+     'technical.capability_evidence': 3, 'technical.energy_pair_consistent': 4}"""
+_CHECKS += f""",
+     l AS (SELECT model, x.c AS "check", x.w::double AS weight, x.s AS status, x.b AND x.s = 'fail' AS blocks_publish FROM c
+           UNION ALL SELECT model, unnest(map_keys(MAP {_ALWAYS})), unnest(map_values(MAP {_ALWAYS}))::double, 'pass', false FROM e
+           UNION ALL SELECT model, unnest(map_keys(MAP {_AC_ONLY})), unnest(map_values(MAP {_AC_ONLY}))::double, CASE WHEN ac THEN 'pass' ELSE 'not_applicable' END, false FROM e)"""
+
+
+@query("D29_quality_checks", "WITH " + _CHECKS + 'SELECT model, "check", weight, status, blocks_publish FROM l')
 def _(v):
-    shown = [
-        "meta_title.suffix", "meta_title.length", "meta_description.length", "meta_description.complete_sentence",
-        "meta_description.no_unsupported_numeric_claims", "seo_keyword.syntax", "seo_keyword.identity",
-        "seo_keyword.unique_in_context", "contract.llm_ownership_respected", "identity.commercial_series_preserved",
-    ]
-    return _checks(v).where(F.col("check").isin(shown)).select("model", "check", "weight", "status", "blocks_publish")
+    return _checks(v).select("model", "check", "weight", "status", "blocks_publish")
 
 
-@query("D29_quality_profile")
+@query(
+    "D29_quality_profile",
+    "WITH " + _CHECKS + """, s AS (SELECT model, count(*) FILTER (status = 'pass') AS pass, count(*) FILTER (status = 'warn') AS warn, count(*) FILTER (status = 'fail') AS fail,
+        count(*) FILTER (status = 'not_applicable') AS not_applicable, 0::bigint AS not_run, count(*) FILTER (blocks_publish) AS blocking_failures,
+        floor(100 * sum(CASE status WHEN 'pass' THEN weight WHEN 'warn' THEN weight / 2 ELSE 0 END) / sum(weight) FILTER (status <> 'not_applicable') + 0.5)::bigint AS score,
+        100::bigint AS coverage FROM l GROUP BY 1)
+     SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade,
+        CASE WHEN score < 80 OR blocking_failures > 0 THEN 'fail' WHEN score >= 90 AND warn = 0 AND fail = 0 THEN 'pass' ELSE 'warn' END AS recommended,
+        blocking_failures = 0 AS enforced_allowed,
+        concat_ws('|', CASE WHEN score < 80 THEN 'score_below_minimum' END, CASE WHEN blocking_failures > 0 THEN 'blocking_failures_present' END) AS reasons FROM s""",
+)
 def _(v):
     return Q.publish_gate(Q.quality_score(_checks(v)))
 
@@ -360,9 +374,14 @@ def _(v):
 
 @query(
     "D29_asset_checks",
-    "WITH " + _GALLERY + """, t AS (SELECT model, count(*) FILTER (duplicate_content) AS d, count(DISTINCT alt) = count(*) AS alts FROM a GROUP BY 1)
-       SELECT e.model, 'images.gallery_alt_quality' AS "check", CASE WHEN t.model IS NULL THEN 'not_run' WHEN alts THEN 'pass' ELSE 'warn' END AS status FROM export_v e LEFT JOIN t ON t.model = e.model
-       UNION ALL SELECT model, 'content.intro_catalog_uniqueness', 'not_run' FROM export_v UNION ALL SELECT model, 'content.single_h1_contract', 'pass' FROM export_v""",
+    "WITH " + _GALLERY + """, t AS (SELECT model, count(DISTINCT alt) = count(*) AS alts, count(DISTINCT public_path) = count(*) AS paths FROM a GROUP BY 1),
+       j AS (SELECT e.model, t.model IS NOT NULL AS has_images, alts, paths FROM export_v e LEFT JOIN t ON t.model = e.model),
+       k AS (SELECT j.*, unnest(['images.main_present', 'images.main_jpeg_valid', 'images.gallery_filename_policy', 'images.gallery_sequence', 'images.gallery_unique_paths',
+               'images.gallery_alt_quality', 'images.description_alt_quality', 'content.single_h1_contract', 'content.description_heading_distinct',
+               'content.intro_catalog_uniqueness', 'content.meta_description_catalog_uniqueness', 'internal_linking.category_link', 'internal_linking.related_products']) AS c FROM j)
+       SELECT model, c AS "check", CASE WHEN c IN ('content.single_h1_contract', 'internal_linking.category_link') THEN 'pass'
+            WHEN NOT starts_with(c, 'images.') OR c = 'images.description_alt_quality' OR NOT has_images THEN 'not_run'
+            WHEN c = 'images.gallery_alt_quality' AND NOT alts OR c = 'images.gallery_unique_paths' AND NOT paths THEN 'warn' ELSE 'pass' END AS status FROM k""",
 )
 def _(v):
     texts = v.export_v.select(
@@ -371,19 +390,19 @@ def _(v):
         F.lit(None).cast("int").alias("sections_low_alt"),
     )
     assets = Q.plan_gallery(v.images_v).withColumn("jpeg_valid", F.lit(True))
-    shown = ["images.gallery_alt_quality", "content.intro_catalog_uniqueness", "content.single_h1_contract"]
-    return Q.asset_checks(assets, texts).where(F.col("check").isin(shown)).select("model", "check", "status")
+    return Q.asset_checks(assets, texts).select("model", "check", "status")
 
 
 @query(
     "D29_artifact_checks",
-    """SELECT model, 'feed.feed_json_valid' AS "check", CASE WHEN mpn_status = 'verified' AND mpn = '' THEN 'fail' ELSE 'pass' END AS status FROM export_v
-       UNION ALL SELECT model, 'structured_data.mpn_matches_verified_identity', 'pass' FROM export_v
-       UNION ALL SELECT model, 'identity.mpn_verified', CASE WHEN mpn_status = 'verified' THEN 'pass' ELSE 'fail' END FROM export_v""",
+    """WITH k AS (SELECT *, unnest(['identity.internal_model_present', 'identity.mpn_present', 'identity.mpn_verified', 'identity.mpn_not_internal_code',
+            'identity.no_component_set_conflict', 'identity.provenance_present', 'structured_data.product_json_valid', 'structured_data.schema_type_product',
+            'structured_data.sku_matches_internal_model', 'structured_data.mpn_matches_verified_identity', 'feed.feed_json_valid', 'feed.mpn_matches_verified_identity']) AS c FROM export_v)
+       SELECT model, c AS "check", CASE WHEN c = 'identity.mpn_present' AND mpn = '' OR c = 'identity.mpn_verified' AND mpn_status <> 'verified'
+            OR c = 'feed.feed_json_valid' AND mpn_status = 'verified' AND mpn = '' THEN 'fail' ELSE 'pass' END AS status FROM k""",
 )
 def _(v):
     feed = Q.product_feed(v.export_v, "https://img.example.org").withColumn("errors", Q.feed_errors())
     doc = Q.structured_product(v.export_v, "https://img.example.org")
     identity = v.export_v.select("model", "mpn", "mpn_status", F.lit("source").alias("source"))
-    shown = ["feed.feed_json_valid", "structured_data.mpn_matches_verified_identity", "identity.mpn_verified"]
-    return Q.artifact_checks(identity, feed, doc).where(F.col("check").isin(shown)).select("model", "check", "status")
+    return Q.artifact_checks(identity, feed, doc).select("model", "check", "status")
