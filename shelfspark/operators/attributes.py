@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.categories import deepest_paths, stable_id
@@ -272,15 +272,12 @@ def template_pool(products: DataFrame, templates: DataFrame) -> DataFrame:
         .join(loose, (match_key(F.col("parent")) == F.col("_parent")) & (match_key(F.col("leaf")) == F.col("_leaf")))
         .withColumn("tier", F.lit(1))
     )
-    both = exact.unionByName(fallback)
-    best_tier = both.groupBy("product_id").agg(F.min("tier").alias("tier"))
-    pool = both.join(best_tier, ["product_id", "tier"]).withColumn(
-        "_wanted",
-        F.arrays_overlap(F.transform("preferred_files", match_key), F.transform("source_files", match_key)),
-    )
-    preferred = pool.groupBy("product_id").agg(F.coalesce(F.max("_wanted"), F.lit(False)).alias("_any"))
-    return pool.join(preferred, "product_id").where(~F.col("_any") | F.col("_wanted")).drop(
-        "_path", "_parent", "_leaf", "_sub", "_wanted", "_any",
+    # A product's pool is small: tier and preference are settled over one shuffle of it.
+    own = Window.partitionBy("product_id")
+    wanted = F.arrays_overlap(F.transform("preferred_files", match_key), F.transform("source_files", match_key))
+    pool = exact.unionByName(fallback).withColumn("_tier", F.min("tier").over(own)).where("tier = _tier").withColumn("_wanted", wanted)
+    return pool.withColumn("_any", F.coalesce(F.max("_wanted").over(own), F.lit(False))).where(~F.col("_any") | F.col("_wanted")).drop(
+        "_path", "_parent", "_leaf", "_sub", "_wanted", "_any", "_tier",
         "taxonomy_path", "parent", "leaf", "sub", "preferred_files",
     )
 
@@ -324,6 +321,12 @@ def match_templates(products: DataFrame, pool: DataFrame, sets: DataFrame) -> Da
         F.array(*[F.lit(x) for x in ("missing_required_labels_any", "missing_required_labels_all", "forbidden_labels_present")]),
     )
     only = lambda name: (F.size("gate_reasons") == 1) & F.array_contains("gate_reasons", name)
+    order = [
+        -F.col("score"), -F.col("pair_overlap"), -F.col("label_overlap"), -F.col("section_overlap"),
+        -F.col("discriminator_overlap"), F.col("template_id"),
+    ]
+    ranked = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], "template_id", "score")
+    # One aggregate gives the pool's counts, its only active template and its best passed one.
     summary = gated.groupBy("product_id").agg(
         F.count(F.lit(1)).alias("pool_size"),
         F.count_if(active).alias("_active"),
@@ -332,20 +335,15 @@ def match_templates(products: DataFrame, pool: DataFrame, sets: DataFrame) -> Da
         F.bool_and(F.when(active, labels_miss)).alias("_labels"),
         F.bool_and(F.when(active, only("min_section_overlap"))).alias("_sections"),
         F.bool_and(F.when(active, only("min_label_overlap"))).alias("_label_count"),
-    )
-    order = [
-        -F.col("score"), -F.col("pair_overlap"), -F.col("label_overlap"), -F.col("section_overlap"),
-        -F.col("discriminator_overlap"), F.col("template_id"),
-    ]
-    single = summary.where("_active = 1").select("product_id")
-    direct = gated.where(active).join(single, "product_id").select(
-        "product_id", "template_id", F.lit(1.0).alias("score"), F.lit("direct_single").alias("match_mode")
-    )
-    scored = first_row(
-        gated.where(passed).join(single, "product_id", "left_anti"), ["product_id"], order,
-        ["template_id", "score"],
-    ).withColumn("match_mode", F.lit("category_pool"))
-    chosen = direct.unionByName(scored)
+        F.min(F.when(active, F.col("template_id"))).alias("_single"),
+        F.min(F.when(passed, ranked)).alias("_best"),
+    )
+    direct = F.col("_active") == 1
+    chosen = summary.withColumns({
+        "template_id": F.when(direct, F.col("_single")).otherwise(F.col("_best.template_id")),
+        "score": F.when(direct, 1.0).otherwise(F.col("_best.score")),
+        "match_mode": F.when(direct, "direct_single").when(F.col("_best").isNotNull(), "category_pool"),
+    })
     reason = (
         F.when(F.col("template_id").isNotNull(), "")
         .when(F.col("pool_size").isNull(), "pool_empty_for_category")
@@ -358,7 +356,7 @@ def match_templates(products: DataFrame, pool: DataFrame, sets: DataFrame) -> Da
     )
     weak = (F.col("match_mode") == "category_pool") & (F.col("_passed") > 1) & (F.col("score") < 0.35)
     return (
-        products.select("product_id").join(summary, "product_id", "left").join(chosen, "product_id", "left")
+        products.select("product_id").join(chosen, "product_id", "left")
         .select(
             "product_id", "template_id", F.coalesce("score", F.lit(0.0)).alias("score"), "match_mode",
             F.coalesce("pool_size", F.lit(0)).alias("pool_size"), reason.alias("fail_reason"),
@@ -543,9 +541,13 @@ def resolve_filter_values(
     ``EVIDENCE_TIERS``. The first tier with a value wins, a label equal to the group name
     before one with the same key.
     """
+    spelled = values.withColumn("_names", F.concat(F.array("value"), F.coalesce("aliases", empty_texts())))
+    alias_words = F.array_max(F.transform("_names", lambda n: F.size(words(label_key(n)))))
+    listed = spelled.groupBy("group_id").agg(
+        F.max(F.col("status") != "inactive").alias("_has_allowed"), F.max(alias_words).alias("_most"))
     asked = products.join(
         groups.select(F.col("category_id").alias("filter_category_id"), "group_id", "group_name", "required",
-                      F.col("status").alias("group_status")),
+                      F.col("status").alias("group_status")).join(listed, "group_id", "left"),
         "filter_category_id",
     )
     facts = evidence.withColumn("_value", null_dashes(F.col("value"))).where(
@@ -554,8 +556,9 @@ def resolve_filter_values(
     tier = F.lit(None)
     for kind, n in EVIDENCE_TIERS.items():
         tier = F.when(F.col("kind") == kind, n).otherwise(tier)
-    facts = facts.withColumns({"_key": label_key(F.col("label")), "_tier": tier})
-    hits = asked.withColumn("_key", label_key(F.col("group_name"))).join(facts, ["product_id", "_key"])
+    facts = facts.select("product_id", "kind", "label", "seq", "_value", label_key(F.col("label")).alias("_key"), tier.alias("_tier"))
+    # Every asked group stays, with its evidence if it has any.
+    hits = asked.withColumn("_key", label_key(F.col("group_name"))).join(facts, ["product_id", "_key"], "left")
     exact = F.col("label") == F.col("group_name")
     strict = F.col("kind").isin("source", "manufacturer", "description")
     place = F.when(strict & ~exact, F.lit(EVIDENCE_TIERS["normalized"])).otherwise(F.col("_tier"))
@@ -565,21 +568,16 @@ def resolve_filter_values(
         .when(strict, F.concat(F.lit("normalized_"), "kind"))
         .otherwise(F.col("kind"))
     )
-    usable_hit = (F.col("group_status") != "inactive") | (F.col("kind") == "approved_review")
+    usable_hit = F.col("_value").isNotNull() & ((F.col("group_status") != "inactive") | (F.col("kind") == "approved_review"))
+    last = F.lit(len(EVIDENCE_TIERS) + 99)
+    own = ["group_name", "group_status", "required", "_has_allowed", "_most"]
     found = first_row(
-        hits.where(usable_hit).withColumn("resolved_from", origin),
-        ["product_id", "group_id"], [place, F.col("_tier"), F.col("seq")], ["_value", "resolved_from"],
-    )
-    canonical = _canonical_values(found, values)
-    allowed = values.where(F.col("status") != "inactive").groupBy("group_id").agg(F.lit(True).alias("_has_allowed"))
-    joined = (
-        asked.join(canonical, ["product_id", "group_id"], "left")
-        .join(allowed, "group_id", "left")
-        .join(
-            values.select("group_id", F.col("value").alias("resolved_value"), F.col("status").alias("value_status")),
-            ["group_id", "resolved_value"], "left",
-        )
+        hits.select(
+            "product_id", "group_id", *own, F.when(usable_hit, place).alias("_place"), F.when(usable_hit, F.col("_tier")).alias("_tier"),
+            "seq", F.when(usable_hit, F.col("_value")).alias("_value"), F.when(usable_hit, origin).alias("resolved_from")),
+        ["product_id", "group_id"], [F.coalesce("_place", last), F.coalesce("_tier", last), F.col("seq")], [*own, "_value", "resolved_from"],
     )
+    joined = _canonical_values(found, spelled, [*own, "resolved_from"])
     has = F.col("resolved_value").isNotNull()
     status = F.col("group_status")
     inactive_ok = (status == "inactive") & (F.col("resolved_from") == "approved_review")
@@ -596,37 +594,37 @@ def resolve_filter_values(
     )
 
 
-def _canonical_values(found: DataFrame, values: DataFrame) -> DataFrame:
-    """Found values in the spelling of the filter map.
+def _canonical_values(found: DataFrame, spelled: DataFrame, carry: list[str]) -> DataFrame:
+    """Found values in the spelling of the filter map, with the status they have there.
 
-    An equal alias key decides; else the one allowed value whose key stands as a phrase
-    in the found text. Both are equality joins on exploded keys.
+    An equal alias key decides; else the one listed value whose key stands as a phrase in the
+    found text. Keys and phrases, no longer than the group's longest alias, meet the map in
+    one equality join.
     """
-    spelled = values.withColumn("_names", F.concat(F.array("value"), F.coalesce("aliases", empty_texts())))
     keys = (
-        spelled.select("group_id", F.col("value").alias("canonical"), F.posexplode("_names").alias("_n", "_name"))
+        spelled.select("group_id", F.struct(F.col("value").alias("name"), "status").alias("canonical"), F.posexplode("_names").alias("_n", "_name"))
         .select("group_id", "canonical", "_n", F.explode(value_alias_keys(F.col("_name"))).alias("_key"))
     )
     owner = first_row(keys, ["group_id", "_key"], [F.col("_n"), F.col("canonical")], ["canonical"])
-    asked = found.select("product_id", "group_id", "_value", "resolved_from", value_alias_keys(F.col("_value")).alias("_keys"))
-    equal = (
-        asked.select("product_id", "group_id", F.posexplode("_keys").alias("_pos", "_key"))
-        .join(owner, ["group_id", "_key"])
-    )
-    by_key = first_row(equal, ["product_id", "group_id"], [F.col("_pos")], ["canonical"]).withColumnRenamed("canonical", "_equal")
-    phrase = (
-        asked.join(by_key.select("product_id", "group_id"), ["product_id", "group_id"], "left_anti")
-        .select("product_id", "group_id", F.explode(
-            F.array_distinct(F.flatten(F.transform("_keys", phrases_of)))).alias("_key"))
-        .where(F.length("_key") > 2)
-        .join(owner, ["group_id", "_key"])
-        .groupBy("product_id", "group_id")
-        .agg(F.count_distinct("canonical").alias("_n"), F.min("canonical").alias("_phrase"))
-        .where("_n = 1")
-        .drop("_n")
-    )
-    return asked.join(by_key, ["product_id", "group_id"], "left").join(phrase, ["product_id", "group_id"], "left").select(
-        "product_id", "group_id", "resolved_from", F.coalesce("_equal", "_phrase", "_value").alias("resolved_value")
+    own = value_alias_keys(F.col("_value"))
+    asked = found.withColumn("_keys", F.coalesce(own, empty_texts()))
+    phrases = F.array_distinct(F.flatten(F.transform("_keys", lambda k: phrases_of(k, F.coalesce("_most", F.lit(0))))))
+    tries = F.concat(
+        F.transform("_keys", lambda k, i: F.struct(i.alias("pos"), k.alias("key"))),
+        F.transform(F.filter(phrases, lambda k: F.length(k) > 2), lambda k: F.struct(F.lit(None).cast("int").alias("pos"), k.alias("key"))),
+    )
+    rows = asked.select("product_id", "group_id", *carry, "_value", F.explode_outer(tries).alias("_t")).withColumns(
+        {"_pos": F.col("_t.pos"), "_key": F.col("_t.key")})
+    met = rows.join(owner, ["group_id", "_key"], "left")
+    phrase = F.when(F.col("_pos").isNull(), F.col("canonical"))
+    best = met.groupBy("product_id", "group_id").agg(
+        *[F.min(c).alias(c) for c in [*carry, "_value"]],
+        F.min(F.when(F.col("canonical").isNotNull() & F.col("_pos").isNotNull(), F.struct("_pos", "canonical"))).alias("_equal"),
+        F.min(phrase).alias("_low"), F.max(phrase).alias("_high"),
+    )
+    chosen = F.coalesce("_equal.canonical", F.when(F.col("_low.name") == F.col("_high.name"), F.col("_low")))
+    return best.withColumn("_chosen", chosen).select(
+        "product_id", "group_id", *carry, F.coalesce("_chosen.name", "_value").alias("resolved_value"), F.col("_chosen.status").alias("value_status")
     )
 
 
