@@ -187,11 +187,7 @@ def _(v):
 
 
 def _evidence(v):
-    feeds = R.union_feeds({
-        "observations": v.evidence_v.where("feed = 'observations'").drop("feed"),
-        "artifacts": v.evidence_v.where("feed = 'artifacts'").drop("feed"),
-    })
-    rows = R.with_url_forms(R.resolve_for_import(feeds, v.catalog_v))
+    rows = R.with_url_forms(R.resolve_for_import(v.evidence_v, v.catalog_v))
     weak = (F.col("feed") == "artifacts") & (F.col("match_type") != "model")
     return rows.withColumns({
         "status": F.when(weak, "needs_review").otherwise("active"),
