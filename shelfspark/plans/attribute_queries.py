@@ -329,14 +329,15 @@ def _(v):
 
 @query(
     "J30_template_binding",
-    f"""WITH t AS (SELECT template_id, CASE WHEN t_parent < 'M' THEN '' ELSE 'https://x.example.com/' || lower(t_parent) || '/' || lower(t_leaf) END AS cta, t_sub AS label,
+    f"""WITH t AS (SELECT template_id, CASE WHEN t_parent < 'M' THEN '' ELSE 'https://x.example.com/' || lower(t_parent) || '/' || lower(t_leaf) END AS cta, {mk('t_sub')} AS lk,
              {ws(mk("template_id || ' ' || t_sub || ' ' || source_file"))} AS tw FROM templates_v),
-       p AS (SELECT *, {ws(mk("parent || ' ' || leaf || ' ' || sub || ' ' || path"))} AS pw FROM paths_v),
-       c AS (SELECT template_id, path, 0 AS tier, len(list_intersect(tw, pw)) AS shared FROM t JOIN p ON cta <> '' AND cta = url
-             UNION ALL SELECT template_id, path, 1, len(list_intersect(tw, pw)) FROM t JOIN p ON {mk('label')} = {mk('sub')}),
-       s AS (SELECT *, count(*) OVER (PARTITION BY template_id, tier) AS n, max(shared) OVER (PARTITION BY template_id, tier) AS mx FROM c),
-       b AS (SELECT template_id, tier, min(path) AS path FROM s WHERE shared = mx GROUP BY template_id, tier HAVING min(n) = 1 OR (min(mx) > 0 AND count(*) = 1))
-       SELECT template_id, (SELECT min(tier) FROM b WHERE b.template_id = t.template_id)::bigint AS tier, (SELECT arg_min(path, tier) FROM b WHERE b.template_id = t.template_id) AS path FROM t""",
+       p AS (SELECT path, url, {mk('sub')} AS sk, {ws(mk("parent || ' ' || leaf || ' ' || sub || ' ' || path"))} AS pw FROM paths_v),
+       c AS (SELECT template_id, path, 0 AS tier, len(list_intersect(tw, pw)) AS shared FROM t JOIN p ON cta = url WHERE cta <> ''
+             UNION ALL SELECT template_id, path, 1, len(list_intersect(tw, pw)) FROM t JOIN p ON lk = sk),
+       g AS (SELECT template_id, tier, count(*) AS n, max(shared) AS mx FROM c GROUP BY 1, 2),
+       b AS (SELECT template_id, tier, min(path) AS path FROM c JOIN g USING (template_id, tier) WHERE shared = mx GROUP BY template_id, tier HAVING min(n) = 1 OR (min(mx) > 0 AND count(*) = 1)),
+       f AS (SELECT template_id, min(tier) AS tier, arg_min(path, tier) AS path FROM b GROUP BY 1)
+       SELECT t.template_id, f.tier::bigint AS tier, f.path FROM t LEFT JOIN f ON f.template_id = t.template_id""",
 )
 def _(v):
     t = v.templates_v.select(

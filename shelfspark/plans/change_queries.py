@@ -278,7 +278,23 @@ def _(v):
     return X.field_inventory(v.export_v.select("model", "mpn", "price"))
 
 
-@query("W17_canary")
+@query(
+    "W17_canary",
+    """WITH k AS (SELECT model, status, model::int AS k FROM export_v),
+       c AS (SELECT model, status = '1' AS act, (status = '1')::int + 2 * (status = '0')::int + 4 * (k % 3 = 0)::int + 8 * (k % 3 <> 0)::int + 16 * (k % 5 = 0)::int
+                + 32 * (k % 5 <> 0)::int + 64 * (k % 17 = 0)::int + 128 * (k % 17 <> 0)::int AS mask FROM k),
+       s1 AS (SELECT 1 AS place, model, mask AS seen, [model] AS done FROM c ORDER BY bit_count(mask) DESC, act DESC, model LIMIT 1),
+       s2 AS (SELECT 2 AS place, c.model, seen | c.mask AS seen, list_append(done, c.model) AS done FROM c, s1 WHERE NOT list_contains(done, c.model)
+             ORDER BY bit_count(c.mask & ~seen) DESC, act DESC, c.model LIMIT 1),
+       s3 AS (SELECT 3 AS place, c.model, seen | c.mask AS seen, list_append(done, c.model) AS done FROM c, s2 WHERE NOT list_contains(done, c.model)
+             ORDER BY bit_count(c.mask & ~seen) DESC, act DESC, c.model LIMIT 1),
+       s4 AS (SELECT 4 AS place, c.model, seen | c.mask AS seen, list_append(done, c.model) AS done FROM c, s3 WHERE NOT list_contains(done, c.model)
+             ORDER BY bit_count(c.mask & ~seen) DESC, act DESC, c.model LIMIT 1),
+       s5 AS (SELECT 5 AS place, c.model, seen | c.mask AS seen, list_append(done, c.model) AS done FROM c, s4 WHERE NOT list_contains(done, c.model)
+             ORDER BY bit_count(c.mask & ~seen) DESC, act DESC, c.model LIMIT 1)
+       SELECT place::bigint AS place, model FROM (SELECT place, model FROM s1 UNION ALL SELECT place, model FROM s2 UNION ALL SELECT place, model FROM s3
+           UNION ALL SELECT place, model FROM s4 UNION ALL SELECT place, model FROM s5)""",
+)
 def _(v):
     k = F.col("model").cast("int")
     flags = {

@@ -169,19 +169,26 @@ def _(v):
     return rows.select("product_id", "p.label", "p.value")
 
 
-@query(
-    "FN42_text_metrics",
-    r"""WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&euro;', '€'), '&amp;', '&'),
+_METRICS = r"""t AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&euro;', '€'), '&amp;', '&'),
              '(?i)(?:https?://|www[.])\S+', ' ', 'g'), '[\s ]+', ' ', 'g')) AS t FROM documents),
-       w AS (SELECT doc_id, t, list_filter(regexp_extract_all(t, '[\p{L}\p{N}]+'), lambda x: regexp_matches(x, '\p{L}')) AS w, length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS l FROM t)
-       SELECT doc_id, len(w) AS words, l AS letters, length(t) AS chars FROM w""",
-)
+       w AS (SELECT doc_id, text, t, list_filter(regexp_extract_all(t, '[\p{L}\p{N}]+'), lambda x: regexp_matches(x, '\p{L}')) AS w, length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS l FROM t)"""
+
+
+@query("FN42_text_metrics", "WITH " + _METRICS + "SELECT doc_id, len(w) AS words, l AS letters, length(t) AS chars FROM w")
 def _(v):
     m = v.documents.select("doc_id", Y.text_metrics(F.col("text")).alias("m"))
     return m.select("doc_id", "m.words", "m.letters", "m.chars")
 
 
-@query("FN42_section_class")
+@query(
+    "FN42_section_class",
+    "WITH " + _METRICS + r""", r AS (SELECT *, string_split(lower(trim(regexp_replace(text, '[\s ]+', ' ', 'g'))), ' ') AS raw FROM w),
+       f AS (SELECT *, len(list_filter(range(1, greatest(1, len(raw) - 2)), lambda i: regexp_full_match(raw[i], '\p{L}{2,}') AND raw[i] = raw[i + 1] AND raw[i] = raw[i + 2] AND raw[i] = raw[i + 3])) > 0 AS again FROM r),
+       q AS (SELECT *, CASE WHEN text = '' OR len(w) < 6 OR l < 30 THEN 'missing_empty_after_clean'
+              WHEN round(l / length(t), 4) < 0.55 OR round(len(list_distinct(list_transform(w, lambda x: lower(strip_accents(x))))) / len(w), 4) < 0.45 OR again THEN 'weak_noisy_body'
+              WHEN len(w) >= 25 AND l >= 120 THEN 'usable_clean' ELSE 'weak_short_body' END AS reason FROM f)
+       SELECT doc_id, split_part(reason, '_', 1) AS quality, reason FROM q""",
+)
 def _(v):
     body = S.normalize_spaces(F.col("text"))
     rows = v.documents.withColumn("m", Y.text_metrics(F.col("text")))
