@@ -204,7 +204,7 @@ def _(v):
         F.when(F.col("seller_id") % 2 == 0, "market_a").otherwise("market_b").alias("source"), "model",
         F.nullif("mpn", F.lit("")).alias("mpn"), "product_id", F.col("price").alias("competitor_price"), "own_price", "captured_at",
     )
-    events = J.alert_events(obs, v.rules_v, "captured_at", "36500 days").select("dedupe_key")
+    events = J.alert_events(obs, v.rules_v, "captured_at").select("dedupe_key")
     run = events.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start()
     run.awaitTermination()
     return v.spark.read.parquet(out)
@@ -226,7 +226,7 @@ def _(v):
 def _(v):
     out = fresh_dir(v, "snapshots")
     rows = v.spark.sql(monitoring_queries.VIEWS["incoming_snapshots_v"], events=_file_stream(v, "events"))
-    fresh = J.new_snapshot_stream(rows.withColumn("digest", F.col("digest_no").cast("string"))).select("source_id", "artifact_ref", "digest")
+    fresh = J.new_snapshot_stream(rows.withColumn("digest", F.col("digest_no").cast("string")), "captured_at").select("source_id", "artifact_ref", "digest")
     run = fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start()
     run.awaitTermination()
     return v.spark.read.parquet(out)

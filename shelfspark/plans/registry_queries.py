@@ -574,7 +574,7 @@ def _(v):
 
 VIEWS["incoming_snapshots_v"] = """
     SELECT event_id AS snapshot_id, user_id AS source_id, 'capture/' || event_type AS artifact_ref,
-           cast(floor(value / 10) AS bigint) AS digest_no, event_type FROM {events}"""
+           cast(floor(value / 10) AS bigint) AS digest_no, event_type, ts AS captured_at FROM {events}"""
 
 
 @query(

@@ -22,16 +22,10 @@ def alert_events(observations: DataFrame, rules: DataFrame, event_time: str, kee
     return raised.dropDuplicatesWithinWatermark(["dedupe_key"])
 
 
-def new_snapshot_stream(snapshots: DataFrame, event_time: str | None = None, keep: str = "365 days") -> DataFrame:
-    """Snapshots whose (source, artifact, digest) was not seen before.
-
-    With an event time the state is bounded by ``keep``; without one every key is kept.
-    """
-    keys = ["source_id", "artifact_ref", "digest"]
-    if event_time is None:
-        return snapshots.dropDuplicates(keys)
+def new_snapshot_stream(snapshots: DataFrame, event_time: str, keep: str = "365 days") -> DataFrame:
+    """Snapshots whose (source, artifact, digest) was not seen within ``keep`` of event time."""
     timed = snapshots.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    return timed.withWatermark(event_time, keep).dropDuplicatesWithinWatermark(keys)
+    return timed.withWatermark(event_time, keep).dropDuplicatesWithinWatermark(["source_id", "artifact_ref", "digest"])
 
 
 def run_state_stream(
