@@ -105,9 +105,15 @@ _TAX = f"""p AS (SELECT product_id, list_transform(breadcrumbs, lambda c: {mk('c
                CASE WHEN ss > 0 THEN 'sub_name_overlap' END, CASE WHEN c5 THEN 'steam_evidence' END) AS reasons FROM y)"""
 
 
-@query("J19_taxonomy_candidates", "WITH " + _TAX + "SELECT product_id, path, confidence, replace(reasons, ',', '|') AS reasons FROM c WHERE confidence > 0")
+@query(
+    "J19_taxonomy_candidates",
+    "WITH " + _TAX + """SELECT product_id, path, confidence, replace(reasons, ',', '|') AS reasons FROM c WHERE confidence > 0
+       QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY confidence DESC, path) <= 3""",
+)
 def _(v):
-    return A.taxonomy_candidates(v.tax_products_v, v.paths_v, RULES).where("confidence > 0").select(
+    # The best three paths per product; the task-side cut keeps the others out of the shuffle.
+    found = A.taxonomy_candidates(v.tax_products_v, v.paths_v, RULES).where("confidence > 0")
+    return A.top_rows(found, ["product_id"], [F.desc("confidence"), F.col("path")], 3).select(
         "product_id", "path", "confidence", "reasons"
     )
 
@@ -494,7 +500,7 @@ def _spec_products(v):
     s = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("value"))
     none = F.array().cast("array<struct<label:string,value:string>>")
     return v.part.select(
-        k.alias("product_id"), F.lit("t1").alias("template_id"), F.col("p_brand").alias("brand"), F.concat(F.lit("M"), k).alias("mpn"),
+        k.alias("product_id"), F.concat(F.lit("t-"), "p_type").alias("template_id"), F.col("p_brand").alias("brand"), F.concat(F.lit("M"), k).alias("mpn"),
         F.col("p_type").alias("leaf"), F.when(F.col("p_size") % 2 == 0, "Even").otherwise("Odd").alias("sub"), F.lit("fem").alias("gender"),
         F.concat(
             F.array(s("Net weight in kg", F.col("p_size").cast("string")), s("Finish", F.lit("—"))),
@@ -512,10 +518,11 @@ def _spec_products(v):
        UNION ALL SELECT p_partkey, 'finish', 'n/a', 'fallback' FROM part""",
 )
 def _(v):
-    fields = v.spark.createDataFrame(
-        [("t1", "color", ["Color", "Colour"], None), ("t1", "weight", ["Net weight"], None), ("t1", "finish", ["Finish"], "n/a")],
-        "template_id string, field string, aliases array<string>, fallback string",
-    )
+    # Every product type has a template of its own with the same three fields.
+    field = lambda name, aliases, fallback: F.struct(
+        F.lit(name).alias("field"), F.array(*map(F.lit, aliases)).alias("aliases"), F.lit(fallback).cast("string").alias("fallback"))
+    listed = F.array(field("color", ["Color", "Colour"], None), field("weight", ["Net weight"], None), field("finish", ["Finish"], "n/a"))
+    fields = v.part.select(F.concat(F.lit("t-"), "p_type").alias("template_id")).distinct().select("template_id", F.inline(listed))
     return A.fill_template_fields(_spec_products(v), fields).drop("template_id")
 
 

@@ -169,7 +169,7 @@ def _(v):
     return RD.read_text_csv(v.spark, f"{folder}/blocked").select("model", "field")
 
 
-@query("IO17_preview", "SELECT 20::bigint AS shown, count(*) AS rows FROM catalog_raw_v")
+@query("IO17_preview", "SELECT least(20, count(*))::bigint AS shown, count(*) AS rows FROM catalog_raw_v")
 def _(v):
     head, total = RD.preview(v.catalog_raw_v, 20)
     return head.agg(F.count(F.lit(1)).alias("shown")).withColumn("rows", F.lit(total).cast("bigint"))
