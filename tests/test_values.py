@@ -209,3 +209,39 @@ def test_times(one):
     assert str(one(parse_timestamp(F.lit("2024-01-02T03:04:05Z")))) == "2024-01-02 03:04:05"
     assert one(parse_timestamp(F.lit("soon"))) is None
     assert [one(age_text(F.lit(s))) for s in (45, 65, 3700, 97200)] == ["45s", "1m 5s", "1h 1m", "1d 3h"]
+
+
+@pytest.mark.parametrize(
+    "text, issues",
+    [
+        ("Γάλα φρέσκο", []), ("ΜΑΓΕΙΡΙΚΗ ΓΩΝΙΑ", []), ("Γ", []), ("Γƒx", ["mojibake_pattern"]), ("Γ‚ ", ["mojibake_pattern"]),
+        ("Γ\u008ex", ["c1_control_character", "mojibake_pattern"]), ("ΓΆβ‚¬™", ["mojibake_pattern"]), ("Γƒ", []), ("Γƒ\n", []),
+        ("what???", ["question_mark_run"]), ("http://x/???", []), ("�", ["replacement_character"]),
+    ],
+)
+def test_text_issues(one, text, issues):
+    assert one(S.text_issues(F.lit(text))) == issues
+
+
+@pytest.mark.parametrize(
+    "label, value, category, unit",
+    [
+        ("Όγκος", "5lt", "", "Lt"), ("Πόδια", "12cm", "", "cm"), ("Πόδια", "12 cm", "", "cm"), ("Volt", "230", "", "V"),
+        ("Χωρητικότητα", "8", "Πλυντήρια", "kg"), ("Χωρητικότητα", "300", "Καταψύκτες", "Lt"), ("Χωρητικότητα", "8", "", ""),
+        ("Χρώμα", "λευκό", "Ψυγεία", ""),
+    ],
+)
+def test_units(one, label, value, category, unit):
+    assert one(N.unit_of(F.lit(label), F.lit(value), F.lit(category))) == unit
+
+
+@pytest.mark.parametrize("text, found", [("ψυγείο a++ inverter", "A++"), ("fridge α+", "A+"), ("δ+ γ", "D+"), ("TV G/F", ""), ("plus", "")])
+def test_energy_class_in_either_case(one, text, found):
+    assert one(N.energy_class_in_text(F.lit(text))) == found
+
+
+@pytest.mark.parametrize(
+    "text, fixed", [("Ξ±Ξ²Ξ³ kettle", "αβγ kettle"), ("Γάλα", "Γάλα"), ("Ξ±", "Ξ±"), ("plain", "plain"), ("αβγ ™", "αβγ ™"), ("日本", "日本")],
+)
+def test_repair_of_a_wrong_code_page(one, text, fixed):
+    assert one(Y.repair_mojibake(F.lit(text))) == fixed
