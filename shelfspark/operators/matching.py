@@ -723,18 +723,22 @@ def _word_set(col: Column, shortest: int) -> Column:
     return F.array_distinct(F.filter(found, lambda t: F.length(t) >= shortest))
 
 
+def _share_of(names: Column, found: Column) -> Column:
+    return F.when(F.size(names) > 0, F.size(F.array_intersect(names, found)) / F.size(names)).otherwise(F.lit(0.0))
+
+
 def name_overlap(name: Column, text: Column) -> Column:
     """Share of the name's words found in a text."""
-    return bind(
-        _word_set(name, 3),
-        lambda n: F.when(
-            F.size(n) > 0, F.size(F.array_intersect(n, _word_set(text, 3))) / F.size(n)
-        ).otherwise(F.lit(0.0)),
-    )
+    return bind(_word_set(name, 3), lambda n: _share_of(n, _word_set(text, 3)))
 
 
 def name_identifier_points(name: Column, haystack: Column) -> Column:
     """Points for the code a product name starts with: whole, or in parts."""
+    return _identifier_points(name, _alnum(haystack), _word_set(haystack, 2))
+
+
+def _identifier_points(name: Column, flat: Column, found: Column) -> Column:
+    """The same over a text that was flattened and cut into words before."""
     lead = F.regexp_extract(F.coalesce(name, F.lit("")), "^\\s*([0-9a-zA-Z]+(?:[-/][0-9a-zA-Z]+)*)", 1)
 
     def points(p: Column) -> Column:
@@ -765,8 +769,7 @@ def name_identifier_points(name: Column, haystack: Column) -> Column:
 
     return bind(
         F.struct(
-            lead.alias("lead"), _alnum(lead).alias("key"), _alnum(haystack).alias("hay"),
-            _word_set(haystack, 2).alias("words"),
+            lead.alias("lead"), _alnum(lead).alias("key"), flat.alias("hay"), found.alias("words"),
         ),
         points,
     )
@@ -779,27 +782,30 @@ def resolver_score(rows: DataFrame) -> DataFrame:
     result and ``model, mpn, barcode, brand, name`` of the product.
     """
     hay = F.concat_ws(" ", "product_url", "title", "description", F.array_join("extra_snippets", " "))
-    inside = lambda c: (_alnum(F.col(c)) != "") & F.contains(_alnum(F.col("_hay")), _alnum(F.col(c)))
+    # Every text of a row is flattened and cut into words once.
+    read = rows.withColumn("_hay", hay).withColumns({
+        "_flat": _alnum(F.col("_hay")), "_words": _word_set(F.col("_hay"), 2), "_name": _word_set(F.col("name"), 3),
+        "_title": _word_set(F.col("title"), 3), "_text": _word_set(F.col("description"), 3),
+        **{f"_{c}": _alnum(F.col(c)) for c in ("mpn", "barcode", "model", "brand")},
+    })
+    inside = lambda c: (F.col(f"_{c}") != "") & F.contains("_flat", F.col(f"_{c}"))
+    share = lambda found: _share_of(F.col("_name"), found)
     identity = F.least(
         F.when(inside("mpn") | inside("barcode"), 20.0).otherwise(0.0)
         + F.when(inside("model"), 5.0).otherwise(0.0)
-        + name_identifier_points(F.col("name"), F.col("_hay")),
+        + _identifier_points(F.col("name"), F.col("_flat"), F.col("_words")),
         F.lit(35.0),
     )
     score = (
         F.least(F.lit(40.0), F.greatest(F.lit(0.0), F.col("weight") * F.lit(0.4)))
         + identity
         + F.when(inside("brand"), 8.0).otherwise(0.0)
-        + name_overlap(F.col("name"), F.col("_hay")) * 12.0
+        + share(F.filter("_words", lambda t: F.length(t) >= 3)) * 12.0
         + 8.0
-        + (name_overlap(F.col("name"), F.col("title")) * 4.0 + name_overlap(F.col("name"), F.col("description")) * 3.0)
+        + (share(F.col("_title")) * 4.0 + share(F.col("_text")) * 3.0)
         + F.when(F.col("rank") > 0, F.greatest(F.lit(0.0), 6.0 - F.least("rank", F.lit(6)))).otherwise(0.0)
     )
-    return (
-        rows.withColumn("_hay", hay)
-        .withColumn("confidence", F.least(F.lit(100), F.bround(score, 0).cast("int")))
-        .drop("_hay")
-    )
+    return read.withColumn("confidence", F.least(F.lit(100), F.bround(score, 0).cast("int"))).select(*rows.columns, "confidence")
 
 
 def resolve_sources(
