@@ -1,5 +1,6 @@
 """The operators' queries: against DuckDB where SQL can say them, contracts where not; then the pipeline."""
 
+import functools
 import struct
 import zlib
 
@@ -7,7 +8,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from shelfspark.llm import packing, queries
+from shelfspark.llm import brown, langid, packing, queries
 from tools.check import norm
 
 from . import helpers as H
@@ -23,6 +24,13 @@ COLUMNS = {
 }
 
 
+@pytest.fixture(autouse=True)
+def short_training(monkeypatch):
+    """Held-out accuracy is tested elsewhere; here a little training is enough."""
+    monkeypatch.setattr(langid, "fit", functools.partial(langid.fit, steps=150))
+    monkeypatch.setattr(brown, "fit", functools.partial(brown.fit, units=500, endings=50, classes=8, rounds=2))
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
@@ -62,15 +70,26 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{H.SMALL}/documents.parquet")
     total, step = docs.count(), docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, step, H.SMALL)
-        assert after.dtypes == docs.dtypes, name
-        step = after.cache()
+        step = stage(spark, step, H.SMALL)
+        assert step.dtypes == docs.dtypes, name
+        step = step.cache()
         if name in ("language", "quality"):
             assert 0.7 * total < step.count() <= total
     pieces = corpus_pipeline.STAGES[-1][1](spark, step, H.SMALL)
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == {r.doc_id for r in step.select("doc_id").collect()}
-    whole = corpus_pipeline.run(spark, H.SMALL)
-    assert {r.doc_id for r in whole.select("doc_id").collect()} == {r.doc_id for r in step.select("doc_id").collect()}
+
+
+def test_run_chains_the_stages(spark, monkeypatch):
+    def less(spark, docs, sf_dir):
+        assert sf_dir == H.SMALL
+        return docs.where("doc_id % 2 = 0")
+
+    def last(spark, docs, sf_dir):
+        return docs.select((docs.doc_id + 1).alias("next"))
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("less", less), ("last", last)])
+    found = {r.next for r in corpus_pipeline.run(spark, H.SMALL).collect()}
+    assert found == {r.doc_id + 1 for r in spark.read.parquet(f"{H.SMALL}/documents.parquet").collect() if r.doc_id % 2 == 0}
 
 
 def test_stages_on_odd_documents(spark):
