@@ -170,25 +170,30 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def outside(one: np.ndarray, two: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """Common elements of two sorted sets, and the first elements of ``one`` outside ``two``.
+def outside(one: np.ndarray, two: np.ndarray, percent: int) -> tuple[int, np.ndarray, int]:
+    """Common elements of two sorted sets, the first elements of ``one`` outside ``two``, and how many suffice.
 
     A set that is linked with ``one`` and shares anything with it outside ``two`` shares one of
     these: it needs at least ceil(percent * size) elements of ``one``, of which ``two`` has only
-    the common ones.
+    the common ones. A set that is not smaller than ``one`` needs more of them, and shares one
+    of the elements up to the third value.
     """
     at = np.minimum(np.searchsorted(two, one), len(two) - 1)
     inside = two[at] == one
     common = int(inside.sum())
     rest = one[~inside]
-    needed = max(1, -(-percent * len(one) // 100) - common)
-    return common, rest[: max(0, len(rest) - needed + 1)]
+
+    def prefix(least: int) -> int:
+        return max(0, len(rest) - max(1, least - common) + 1)
+
+    short = prefix(-(-2 * percent * len(one) // (100 + percent)))
+    return common, rest[: prefix(-(-percent * len(one) // 100))], short
 
 
 def _measured(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (src, dst) with the sets' sizes, their common elements and src's elements outside dst."""
     fields = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("n_src", pa.int64()), ("n_dst", pa.int64()),
-                        ("common", pa.int64()), ("outside", pa.list_(pa.int64()))])
+                        ("common", pa.int64()), ("outside", pa.list_(pa.int64())), ("short", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -200,11 +205,12 @@ def _measured(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array([s[0] for s in sizes], pa.int64()), pa.array([s[1] for s in sizes], pa.int64()),
                 pa.array([f[0] for f in found], pa.int64()), pa.array([f[1].view(np.int64) for f in found], fields.field(5).type),
+                pa.array([f[2] for f in found], pa.int64()),
             ], schema=fields)
 
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"{name}_set"))
     pairs = edges.join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", "src_set", "dst_set")
-    return pairs.mapInArrow(run, "src bigint, dst bigint, n_src bigint, n_dst bigint, common bigint, outside array<bigint>")
+    return pairs.mapInArrow(run, "src bigint, dst bigint, n_src bigint, n_dst bigint, common bigint, outside array<bigint>, short bigint")
 
 
 def _linked(percent: int) -> Column:
@@ -231,33 +237,41 @@ def _mixed(measured: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _again(mixed: DataFrame) -> DataFrame:
-    """Buckets of shingles outside the centre, where members of several components meet: bucket, doc_id."""
-    rows = mixed.select("dst", F.col("src").alias("doc_id"), "label", F.explode("outside").alias("shingle")).select(
-        F.xxhash64("dst", "shingle").alias("bucket"), "doc_id", "label")
+    """Buckets of shingles outside the centre, where members of several components meet.
+
+    bucket, doc_id, its set's size n, and whether the shingle is one that it shares with
+    linked sets that are not smaller.
+    """
+    rows = mixed.select("dst", F.col("src").alias("doc_id"), "label", F.col("n_src").alias("n"), "short", F.posexplode("outside").alias("at", "shingle")).select(
+        F.xxhash64("dst", "shingle").alias("bucket"), "doc_id", "label", "n", (F.col("at") < F.col("short")).alias("early"))
     several = rows.groupBy("bucket").agg(
         F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return saved(rows.join(several.select("bucket"), "bucket").select("bucket", "doc_id"))
+    return saved(rows.join(several.select("bucket"), "bucket").select("bucket", "doc_id", "n", "early"))
 
 
 def _next_centres(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (bucket, doc_id, label) of buckets with several components, and their next centres.
+    """Members of buckets with several components, with their labels, and their next centres.
 
     Members of a bucket's most frequent component need not be centres while others are left.
     """
     tagged = members.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select(
-        "bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+        "bucket", "doc_id", "n", "early", F.coalesce("label", "doc_id").alias("label"))
     main = tagged.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
     kept = saved(tagged.join(main.select("bucket", "main"), "bucket"))
     order = Window.partitionBy("bucket").orderBy("doc_id")
-    centres = kept.where("label <> main").withColumn("n", F.row_number().over(order)).where(F.col("n") <= FAN)
-    return kept.drop("main"), saved(centres.select("bucket", "doc_id", "label"))
+    centres = kept.where("label <> main").withColumn("place", F.row_number().over(order)).where(F.col("place") <= FAN)
+    return kept.drop("main"), saved(centres.select("bucket", "doc_id", "label", "n", "early"))
 
 
 def _fans(members: DataFrame, centres: DataFrame) -> DataFrame:
-    """Edges from each bucket's centres to the bucket's members of other components."""
-    return (members.join(centres.select("bucket", F.col("doc_id").alias("dst"), F.col("label").alias("centre")), "bucket")
-            .where("label <> centre").select(F.greatest("doc_id", "dst").alias("src"), F.least("doc_id", "dst").alias("dst")).distinct())
+    """Edges from each bucket's centres to the members of other components that may be linked here."""
+    c = centres.select("bucket", F.col("doc_id").alias("dst"), F.col("label").alias("c_label"), F.col("n").alias("c_n"), F.col("early").alias("c_early"))
+    # Of two linked sets the smaller one shares an early shingle, both do if they are of one size.
+    smaller = F.when(F.col("n") < F.col("c_n"), F.col("early")).when(F.col("n") > F.col("c_n"), F.col("c_early")).otherwise(
+        F.col("early") & F.col("c_early"))
+    met = members.join(c, (members["bucket"] == c["bucket"]) & (F.col("label") != F.col("c_label")) & smaller)
+    return met.select(F.greatest("doc_id", "dst").alias("src"), F.least("doc_id", "dst").alias("dst")).distinct()
 
 
 def _direct(mixed: DataFrame, percent: int) -> DataFrame:
@@ -316,7 +330,7 @@ def near_duplicates(
         if not found.isEmpty():
             links.append(found)
             labels = components(reduce(DataFrame.union, links))
-        members = members.select("bucket", "doc_id").join(centres.select("bucket", "doc_id"), ["bucket", "doc_id"], "left_anti")
+        members = members.drop("label").join(centres.select("bucket", "doc_id"), ["bucket", "doc_id"], "left_anti")
         edges = edges.limit(0)
     # Copies follow their set's first document.
     own = saved(low.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select(
