@@ -239,14 +239,16 @@ def _mixed(measured: DataFrame, labels: DataFrame) -> DataFrame:
 def _again(mixed: DataFrame) -> DataFrame:
     """Buckets of shingles outside the centre, where members of several components meet.
 
-    bucket, doc_id, its set's size n, and whether the shingle is one that it shares with
-    linked sets that are not smaller.
+    bucket, doc_id, its set's size n, what it has in common with the centre, and whether the
+    shingle is one that it shares with linked sets that are not smaller.
     """
-    rows = mixed.select("dst", F.col("src").alias("doc_id"), "label", F.col("n_src").alias("n"), "short", F.posexplode("outside").alias("at", "shingle")).select(
-        F.xxhash64("dst", "shingle").alias("bucket"), "doc_id", "label", "n", (F.col("at") < F.col("short")).alias("early"))
+    rows = mixed.select(
+        "dst", F.col("src").alias("doc_id"), "label", F.col("n_src").alias("n"), "common", "short",
+        F.posexplode("outside").alias("at", "shingle"),
+    ).select(F.xxhash64("dst", "shingle").alias("bucket"), "doc_id", "label", "n", "common", (F.col("at") < F.col("short")).alias("early"))
     several = rows.groupBy("bucket").agg(
         F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return saved(rows.join(several.select("bucket"), "bucket").select("bucket", "doc_id", "n", "early"))
+    return saved(rows.join(several.select("bucket"), "bucket").select("bucket", "doc_id", "n", "common", "early"))
 
 
 def _next_centres(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -255,22 +257,26 @@ def _next_centres(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, Dat
     Members of a bucket's most frequent component need not be centres while others are left.
     """
     tagged = members.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select(
-        "bucket", "doc_id", "n", "early", F.coalesce("label", "doc_id").alias("label"))
+        "bucket", "doc_id", "n", "common", "early", F.coalesce("label", "doc_id").alias("label"))
     main = tagged.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
     kept = saved(tagged.join(main.select("bucket", "main"), "bucket"))
     order = Window.partitionBy("bucket").orderBy("doc_id")
     centres = kept.where("label <> main").withColumn("place", F.row_number().over(order)).where(F.col("place") <= FAN)
-    return kept.drop("main"), saved(centres.select("bucket", "doc_id", "label", "n", "early"))
+    return kept.drop("main"), saved(centres.select("bucket", "doc_id", "label", "n", "common", "early"))
 
 
-def _fans(members: DataFrame, centres: DataFrame) -> DataFrame:
+def _fans(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
     """Edges from each bucket's centres to the members of other components that may be linked here."""
-    c = centres.select("bucket", F.col("doc_id").alias("dst"), F.col("label").alias("c_label"), F.col("n").alias("c_n"), F.col("early").alias("c_early"))
+    c = centres.select(F.col("bucket").alias("c_bucket"), F.col("doc_id").alias("dst"), F.col("label").alias("c_label"),
+                       F.col("n").alias("c_n"), F.col("common").alias("c_common"), F.col("early").alias("c_early"))
     # Of two linked sets the smaller one shares an early shingle, both do if they are of one size.
     smaller = F.when(F.col("n") < F.col("c_n"), F.col("early")).when(F.col("n") > F.col("c_n"), F.col("c_early")).otherwise(
         F.col("early") & F.col("c_early"))
-    met = members.join(c, (members["bucket"] == c["bucket"]) & (F.col("label") != F.col("c_label")) & smaller)
+    # No more can be shared than both share with the bucket's first centre and have outside it.
+    most = F.least("common", "c_common") + F.least(F.col("n") - F.col("common"), F.col("c_n") - F.col("c_common"))
+    enough = (100 + percent) * most >= percent * (F.col("n") + F.col("c_n"))
+    met = members.join(c, (F.col("bucket") == F.col("c_bucket")) & (F.col("label") != F.col("c_label")) & smaller & enough)
     return met.select(F.greatest("doc_id", "dst").alias("src"), F.least("doc_id", "dst").alias("dst")).distinct()
 
 
@@ -323,7 +329,7 @@ def near_duplicates(
     members, edges = _again(mixed), _direct(mixed, percent)
     while True:
         members, centres = _next_centres(members, labels)
-        edges = saved(edges.unionByName(_fans(members, centres)).distinct())
+        edges = saved(edges.unionByName(_fans(members, centres, percent)).distinct())
         if edges.isEmpty():
             break
         found = saved(_measured(edges, sets, percent).where(_linked(percent)).select("src", "dst"))
