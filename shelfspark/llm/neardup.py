@@ -330,12 +330,14 @@ def near_duplicates(
     while True:
         members, centres = _next_centres(members, labels)
         edges = saved(edges.unionByName(_fans(members, centres, percent)).distinct())
-        if edges.isEmpty():
+        if not edges.isEmpty():
+            found = saved(_measured(edges, sets, percent).where(_linked(percent)).select("src", "dst"))
+            if not found.isEmpty():
+                links.append(found)
+                labels = components(reduce(DataFrame.union, links))
+        # A round without edges only used up its centres; later ones may still have links.
+        if centres.isEmpty():
             break
-        found = saved(_measured(edges, sets, percent).where(_linked(percent)).select("src", "dst"))
-        if not found.isEmpty():
-            links.append(found)
-            labels = components(reduce(DataFrame.union, links))
         members = members.drop("label").join(centres.select("bucket", "doc_id"), ["bucket", "doc_id"], "left_anti")
         edges = edges.limit(0)
     # Copies follow their set's first document.

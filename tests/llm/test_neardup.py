@@ -86,6 +86,23 @@ def test_copies_too_far_from_their_original(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(docs, 3, percent)
 
 
+def test_centres_without_edges_do_not_end_the_rounds(spark):
+    # One bucket; more than FAN members of low id share the linked pair's only early shingle, too late to count.
+    pool = sorted((f"w{i}" for i in range(8000)), key=lambda w: int(N.shingles(w, 1)[0]))
+    at = 2000
+    below, above, shared = iter(pool[1:at]), iter(pool[at + 1:]), pool[at]
+    take = lambda words, n: [next(words) for _ in range(n)]
+    base = [pool[0], *take(above, 29)]
+    texts = [base + take(above, 70)]
+    texts += [base + take(below, 15) + [shared] + take(above, 54) for _ in range(N.FAN + 8)]
+    tail = take(above, 58)
+    texts += [base + take(below, 11) + [shared] + tail for _ in range(2)]
+    docs = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    found = N.near_duplicates(H.table(spark, docs), 1, 80, bands=1, rows=1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(docs, 1, 80)
+    assert [r.doc_id for r in found if not r.kept] == [len(docs) - 1]
+
+
 def test_a_linked_set_shares_an_outside_element():
     rng = np.random.default_rng(3)
     for _ in range(500):
