@@ -542,9 +542,10 @@ def resolve_filter_values(
     before one with the same key.
     """
     spelled = values.withColumn("_names", F.concat(F.array("value"), F.coalesce("aliases", empty_texts())))
-    alias_words = F.array_max(F.transform("_names", lambda n: F.size(words(label_key(n)))))
-    listed = spelled.groupBy("group_id").agg(
-        F.max(F.col("status") != "inactive").alias("_has_allowed"), F.max(alias_words).alias("_most"))
+    # Phrases are as long as the longest key of a name, which may have more words than the name.
+    key_words = F.array_max(F.transform(value_alias_keys(F.col("_name")), lambda k: F.size(words(k))))
+    listed = spelled.select("group_id", "status", F.explode("_names").alias("_name")).groupBy("group_id").agg(
+        F.max(F.col("status") != "inactive").alias("_has_allowed"), F.max(key_words).alias("_most"))
     asked = products.join(
         groups.select(F.col("category_id").alias("filter_category_id"), "group_id", "group_name", "required",
                       F.col("status").alias("group_status")).join(listed, "group_id", "left"),
@@ -598,7 +599,7 @@ def _canonical_values(found: DataFrame, spelled: DataFrame, carry: list[str]) ->
     """Found values in the spelling of the filter map, with the status they have there.
 
     An equal alias key decides; else the one listed value whose key stands as a phrase in the
-    found text. Keys and phrases, no longer than the group's longest alias, meet the map in
+    found text. Keys and phrases, no longer than the group's longest alias key, meet the map in
     one equality join.
     """
     keys = (

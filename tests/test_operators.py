@@ -367,3 +367,19 @@ def test_alert_stream_raises_each_key_once(spark, tmp_path):
     run.awaitTermination()
     none = spark.createDataFrame([], "dedupe_key string")
     assert rows(spark.read.parquet(out), "dedupe_key") == rows(O.new_alert_events(obs, rules, none), "dedupe_key")
+
+
+def test_filter_values_found_by_keys_longer_than_the_listed_names(spark):
+    cases = {"a": ("NoFrost", "full no frost system"), "b": ("Total NoFrost", "with total no frost inside"),
+             "c": ("7", "load 7 kg max"), "d": ("7kg", "load 7 kg max"), "e": ("HD", "an hd ready panel")}
+    products = spark.createDataFrame([(1, "c")], "product_id int, filter_category_id string")
+    groups = spark.createDataFrame(
+        [("c", g, f"Group {g}", False, "active") for g in cases],
+        "category_id string, group_id string, group_name string, required boolean, status string")
+    values = spark.createDataFrame(
+        [(g, v, "active", None) for g, (v, _) in cases.items()], "group_id string, value string, status string, aliases array<string>")
+    evidence = spark.createDataFrame(
+        [(1, "source", f"Group {g}", t, n) for n, (g, (_, t)) in enumerate(cases.items())],
+        "product_id int, kind string, label string, value string, seq int")
+    got = rows(A.resolve_filter_values(products, groups, values, evidence), "group_id", "resolved_value", "outside_allowed")
+    assert got == [(g, v, False) for g, (v, _) in sorted(cases.items())]
