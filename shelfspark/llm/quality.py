@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import fold, small_batches
 
 PIECE = 1024  # bytes compressed at a time
-SAMPLE = 256  # bytes of a training sample
 
 
 @dataclass(frozen=True)
@@ -123,7 +122,7 @@ def fit(
         return Model(None, None, 0.0, 0.0)
 
     def dictionaries(texts: dict[int, list[bytes]]) -> Model:
-        bad, good = (_dictionary([p for b in texts[q] for p in _pieces(b, SAMPLE)], size) for q in (0, 1))
+        bad, good = (_dictionary([p for b in texts[q] for p in _pieces(b)], size) for q in (0, 1))
         return Model(bad, good, 0.0, 0.0)
 
     # The curve is fitted on texts that the dictionaries of the other half have not seen.
@@ -138,73 +137,6 @@ def fit(
     return Model(model.bad, model.good, slope, shift)
 
 
-def score(self, text: str | None) -> float:
-        z = self.model.slope * self.feature(text) + self.model.shift
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
-
-
-def _dictionary(samples: list[bytes], size: int) -> bytes | None:
-    """Trained dictionary; of few or uniform samples the raw text itself."""
-    if not samples:
-        return None
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
-
-
-def _curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
-    """Logistic fit by Newton steps with a little shrinkage; ``share`` of all rows are good."""
-    scale = float(np.std(x)) or 1.0
-    design = np.stack([x / scale, np.ones(len(x))], axis=1)
-    weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum()))
-    beta = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -40, 40)))
-        slope = design.T @ (weight * (y - p)) - 1e-3 * beta * [1, 0]
-        curve = (design * (weight * p * (1 - p))[:, None]).T @ design + np.diag([1e-3, 1e-9])
-        step = np.linalg.solve(curve, slope)
-        beta += np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(beta[0] / scale), float(beta[1])
-
-
-def fit(
-    docs: DataFrame, labels: DataFrame, sample: int = 4000, pieces: int = 4, size: int = 114_688,
-    folds: int = 3, held_out: int = 1,
-) -> Model:
-    """Model learnt from labelled rows outside the held-out fold.
-
-    Rows with null text, quality or doc_id teach nothing. A doc_id with both labels counts
-    once per label. With one class only, or none, every text scores 0.5.
-    """
-    marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
-    marked = marked.where(fold(F.col("doc_id"), folds) != held_out)
-    counts = {r.quality: r["count"] for r in marked.groupBy("quality").count().collect()}
-    # The sampling comes before the texts: at most 2 * sample ids meet the documents.
-    chosen = marked.where("quality = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).union(
-        marked.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    width = PIECE * pieces
-    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - width + 1, F.lit(1))).cast("int") + 1
-    taken = docs.where("text IS NOT NULL AND text <> ''").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select(
-        "doc_id", "quality", F.substring(F.col("text"), start, F.lit(width)).alias("text"))
-    rows = sorted((r.doc_id, r.quality, r.text) for r in taken.limit(4 * sample).collect())
-    by_class: dict[int, list[bytes]] = {0: [], 1: []}
-    for _, quality, text in rows:
-        by_class[quality].append(text.encode("utf-8", "surrogatepass"))
-    if not by_class[0] or not by_class[1]:
-        return Model(None, None, 0.0, 0.0)
-    learn = {q: [p for b in texts[::2] for p in _pieces(b)] for q, texts in by_class.items()}
-    model = Model(_dictionary(learn[0], size), _dictionary(learn[1], size), 0.0, 0.0)
-    scorer = Scorer(model)
-    test = [(scorer.feature(b.decode("utf-8", "surrogatepass")), q) for q, texts in by_class.items() for b in (texts[1::2] or texts)]
-    share = counts[1] / (counts[0] + counts[1])
-    slope, shift = _curve(np.array([x for x, _ in test]), np.array([q for _, q in test]), share)
-    return Model(model.bad, model.good, slope, shift)
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and predicted (1 from 0.5 on) of every whole text; null counts as empty.
 

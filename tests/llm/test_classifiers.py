@@ -63,6 +63,14 @@ def test_quality_of_odd_documents(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_quality_dictionaries_hold_the_whole_sample(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, quality int")
+    texts = H.table(spark, [(i, f"only{i}here") for i in range(12)])
+    model = quality.fit(texts, labels, folds=1, held_out=1)
+    for i in range(12):
+        assert f"only{i}here".encode() in (model.bad, model.good)[i % 2]
+
+
 def test_compressed_size_difference_is_the_feature():
     model = quality.Model(b"bad bad words " * 50, b"good fine text " * 50, 1.0, 0.0)
     scorer = quality.Scorer(model)
