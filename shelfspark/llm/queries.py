@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import ann, brown, fingerprints, langid, mixing, neardup, packing, quality, tokencount, warc
+from shelfspark.llm import (
+    ann, brown, collocations, fingerprints, langid, mixing, neardup, packing, periodic, quality, repeats, tokencount, warc,
+)
 from shelfspark.llm.common import fold, table
 
 # Production parameters of the mix: a source may repeat at most twice, no document is left out.
@@ -113,6 +115,44 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without the 50-byte strings that an earlier one has."""
+    left = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return left.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """The documents, every tenth (by the crc32 of its id) with the words from one place on repeating a few of them."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = docs.where(h % 10 == 0).select("doc_id", "text", h.alias("h"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
+    words = words.withColumn("n", F.greatest(F.size("w"), F.lit(1))).withColumn("g", F.floor(F.col("h") / 10))
+    words = words.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    words = words.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    turns = F.flatten(F.array_repeat(F.expr("slice(w, a + 1, p)"), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    made = F.array_join(F.concat(F.expr("slice(w, 1, a)"), F.slice(turns, 1, F.col("n") - F.col("a"))), " ")
+    return docs.where(h % 10 != 0).select("doc_id", "text").unionByName(words.select("doc_id", made.alias("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of all documents, a tenth of which are made periodic, and the texts without the repetitions."""
+    found = periodic.periodic_runs(looped(table(spark, sf_dir, "documents")), least=12)
+    best = F.expr("array_min(transform(runs, r -> struct(-r.length AS by_length, r.start, r.period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id", "n_runs", "best.start", F.expr("-best.by_length").alias("length"), "best.period",
+        F.expr("-1000 * best.by_length DIV best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), support=30, percent=80, most=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -124,6 +164,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_revisits": op9_revisits,
     "op10_token_counts": op10_token_counts,
+    "op11_repeats": op11_repeats,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 
 # The exponent in closed form: the rarest source repeats twice, the most frequent once.
@@ -199,8 +242,57 @@ SELECT 2 * page_id + 1 AS record_id, url_key, later AS "at",
            || chr(10) || 'date: ' || later || chr(10) || 'expires: never' AS headers
 FROM j WHERE n = 1"""
 
+_REPEATS = """
+WITH b AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, substring(h, 2 * p + 1, 100) AS s FROM (SELECT *, unnest(range(0, n - 49)) AS p FROM b)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+d AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 AS goes_on FROM w JOIN f USING (s) WHERE first < doc_id),
+i AS (SELECT doc_id, p, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM d),
+s AS (SELECT doc_id, span, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY doc_id, span),
+k AS (
+    SELECT b.doc_id, coalesce(a, n) AS a, coalesce(z, n) AS z, span,
+           substring(h, 2 * coalesce(lag(z) OVER o, 0) + 1, 2 * (coalesce(a, n) - coalesce(lag(z) OVER o, 0))) AS before,
+           CASE WHEN lead(z) OVER o IS NULL THEN substring(h, 2 * coalesce(z, n) + 1) ELSE '' END AS tail, n
+    FROM b LEFT JOIN s ON s.doc_id = b.doc_id WINDOW o AS (PARTITION BY b.doc_id ORDER BY a))
+SELECT doc_id, any_value(n)::BIGINT AS n_bytes, sum(z - a)::BIGINT AS n_removed, count(span) AS n_spans,
+       sha256(unhex(string_agg(before || tail, '' ORDER BY a))) AS kept_sha256
+FROM k GROUP BY doc_id"""
+
+_COLLOCATIONS = """
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p),
+g AS (
+    SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, range(1, 5) AS s(k) WHERE len(words) >= k)),
+f AS MATERIALIZED (SELECT lang, phrase, any_value(k) AS k, count(*) AS a FROM g GROUP BY lang, phrase),
+often AS MATERIALIZED (SELECT * FROM f WHERE a >= 30),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS words FROM often WHERE k > 1),
+t AS MATERIALIZED (
+    SELECT lang, phrase, a, cut, array_to_string(words[1 : cut], ' ') AS head, array_to_string(words[cut + 1 :], ' ') AS tail
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+cuts AS (
+    SELECT t.lang, t.phrase, t.a, cut, x.a AS l, y.a AS r, (2000000::HUGEINT * t.a // (x.a + y.a))::BIGINT AS score
+    FROM t JOIN often x ON x.lang = t.lang AND x.phrase = head JOIN often y ON y.lang = t.lang AND y.phrase = tail),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (
+    SELECT lang, a, array_to_string(words[i : i + m - 1], ' ') AS phrase
+    FROM (SELECT lang, a, words, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 4) AS s(m) WHERE m < k)),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inner_ GROUP BY lang, phrase),
+kept AS (
+    SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase)
+    WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang)
+QUALIFY rank <= 2000"""
+
 # The other operators train models, tokenize or approximate: tested against brute force.
-ORACLES: dict[str, str] = {"op1_mixing": _MIX, "op8_near_dedup": _NEAR, "op9_revisits": _REVISITS}
+ORACLES: dict[str, str] = {"op1_mixing": _MIX, "op8_near_dedup": _NEAR, "op9_revisits": _REVISITS,
+                           "op11_repeats": _REPEATS, "op13_collocations": _COLLOCATIONS}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
