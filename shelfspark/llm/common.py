@@ -25,6 +25,35 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Shuffle files of a finished write are of no more use: nothing reads them again.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """Tables of one job's steps in the shared folder, each dropped when no later step needs it.
+
+    Every table cuts the lineage, and the shuffle files of the write that made it are deleted
+    when it ends, so a long job holds the disk of one step and its tables at a time.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+
+    def save(self, name: str, df: DataFrame) -> DataFrame:
+        before = self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.parquet(f"{self.folder}/{name}")
+        finally:
+            self.spark.conf.set(_CLEAN, before) if before else self.spark.conf.unset(_CLEAN)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
