@@ -14,6 +14,7 @@ characters at a hashed offset. Prediction reads whole texts.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import fold, small_batches
 
 LONGEST = 24
+SAMPLE_PARTS = 64
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _MEMO_BYTES = 48 << 20
@@ -50,6 +52,8 @@ class Network:
     hidden: int = 16
     seed: int = 5
     params: dict[str, np.ndarray] = field(default_factory=dict)
+    # Tells networks apart in Python workers that serve several of them.
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def __post_init__(self):
         if self.params:
@@ -207,10 +211,18 @@ def fit(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(
         fold(F.col("doc_id"), folds) != held_out)
+    # Ids first, their texts after: the smallest hashes of every language, cut in each of its parts before the parts meet.
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    for by in (["lang", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(SAMPLE_PARTS))], ["lang"]):
+        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("n") <= sample)
+    ids = ids.orderBy("n", "lang").limit(most).select("doc_id", "lang", "n")
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - window + 1, F.lit(1))).cast("int") + 1
-    taken = (rows.select("doc_id", "lang", F.substring(F.col("text"), start, F.lit(window)).alias("text"))
-             .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-             .where(F.col("n") <= sample).orderBy("n", "lang").limit(most).collect())
+    # At most ``most`` ids; rows of one id and language take turns from the lowest n.
+    once = ids.groupBy("doc_id", "lang").agg(F.count(F.lit(1)).alias("copies"))
+    found = rows.join(F.broadcast(once), ["doc_id", "lang"]).select(
+        "doc_id", "lang", "copies", F.substring(F.col("text"), start, F.lit(window)).alias("text"))
+    taken = (found.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "lang").orderBy("text")))
+             .where(F.col("n") <= F.col("copies")).collect())
     languages = sorted({r.lang for r in taken if r.lang != UNKNOWN})
     at = {lang: i for i, lang in enumerate(languages)}
     words, target = [], []
@@ -225,10 +237,10 @@ def fit(
     return network
 
 
-_READERS: dict[int, Reader] = {}
+_READERS: dict[str, Reader] = {}
 
 
-def _reader(key: int, shared) -> Reader:
+def _reader(key: str, shared) -> Reader:
     """The worker's reader of a broadcast network, kept while the worker serves it."""
     if key not in _READERS:
         _READERS.clear()
@@ -242,7 +254,7 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
     Every row gives a row, repeated rows and null ids too; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)  # parameters of fixed size
-    key = id(network)
+    key = network.key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(key, shared)
@@ -262,7 +274,7 @@ def keep_known(docs: DataFrame, network: Network, least: float = 0.0) -> DataFra
     A network that knows no language only tells texts without letters apart.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    key = id(network)
+    key = network.key
 
     @F.pandas_udf("boolean")
     def known(texts):
