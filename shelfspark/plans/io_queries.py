@@ -18,6 +18,7 @@ from shelfspark.session import shared_dir
 from shelfspark.sources import readers as RD
 from shelfspark.sources import sinks as SK
 from shelfspark.streaming import jobs as J
+from shelfspark.streaming import keyed as K
 
 
 def fresh_dir(v: Views, name: str) -> str:
@@ -217,9 +218,9 @@ def _(v):
 def _(v):
     folder = fresh_dir(v, "health")
     attempts = v.spark.sql(monitoring_queries.VIEWS["captures_v"], events=_file_stream(v, "events"))
-    run = J.run_state_stream(attempts, J.health_step, folder, folder + "-cp")
+    run = K.run_keyed(K.health_stream(attempts), folder, folder + "-cp", idle_batches=False)
     run.awaitTermination()
-    return J.latest_state(v.spark, folder, run).select("source_id", "last_fetch_status", "consecutive_failures")
+    return K.health_now(v.spark, folder + "-cp").select("source_id", "last_fetch_status", "consecutive_failures")
 
 
 @query("ST3_snapshot_stream", "SELECT DISTINCT source_id, artifact_ref, digest_no::varchar AS digest FROM incoming_snapshots_v")
@@ -241,9 +242,9 @@ def _(v):
     folder = fresh_dir(v, "jobs")
     rows = v.spark.sql(monitoring_queries.VIEWS["jobs_v"], events=_file_stream(v, "events"))
     jobs = rows.withColumn("job_id", F.col("user_id"))
-    run = J.run_state_stream(jobs, J.heartbeat_step, folder, folder + "-cp")
+    run = K.run_keyed(K.stale_job_stream(jobs, {"click": 600}), folder, folder + "-cp", idle_batches=True)
     run.awaitTermination()
-    return J.stale_now(J.latest_state(v.spark, folder, run), {"click": 600}).select("job_id", "job_type")
+    return K.stale_jobs_now(v.spark, folder + "-cp").select("job_id", "job_type")
 
 
 monitoring_queries.VIEWS["stream_obs_v"] = """

@@ -1,15 +1,14 @@
-"""Incremental jobs as Structured Streaming; each gives the rows of its batch operator."""
+"""Incremental jobs as Structured Streaming; each gives the rows of its batch operator.
 
-from __future__ import annotations
+Jobs that keep a state of their own per key are in ``keyed``.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.query import StreamingQuery
 
-from shelfspark.operators.monitoring import alert_rows, stale_jobs
-from shelfspark.operators.registry import source_health
+from shelfspark.operators.monitoring import alert_rows
 
 
 def alert_events(observations: DataFrame, rules: DataFrame, event_time: str, keep: str = "30 days") -> DataFrame:
@@ -26,69 +25,3 @@ def new_snapshot_stream(snapshots: DataFrame, event_time: str, keep: str = "365
     """Snapshots whose (source, artifact, digest) was not seen within ``keep`` of event time."""
     timed = snapshots.withColumn(event_time, F.col(event_time).cast("timestamp"))
     return timed.withWatermark(event_time, keep).dropDuplicatesWithinWatermark(["source_id", "artifact_ref", "digest"])
-
-
-def run_state_stream(
-    stream: DataFrame,
-    step: Callable[[DataFrame, DataFrame | None], DataFrame],
-    state_dir: str,
-    checkpoint: str,
-    once: bool = True,
-) -> StreamingQuery:
-    """Keep a keyed table up to date: ``step(batch, previous state) -> next state``.
-
-    Every batch writes a new version next to the old one, so a batch that is run again
-    after a failure reads the same previous version and gives the same result. The step
-    is an ordinary aggregate, so a key with very many rows stays spread over all tasks.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{state_dir}/version={batch_id - 1}") if batch_id else None
-        step(batch, before).write.mode("overwrite").parquet(f"{state_dir}/version={batch_id}")
-
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start() if once else writer.start()
-
-
-def latest_state(spark: SparkSession, state_dir: str, query: StreamingQuery) -> DataFrame:
-    """State after the last batch of an ended query; versions are numbered by batch."""
-    last = query.lastProgress
-    if last is None:
-        raise ValueError("the query has not finished a batch yet")
-    return spark.read.parquet(f"{state_dir}/version={last['batchId']}")
-
-
-def health_step(batch: DataFrame, before: DataFrame | None) -> DataFrame:
-    """Source health after one more batch of capture attempts."""
-    now = source_health(batch, before)
-    if before is None:
-        return now
-    merged = now.join(
-        before.select("source_id", F.col("last_success_at").alias("_s"), F.col("last_error_at").alias("_e")), "source_id", "left"
-    ).withColumns(
-        {"last_success_at": F.greatest("last_success_at", "_s"), "last_error_at": F.greatest("last_error_at", "_e")}
-    ).drop("_s", "_e")
-    return before.join(now.select("source_id"), "source_id", "left_anti").unionByName(merged)
-
-
-def escalations(health: DataFrame, threshold: int = 2) -> DataFrame:
-    """Sources whose failures since the last success reached the threshold."""
-    return health.where((F.col("consecutive_failures") >= threshold) & (F.col("last_fetch_status") != "success"))
-
-
-def heartbeat_step(batch: DataFrame, before: DataFrame | None) -> DataFrame:
-    """Last heartbeat and state per job after one more batch of job events."""
-    rows = batch.select("job_id", "job_type", "status", "heartbeat_at")
-    if before is not None:
-        rows = rows.unionByName(before)
-    last = F.struct("heartbeat_at", "status")
-    return rows.groupBy("job_id", "job_type").agg(
-        F.max_by("status", last).alias("status"), F.max("heartbeat_at").alias("heartbeat_at")
-    )
-
-
-def stale_now(state: DataFrame, minutes: dict[str, int], default: int = 60, now: Column | None = None) -> DataFrame:
-    """Running jobs without a recent heartbeat; time is the newest heartbeat unless given."""
-    clock = now if now is not None else state.agg(F.max("heartbeat_at")).scalar()
-    return stale_jobs(state, clock, minutes, default)

@@ -339,22 +339,6 @@ def test_batch_file_is_rejected_by_one_bad_row(spark, tmp_path):
 
 
 # ---------------------------------------------------------------------- streams
-def test_health_stream_over_many_batches_equals_the_batch_operator(spark, tmp_path):
-    rng = random.Random(5)
-    data = [(i, rng.randrange(6), f"2024-01-{1 + i // 60:02d} 00:{i % 60:02d}:00", rng.choice(["success", "failed", "failed"])) for i in range(300)]
-    df = spark.createDataFrame(data, "attempt_id int, source_id int, captured_at string, fetch_status string").withColumns(
-        {"captured_at": F.col("captured_at").cast("timestamp"), "error_code": F.when(F.col("fetch_status") == "failed", "E")})
-    src = str(tmp_path / "in")
-    for n in range(5):
-        df.where(f"attempt_id >= {n * 60} AND attempt_id < {n * 60 + 60}").coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    state, cp = str(tmp_path / "state"), str(tmp_path / "cp")
-    run = J.run_state_stream(stream, J.health_step, state, cp)
-    run.awaitTermination()
-    cols = ["source_id", "last_fetch_status", "consecutive_failures", "last_success_at", "last_error_at"]
-    assert rows(J.latest_state(spark, state, run), *cols) == rows(R.source_health(df), *cols)
-
-
 def test_alert_stream_raises_each_key_once(spark, tmp_path):
     rules, obs = alert_frames(spark)
     timed = obs.withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
