@@ -53,11 +53,6 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 <<
             at = upto
 
 
-def rows_of(starts: np.ndarray) -> np.ndarray:
-    """The text that each byte belongs to."""
-    return np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-
-
 def words(data: np.ndarray, starts: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte and end of every word: longest stretches, within one text, of bytes that ``blank`` (256 flags) does not mark."""
     inside = ~blank[data]
@@ -74,18 +69,31 @@ def words(data: np.ndarray, starts: np.ndarray, blank: np.ndarray) -> tuple[np.n
 
 
 def word_names(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit names of the words: equal words have equal names."""
+    """64-bit names of words that come one after the other in ``data``: equal words have equal names."""
     sizes = end - first
     if not len(sizes):
         return np.zeros(0, dtype=_U)
-    upto = np.cumsum(sizes)
-    # Place within its word of every byte of a word.
-    place = np.arange(upto[-1]) - np.repeat(upto - sizes, sizes)
-    codes = _BYTE[data[place + np.repeat(first, sizes)]]
-    weights = mix64(np.arange(int(sizes.max()), dtype=_U) + _U(1 << 40)) | _U(1)
+    # Place of every byte within its word; bytes behind a word's end get no weight.
+    start = np.zeros(len(data), dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+    start[first] = first
+    place = np.arange(len(data), dtype=start.dtype) - np.maximum.accumulate(start)
+    longest = int(sizes.max())
+    weights = np.zeros(longest + 2, dtype=_U)
+    weights[:longest] = mix64(np.arange(longest, dtype=_U) + _U(1 << 40)) | _U(1)
+    codes = _BYTE[data]
+    # Between words lie other bytes: only those of words count.
+    steps = np.zeros(len(data) + 1, dtype=np.int8)
+    steps[first] += 1
+    np.subtract.at(steps, end, 1)
+    codes *= np.cumsum(steps[:-1], dtype=np.int8).astype(bool)
     with np.errstate(over="ignore"):
-        codes *= weights[place]
-    return pair(np.add.reduceat(codes, upto - sizes), sizes.astype(_U))
+        codes *= weights[np.minimum(place, longest + 1)]
+    return pair(np.add.reduceat(codes, first), sizes.astype(_U))
+
+
+def row_of(starts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The text that each word belongs to; words in order."""
+    return np.repeat(np.arange(len(starts) - 1), np.diff(np.searchsorted(first, starts)))
 
 
 def signed(names: np.ndarray) -> pa.Array:

@@ -19,7 +19,7 @@ frequent is ever lost, however full the filter is.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.arrays import byte_slices, pair, raw, signed, word_names, words
-from shelfspark.llm.common import mix64, saved
+from shelfspark.llm.arrays import byte_slices, pair, raw, row_of, signed, word_names, words
+from shelfspark.llm.common import Scratch, mix64
 
 _U = np.uint64
-SHARDS = 8
+SHARDS = 4
 LONGEST = 4
 # Bits of a filter: 12 for each phrase, as a power of two between these bounds.
 LEAST_BITS, MOST_BITS = 1 << 17, 1 << 28
 _SLOT = 1 << 16  # bits of one piece of a filter
-_HELD = 1 << 21  # phrases a task holds before it hands them on
+_HELD = 1 << 20  # phrases a task holds before it hands them on
+_SLICE = 1 << 21  # bytes of text a task looks at in one go
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -47,22 +48,19 @@ _BLANK[[0x20, 0x09]] = True
 
 
 class _Words:
-    """Words of a batch: names, bytes, language, and how many follow in the same piece."""
+    """Words of a batch: names, bytes, text, and whether the next one is in the same piece."""
 
-    def __init__(self, batch: pa.RecordBatch, langs: dict[str, int]):
+    def __init__(self, batch: pa.RecordBatch):
         data, starts = raw(batch.column("text"))
         self.data = _LOWER[data]
         self.first, self.end = words(self.data, starts, _BLANK)
-        row = np.searchsorted(starts[1:], self.first, side="right")
-        own = np.array([langs.setdefault(lang, len(langs)) for lang in batch.column("lang").to_pylist()], dtype=np.int64)
-        self.lang = own[row] if len(row) else np.zeros(0, dtype=np.int64)
-        breaks = np.cumsum(_BREAK[self.data])
-        piece = breaks[self.first] if len(row) else np.zeros(0, dtype=np.int64)
-        # Word and the next one are neighbours of one piece of one text.
-        self.joined = np.zeros(len(row), dtype=bool)
-        self.joined[:-1] = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
-        salt = np.array([_lang_name(lang) for lang in langs], dtype=_U)
-        self.name = pair(word_names(self.data, self.first, self.end), salt[self.lang] if len(row) else np.zeros(0, dtype=_U))
+        self.row = row_of(starts, self.first)
+        # Word and the next one are neighbours if they are of one text and no break lies between them.
+        breaks = np.cumsum(_BREAK[self.data], dtype=np.int32)[self.first] if len(self.first) else self.first
+        self.joined = np.zeros(len(self.row), dtype=bool)
+        self.joined[:-1] = (breaks[1:] == breaks[:-1]) & (self.row[1:] == self.row[:-1])
+        self.lang = batch.column("lang_key").to_numpy()[self.row]
+        self.name = pair(word_names(self.data, self.first, self.end), self.lang.view(_U))
 
     def phrases(self, filters: list["Bloom | None"], upto: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(words, place of the first word, name) for phrases whose shorter parts pass their filters."""
@@ -85,11 +83,6 @@ class _Words:
         return b" ".join(self.data[self.first[i] : self.end[i]].tobytes() for i in range(at, at + size))
 
 
-def _lang_name(lang: str) -> int:
-    part = np.frombuffer(lang.encode() or b"\0", dtype=np.uint8)
-    return int(word_names(part, np.array([0]), np.array([len(part)]))[0])
-
-
 class Bloom:
     """Two probes into one array of bits."""
 
@@ -137,49 +130,44 @@ def _filter(names: DataFrame) -> Bloom:
     return Bloom(bits, {r["slot"]: r["piece"] for r in pieces})
 
 
-def _local_counts(docs: DataFrame, shards: int, filters, sizes: tuple[int, ...]) -> DataFrame:
-    """(lang, shard, name, n, phrases) of the phrases of ``sizes`` words, added up task by task."""
-    shared = [docs.sparkSession.sparkContext.broadcast(f) for f in filters]
+def _local_counts(texts: DataFrame, shards: int, filters, sizes: tuple[int, ...]) -> DataFrame:
+    """(lang_key, shard, name, n) of the phrases of ``sizes`` words, added up task by task and then by shard."""
+    shared = [texts.sparkSession.sparkContext.broadcast(f) for f in filters]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() % shards
         own = [b.value for b in shared] + [None] * LONGEST
-        langs: dict[str, int] = {}
-        names, ns, of = [], [], []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def merged():
-            name, lang, n = np.concatenate(names), np.concatenate(of), np.concatenate(ns)
-            order = np.argsort(name, kind="stable")
-            name, lang, n = name[order], lang[order], n[order]
+            name, lang, n = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(name)
+            name = name[order]
             fresh = np.ones(len(name), dtype=bool)
             fresh[1:] = name[1:] != name[:-1]
             at = np.flatnonzero(fresh)
-            return [name[at]], [lang[at]], [np.add.reduceat(n, at) if len(at) else n]
+            return name[at], lang[order[at]], np.add.reduceat(n[order], at) if len(at) else n
 
         def handed(name, lang, n):
-            values = pa.array(list(langs), type=pa.string())
-            yield pa.record_batch({
-                "lang": values.take(pa.array(lang)), "shard": pa.array(np.full(len(name), shard, dtype=np.int32)),
+            return pa.record_batch({
+                "lang_key": pa.array(lang), "shard": pa.array(np.full(len(name), shard, dtype=np.int32)),
                 "name": signed(name), "n": pa.array(n)})
 
-        for batch in byte_slices(batches, "text", 1 << 22):
-            found = _Words(batch, langs)
+        for batch in byte_slices(batches, "text", _SLICE):
+            found = _Words(batch)
             for size, at, name in found.phrases(own, max(sizes)):
                 if size in sizes:
                     once, where, n = np.unique(name, return_index=True, return_counts=True)
-                    names.append(once)
-                    of.append(found.lang[at[where]])
-                    ns.append(n.astype(np.int64))
-            if sum(map(len, names)) > _HELD:
-                names, of, ns = merged()
-                if len(names[0]) > _HELD // 2:
-                    yield from handed(names[0], of[0], ns[0])
-                    names, ns, of = [], [], []
-        if names:
-            names, of, ns = merged()
-            yield from handed(names[0], of[0], ns[0])
+                    held.append((once, found.lang[at[where]], n.astype(np.int64)))
+            if sum(len(h[0]) for h in held) > _HELD:
+                held = [merged()]
+                if len(held[0][0]) > _HELD // 2:
+                    yield handed(*held.pop())
+        if held:
+            yield handed(*merged())
 
-    return docs.mapInArrow(run, "lang string, shard int, name bigint, n bigint")
+    counted = texts.mapInArrow(run, "lang_key bigint, shard int, name bigint, n bigint")
+    return counted.groupBy("lang_key", "shard", "name").agg(F.sum("n").alias("n"))
 
 
 def _frequent(counted: DataFrame, totals: DataFrame, support: int) -> DataFrame:
@@ -188,37 +176,30 @@ def _frequent(counted: DataFrame, totals: DataFrame, support: int) -> DataFrame:
     The lowered supports add up to ``support``, so a phrase below all of them is below it also
     where a later pass deals the texts to shards in another way.
     """
-    return saved(
-        counted.groupBy("lang", "shard", "name").agg(F.sum("n").alias("n")).join(totals, ["lang", "shard"], "left")
-        .where(F.coalesce(
-            F.col("n").cast("decimal(20)") * F.col("lang_words") >= F.col("shard_words").cast("decimal(20)") * support,
-            F.lit(True)))
-        .select("name").distinct()
-    )
+    reached = F.col("n").cast("decimal(20)") * F.col("lang_words") >= F.col("shard_words").cast("decimal(20)") * support
+    return counted.join(totals, ["lang_key", "shard"], "left").where(F.coalesce(reached, F.lit(True))).select("name").distinct()
 
 
-def _exact_counts(docs: DataFrame, filters: list[Bloom]) -> DataFrame:
-    """(lang, phrase, words, n) of all phrases that pass their size's filter, added up task by task."""
-    shared = [docs.sparkSession.sparkContext.broadcast(f) for f in filters]
+def _exact_counts(texts: DataFrame, filters: list[Bloom]) -> DataFrame:
+    """(lang_key, phrase, words, n) of all phrases that pass their size's filter, added up task by task."""
+    shared = [texts.sparkSession.sparkContext.broadcast(f) for f in filters]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b.value for b in shared]
-        inner = [own[0], own[1], own[2], None]
-        langs: dict[str, int] = {}
         held: dict[int, list] = {}
 
         def handed():
-            values = list(langs)
             rows = list(held.values())
-            yield pa.record_batch({
-                "lang": pa.array([values[r[1]] for r in rows], type=pa.string()),
+            held.clear()
+            return pa.record_batch({
+                "lang_key": pa.array([r[1] for r in rows], type=pa.int64()),
                 "phrase": pa.array([r[2] for r in rows], type=pa.binary()).cast(pa.string()),
                 "words": pa.array([r[3] for r in rows], type=pa.int32()),
                 "n": pa.array([r[0] for r in rows], type=pa.int64())})
 
-        for batch in byte_slices(batches, "text", 1 << 22):
-            found = _Words(batch, langs)
-            for size, at, name in found.phrases(inner, LONGEST):
+        for batch in byte_slices(batches, "text", _SLICE):
+            found = _Words(batch)
+            for size, at, name in found.phrases([*own, None], LONGEST):
                 good = own[min(size, 3) - 1].has(name)
                 once, where, n = np.unique(name[good], return_index=True, return_counts=True)
                 for key, place, count in zip(once.tolist(), at[good][where].tolist(), n.tolist()):
@@ -228,26 +209,34 @@ def _exact_counts(docs: DataFrame, filters: list[Bloom]) -> DataFrame:
                     else:
                         known[0] += count
             if len(held) > _HELD // 4:
-                yield from handed()
-                held.clear()
-        yield from handed()
+                yield handed()
+        yield handed()
 
-    return docs.mapInArrow(run, "lang string, phrase string, words int, n bigint")
+    counted = texts.mapInArrow(run, "lang_key bigint, phrase string, words int, n bigint")
+    return counted.groupBy("lang_key", "phrase", "words").agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(docs: DataFrame, support: int = 30, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """Phrases of one to four words with their exact counts, ``support`` at least, and the words of each language."""
-    texts = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
-    single = saved(_local_counts(texts, shards, [], (1,)).groupBy("lang", "shard", "name").agg(F.sum("n").alias("n")))
-    by_shard = single.groupBy("lang", "shard").agg(F.sum("n").alias("shard_words"))
-    by_lang = by_shard.groupBy("lang").agg(F.sum("shard_words").alias("lang_words"))
-    totals = saved(by_shard.join(by_lang, "lang"))
-    filters = [_filter(_frequent(single, totals, support))]
-    for sizes in ((2,), (3, 4)):
-        counted = _local_counts(texts, shards, filters, sizes)
-        filters.append(_filter(_frequent(counted, totals, support)))
-    exact = _exact_counts(texts, filters).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return saved(exact.where(F.col("n") >= support)), totals.select("lang", "lang_words").distinct()
+    scratch = Scratch(docs.sparkSession)
+    lang = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
+    texts = lang.select("text", F.xxhash64("lang").alias("lang_key"))
+    single = scratch.save("words", _local_counts(texts, shards, [], (1,)))
+    by_shard = single.groupBy("lang_key", "shard").agg(F.sum("n").alias("shard_words"))
+    by_lang = by_shard.groupBy("lang_key").agg(F.sum("shard_words").alias("lang_words"))
+    totals = scratch.save("totals", by_shard.join(by_lang, "lang_key"))
+    filters = []
+    for counted, name in ((single, "one"), ((2,), "two"), ((3, 4), "more")):
+        if isinstance(counted, tuple):
+            counted = _local_counts(texts, shards, filters, counted)
+        filters.append(_filter(scratch.save(name, _frequent(counted, totals, support))))
+        scratch.drop(name)
+    scratch.drop("words")
+    exact = _exact_counts(texts, filters).where(F.col("n") >= support)
+    names = lang.groupBy(F.xxhash64("lang").alias("lang_key")).agg(F.min("lang").alias("lang"))
+    of_lang = totals.select("lang_key", "lang_words").distinct().join(names, "lang_key")
+    counts = scratch.save("counts", exact.join(names, "lang_key").select("lang", "phrase", "words", "n"))
+    return counts, of_lang.select("lang", "lang_words")
 
 
 def collocations(docs: DataFrame, support: int = 30, percent: int = 80, most: int | None = 2000, shards: int = SHARDS) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shelfspark.llm.arrays import byte_slices, pair, raw, word_names, words
+from shelfspark.llm.arrays import byte_slices, pair, raw, row_of, word_names, words
 from shelfspark.llm.common import mix64
 
 _U = np.uint64
@@ -165,7 +165,7 @@ def _found(least: int):
         for batch in byte_slices(batches, "text", 1 << 22):
             data, starts = raw(batch.column("text"))
             first, end = words(data, starts, BLANK)
-            row = np.searchsorted(starts[1:], first, side="right")
+            row = row_of(starts, first)
             rows = batch.num_rows
             # A name of its own after every text; word i of text r is at i + r.
             counts = np.bincount(row, minlength=rows)
