@@ -228,30 +228,42 @@ def test_similar_texts_equals_brute_force(spark):
     assert got == want
 
 
-def test_related_products_equals_brute_force_with_hot_groups(spark):
+@pytest.mark.parametrize("with_btu", [False, True])
+def test_related_products_equals_brute_force_with_hot_groups(spark, with_btu):
     rng = random.Random(11)
     data = []
     for i in range(260):
         hot = i % 3 == 0
         data.append((f"{i:06d}", "HOT" if hot and i % 2 else rng.choice(["", "p", "q", f"u{i}"]), "b1" if hot else rng.choice(["b1", "b2", "b3"]),
-                     "c1" if i % 2 else rng.choice(["c1", "c2", ""]), rng.choice(["", "", "s1", "s2"]), rng.choice(["1", "1", "0"])))
-    df = spark.createDataFrame(data, "model string, mpn string, manufacturer string, category string, series string, status string")
-    got = rows(Q.related_products(df), "model", "rank", "related_model", "reason")
+                     "c1" if i % 2 else rng.choice(["c1", "c2", ""]), rng.choice(["", "", "s1", "s2"]), rng.choice(["1", "1", "0"]),
+                     rng.choice(["", "9000", "9000", "12000"]) if with_btu and i > 100 else "9000" if with_btu else ""))
+    df = spark.createDataFrame(data, "model string, mpn string, manufacturer string, category string, series string, status string, btu string")
+    got = rows(Q.related_products(df if with_btu else df.drop("btu")), "model", "rank", "related_model", "reason")
     want = []
-    for m, mpn, b, c, s, _ in data:
+    for m, mpn, b, c, s, _, btu in data:
         ranked = []
-        for m2, mpn2, b2, c2, s2, st in data:
+        for m2, mpn2, b2, c2, s2, st, btu2 in data:
             if m2 == m or st == "0":
                 continue
             ss, sb, sc = bool(s) and s == s2, b == b2, c == c2
+            other = bool(btu) and btu != btu2 or mpn != mpn2
             if ss or sc:
                 reason = "same_series" if ss else "same_brand_category" if sb else "comparable_category"
-                ranked.append(((not ss, not sb, mpn == mpn2, m2), reason))
+                ranked.append(((not ss, not sb, not other, m2), reason))
         for n, (k, reason) in enumerate(sorted(ranked)[:4], 1):
             want.append((m, n, k[3], reason))
     assert got == sorted(want)
 
 
+def test_related_products_of_one_mpn_differ_by_capacity(spark):
+    """Equal MPN: the one of another BTU goes before the one of the same, though its model is later."""
+    df = spark.createDataFrame(
+        [("000001", "m", "b", "c", "", "1", "9000"), ("000002", "m", "b", "c", "", "1", "9000"), ("000003", "m", "b", "c", "", "1", "12000")],
+        "model string, mpn string, manufacturer string, category string, series string, status string, btu string")
+    got = {(r.model, r.rank): r.related_model for r in Q.related_products(df).collect()}
+    assert got[("000001", 1)] == "000003" and got[("000001", 2)] == "000002"
+
+
 def test_repeated_phrases(spark):
     docs = spark.createDataFrame([(1, "quiet strong motor and a quiet strong motor here"), (2, "quiet strong motor " + "filler words follow " * 0 + "one two"), (3, "big red box. Big red box!")], "id int, t string")
     assert rows(Y_repeated(docs), "id", "phrase") == [(1, "quiet strong motor")]

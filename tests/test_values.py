@@ -15,6 +15,7 @@ from shelfspark.functions.timefn import parse_timestamp
 from shelfspark.operators import attributes as A
 from shelfspark.operators import matching as K
 from shelfspark.operators import pricing as P
+from shelfspark.operators import quality as Q
 from shelfspark.operators.monitoring import age_text
 from shelfspark.operators.registry import sanitize_json
 
@@ -245,3 +246,30 @@ def test_energy_class_in_either_case(one, text, found):
 )
 def test_repair_of_a_wrong_code_page(one, text, fixed):
     assert one(Y.repair_mojibake(F.lit(text))) == fixed
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [("split 12.000 btu", "12000 BTU"), ("9 000BTU/h", "9000 BTU"), ("24000 btu inverter", "24000 BTU"), ("x12.000 btu", ""), ("123 456 btu", ""),
+     ("1.12.000 btu", "12000 BTU"), ("btu 9000", ""), ("9000 btux, 18000 BTU", "18000 BTU"), ("12,000 btu", ""), ("900 btu", ""), ("", ""), ("12\t000 btu", "12000 BTU"), ("x9000 btu", "")],
+)
+def test_btu_in_text(one, text, found):
+    assert one(N.btu_in_text(F.lit(text))) == found
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [("A++ / A+", "A++"), ("X/A+", "A+"), ("A/B/C+", "C+"), ("X/A/B+", "A"), ("SEER A+++, SCOP A+", "A+++"), ("AA++", ""), ("A++++", ""), ("9A++", "A++"), ("E", "E"), ("class Ζ", "F")],
+)
+def test_energy_class_tokens(one, text, found):
+    assert one(N.energy_class_in_text(F.lit(text))) == found
+
+
+@pytest.mark.parametrize(
+    "text, key",
+    [("Bosch WAN28163GR, 8kg", "bosch <model> <model>"), ("AC 12.000 BTU white", "ac <capacity> white"), ("AC 9 btu/12 btu", "ac 9 <model> btu"),
+     ("-ab1- x1 1234", "<model> x1 1234"), ("12.0000 btu", "12 0000 btu"), ("κλιματιστικό 18,000 btu FTXM-35", "κλιματιστικο <capacity> <model>"),
+     ("", ""), ("plain words only", "plain words only"), ("1 12.000 btu", "1 <capacity>")],
+)
+def test_catalog_text_key(one, text, key):
+    assert one(Q.catalog_text_key(F.lit(text))) == key
