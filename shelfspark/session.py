@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings. Hot join keys are split by the adaptive skew join, also when
 # the split costs one more shuffle downstream.
@@ -39,6 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="shelfspark-")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: later steps reread the table instead of working it out again."""
+    path = f"{shared_dir(df.sparkSession)}/shelfspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(app: str = "shelfspark", cpus: str | int | None = None) -> SparkSession:
     """Single-machine session for tests and the bench."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")

@@ -202,6 +202,25 @@ def test_name_similarity_equals_the_sequence_matcher(spark):
         assert r.s == (0.0 if weak else round(0.75 * share + 0.25 * seq, 4))
 
 
+def nearest_texts(key):
+    """Nearest other row of every row by the ratio of all pairs, smallest key of equal ones."""
+    want = {}
+    for m, t in key.items():
+        best = (0.0, None)
+        for o, u in sorted(key.items()):
+            if o != m and t and u:
+                s = difflib.SequenceMatcher(None, t, u).ratio()
+                best = (s, o) if s > best[0] else best
+        want[m] = (best[1], round(best[0], 4), "fail" if best[0] >= 0.9 else "warn" if best[0] >= 0.8 else "pass")
+    return want
+
+
+def similar_of(spark, texts):
+    df = spark.createDataFrame(texts, "model string, name string")
+    key = {r.model: r.k for r in df.select("model", Q.catalog_text_key(F.col("name")).alias("k")).collect()}
+    return {r["key"]: (r["nearest"], r["score"], r["band"]) for r in Q.similar_texts(df, "model", "name").collect()}, nearest_texts(key)
+
+
 def test_similar_texts_equals_brute_force(spark):
     rng = random.Random(3)
     base = ["red kettle steel", "blue washer front load", "gas oven wide", "παλιό ψυγείο λευκό"]
@@ -212,20 +231,30 @@ def test_similar_texts_equals_brute_force(spark):
             t[rng.randrange(len(t))] = rng.choice("abcxyz ")
         texts.append((f"m{i:03d}", "".join(t) + rng.choice(["", " pro", " x1"])))
     texts += [(f"c{i}", "same copy text") for i in range(3)] + [("e", "")]
-    df = spark.createDataFrame(texts, "model string, name string")
-    key = {r.model: r.k for r in df.select("model", Q.catalog_text_key(F.col("name")).alias("k")).collect()}
-    want = {}
-    for m, t in key.items():
-        best = None
-        for o, u in sorted(key.items()):
-            if o == m or not t or not u:
-                continue
-            s = difflib.SequenceMatcher(None, t, u).ratio()
-            if s >= 0.8 and (best is None or s > best[0]):
-                best = (s, o)
-        want[m] = (best[1], round(best[0], 4), "fail" if best[0] >= 0.9 else "warn") if best else (None, None, "pass")
-    got = {r["key"]: (r["nearest"], r["score"], r["band"]) for r in Q.similar_texts(df, "model", "name").collect()}
+    got, want = similar_of(spark, texts)
+    assert got == want
+
+
+def test_similar_texts_of_every_ratio(spark):
+    """Very short texts, texts like no other, letters only one text has, and ties."""
+    rng = random.Random(8)
+    texts = [(f"s{i:03d}", "".join(rng.choice("abcd") for _ in range(rng.randint(1, 6)))) for i in range(60)]
+    texts += [(f"w{i:03d}", " ".join(rng.choice(["zinc", "oak", "plum", "fir", "quartz", "jade"]) + rng.choice("stuvw") for _ in range(rng.randint(1, 5)))) for i in range(50)]
+    texts += [("x1", "日本"), ("x2", "ω"), ("x3", "kkkkkkkkkkkkkkkkkkkkkkkkkkkkkk"), ("x4", None)]
+    got, want = similar_of(spark, texts)
     assert got == want
+    assert {w[2] for w in want.values()} == {"fail", "warn", "pass"} and min(w[1] for w in want.values()) == 0
+
+
+def test_probes_are_far_fewer_than_pairs(spark):
+    """Names of a catalog with a common vocabulary: rows are done at high bounds, on rare pairs of letters."""
+    rng = random.Random(4)
+    made = [f"{rng.choice(['steel', 'glass', 'black'])} kettle {rng.getrandbits(40):x} {rng.getrandbits(20):x}" for _ in range(300)]
+    texts = [(i, t.translate(str.maketrans("0123456789", "ghijklmnop")) + end) for i, t in enumerate(made) for end in ("", "q")]
+    bags = Q._text_parts(spark.createDataFrame([(t, len(t)) for _, t in texts], "text string, n int"))
+    probes = Q._probes(bags, 0.9)
+    met = probes.alias("x").join(probes.alias("y"), "token").where("x.text <> y.text").select("x.text", "y.text").distinct().count()
+    assert 600 <= met < 600 * 600 / 10
 
 
 @pytest.mark.parametrize("with_btu", [False, True])
