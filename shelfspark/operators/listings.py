@@ -54,7 +54,7 @@ def dedupe_listings(listings: DataFrame, keys: Sequence[str], seq: Sequence[str]
 def rank_listings(listings: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:
     """Deduplicated listings numbered by price, store and URL within each product."""
     unique = dedupe_listings(listings, keys, seq)
-    return exact_rank(unique, keys, ["price", "_store", "url"], sizes_from=listings).drop("_store")
+    return exact_rank(unique, keys, ["price", "_store", "url"]).drop("_store")
 
 
 def top_listings(listings: DataFrame, keys: Sequence[str], seq: Sequence[str], n: int) -> DataFrame:
@@ -102,7 +102,7 @@ def rank_offers(offers: DataFrame, keys: Sequence[str], tie: Sequence[str]) -> D
         }
     )
     order = ["_given", "price", "_seller", *tie]
-    return exact_rank(prepared, keys, order, sizes_from=priced).drop("_given", "_seller", "_has_rank")
+    return exact_rank(prepared, keys, order).drop("_given", "_seller", "_has_rank")
 
 
 def attach_offers(observations: DataFrame, offers: DataFrame, listed: DataFrame) -> DataFrame:

@@ -5,17 +5,20 @@ None of them brings a whole group into one task:
 * ``first_row`` is an aggregate, so every map task hands on one row per key.
 * ``top_rows`` filters on ``row_number() <= n``; Spark cuts each group to n rows
   before the shuffle (group limit below the exchange).
-* ``exact_rank`` numbers whole groups. Groups of more rows than a task should number
-  are cut into ordered ranges first, and each range is numbered by its own task.
+* ``exact_rank`` numbers whole groups by sorted ranges of all rows; a large group lies in
+  many ranges, and each range is numbered by its own task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.session import written
+
 
 def _pick(df, keys, order, columns, choose) -> DataFrame:
     names = [c for c in (columns or df.columns) if c not in keys]
@@ -54,58 +57,30 @@ def top_rows(
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 
 
-def exact_rank(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    rank_col: str = "rank",
-    task_rows: int = 2_000_000,
-    most_ranges: int = 4_096,
-    sizes_from: DataFrame | None = None,
-) -> DataFrame:
+def exact_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank_col: str = "rank") -> DataFrame:
     """Number all rows of every group from 1 by the ascending columns ``order``.
 
-    ``order`` must identify a row within its group, or equal rows are numbered in
-    any order. A group of more than ``task_rows`` rows is cut into about as many ordered
-    ranges as it has times that many rows, at most ``most_ranges``. The cut points are rows
-    taken by a hash, so there are no more of them than rows over ``task_rows``; whether they
-    are broadcast is left to Spark's size check. ``sizes_from`` may name a cheaper frame with
-    at least as many rows per group to find the large groups in; without large groups the
-    cutting steps drop out at run time.
+    ``order`` must identify a row within its group, or equal rows are numbered in any order.
+    The rows are dealt to ranges of keys and order and written once, so a large group lies in
+    as many ranges as its rows fill, one after the other, however large it is. Each range
+    numbers its own rows; those of a group that began in an earlier range add the group's
+    rows there. The input is read once.
     """
-    order_key = F.struct(*[F.col(c) for c in order])
-    counted = df if sizes_from is None else sizes_from
-    hot = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > task_rows).withColumn(
-        "_ranges", F.least(F.ceil(F.col("_n") / F.lit(task_rows)), F.lit(most_ranges))
-    )
-    # Every row of a large group has the same chance of becoming a cut point.
-    cuts = (
-        df.join(hot, list(keys))
-        .where(F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.col("_n")) < F.col("_ranges"))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_set(order_key)).alias("_cuts"))
-    )
-    bucketed = df.join(cuts, list(keys), "left").withColumn(
-        "_range",
-        F.coalesce(
-            F.size(F.filter(F.col("_cuts"), lambda cut: cut < order_key)), F.lit(0)
-        ).cast("int"),
-    ).drop("_cuts")
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = (
-        bucketed.join(cuts.select(*keys), list(keys), "left_semi")
-        .groupBy(*keys, "_range")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_skip"))
+    dealt = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    ranged = written(dealt)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    skipped = (
+        ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_skip", F.sum("_n").over(earlier)).where("_skip IS NOT NULL")
+        .select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_part").alias("_in"), "_skip")
     )
-    within = Window.partitionBy(*keys, "_range").orderBy(*order)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    within = Window.partitionBy("_part", *keys).orderBy(*order)
     return (
-        bucketed.withColumn("_pos", F.row_number().over(within))
-        .join(offsets, [*keys, "_range"], "left")
+        ranged.withColumn("_pos", F.row_number().over(within))
+        .join(skipped, same & (F.col("_part") == F.col("_in")), "left")
         .withColumn(rank_col, (F.col("_pos") + F.coalesce(F.col("_skip"), F.lit(0))).cast("bigint"))
-        .drop("_pos", "_skip", "_range")
+        .select(*df.columns, rank_col)
     )
 
 

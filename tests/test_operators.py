@@ -31,7 +31,10 @@ def test_exact_rank_numbers_a_hot_group_without_gaps(spark):
     data = [("hot", rng.randrange(400), i) for i in range(6000)] + [("warm", i % 9, i) for i in range(62)]
     data += [(f"k{i % 50}", i % 7, i) for i in range(900)]
     df = spark.createDataFrame(data, "k string, p int, id int").repartition(8)
-    got = rows(exact_rank(df, ["k"], ["p", "id"], task_rows=50), "k", "rank", "p", "id")
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small data in several ranges
+    got = rows(exact_rank(df, ["k"], ["p", "id"]), "k", "rank", "p", "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
     want = []
     for key in {d[0] for d in data}:
         for n, (_k, p, i) in enumerate(sorted(d for d in data if d[0] == key), 1):
@@ -39,10 +42,16 @@ def test_exact_rank_numbers_a_hot_group_without_gaps(spark):
     assert got == sorted(want)
 
 
-def test_exact_rank_splits_the_hot_group(spark):
-    df = spark.range(5000).select(F.lit("hot").alias("k"), F.col("id").alias("p"))
-    plan = exact_rank(df, ["k"], ["p"], task_rows=100)._jdf.queryExecution().optimizedPlan().toString()
-    assert "_range" in plan  # the numbering window is partitioned by range as well
+def test_exact_rank_reads_its_input_once_and_splits_the_hot_group(spark, tmp_path):
+    spark.range(5000).select(F.lit("hot").alias("k"), F.col("id").alias("p"), F.lit(None).alias("n").cast("int")).write.parquet(f"{tmp_path}/in")
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    ranked = exact_rank(spark.read.parquet(f"{tmp_path}/in"), ["k", "n"], ["p"])
+    assert [r["rank"] for r in ranked.orderBy("p").collect()] == list(range(1, 5001))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert f"{tmp_path}/in" not in plan  # only the written ranges are read again
+    assert len({f.rsplit("/", 1)[-1][:10] for f in ranked.inputFiles()}) > 1  # one file per range
 
 
 def test_top_rows_cuts_groups_before_the_shuffle(spark):

@@ -14,6 +14,9 @@ MOST = {  # query: scans, shuffles without broadcasts
     "D23_filter_values": (19, 22),
     "A22_import_counters": (7, 13),
     "D28_catalog_diff": (2, 2),
+    "W5_offer_rank": (4, 6),
+    "W1_ranked_listings": (4, 6),
+    "J8_offers_to_observations": (10, 16),
 }
 
 
