@@ -5,21 +5,25 @@ times in a language occurs in at least one shard at least ``support`` times that
 share of the language's words, so each shard is mined completely at its own, proportionally
 lowered support, level by level: words, pairs of locally frequent words, then three and four
 words all of whose pairs are locally frequent. The union of what is frequent in any shard
-holds every phrase sought. A last pass counts these candidates globally and exactly, by
-their texts.
+holds every phrase sought. Its parts are in the union too, so a candidate's occurrences were
+counted in every shard, and its exact count is the sum over all shards.
 
 The number of shards is fixed, so the lowered support stays above one at any size; a shard is
 as many partitions as the corpus asks for, mined by one grouping of all shards at once, and
 each task adds up its own phrases before they are shuffled.
 
-What is locally frequent goes to the next pass as a Bloom filter of bounded size. A false
+What is locally frequent goes to the next level as a Bloom filter of bounded size. A false
 positive lets a phrase be counted that need not be, and the support then drops it; nothing
 frequent is ever lost, however full the filter is.
+
+Phrases are counted under a 64-bit name and a 32-bit check. A last pass writes out the text
+of every frequent phrase in one partition that holds it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,7 @@ LONGEST = 4
 # Bits of a filter: 12 for each phrase, as a power of two between these bounds.
 LEAST_BITS, MOST_BITS = 1 << 17, 1 << 28
 _SLOT = 1 << 16  # bits of one piece of a filter
+_CHECK = _U(0xD6E8FEB86659FD93)
 _HELD = 1 << 20  # phrases a task holds before it hands them on
 _SLICE = 1 << 21  # bytes of text a task looks at in one go
 
@@ -79,6 +84,14 @@ class _Words:
             more = self.joined[last] & passed[np.minimum(at + 1, len(self.name))]
             at, name = at[more], pair(name[more], self.name[last[more] + 1])
 
+    def checks(self, at: np.ndarray, size: int) -> np.ndarray:
+        """32 bits of the phrases' words that their names do not follow from."""
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(at), dtype=_U)
+            for i in range(size):
+                total = total * _CHECK + (self.name[at + i] >> _U(7))
+        return (total >> _U(32)).astype(np.uint32).view(np.int32)
+
     def text(self, at: int, size: int) -> bytes:
         return b" ".join(self.data[self.first[i] : self.end[i]].tobytes() for i in range(at, at + size))
 
@@ -130,35 +143,37 @@ def _filter(names: DataFrame) -> Bloom:
     return Bloom(bits, {r["slot"]: r["piece"] for r in pieces})
 
 
-def _local_counts(texts: DataFrame, shards: int, filters, sizes: tuple[int, ...]) -> DataFrame:
-    """(lang_key, shard, name, n) of the phrases of ``sizes`` words, added up task by task and then by shard."""
+def _counted(texts: DataFrame, shards: int, filters: list[Bloom], sizes: tuple[int, ...]) -> DataFrame:
+    """(lang_key, name, check, shard, part, n) of the phrases of ``sizes`` words, added up task by task."""
     shared = [texts.sparkSession.sparkContext.broadcast(f) for f in filters]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() % shards
+        part = TaskContext.get().partitionId()
         own = [b.value for b in shared] + [None] * LONGEST
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def merged():
-            name, lang, n = (np.concatenate(c) for c in zip(*held))
+            name, check, lang, n = (np.concatenate(c) for c in zip(*held))
             order = np.argsort(name)
             name = name[order]
             fresh = np.ones(len(name), dtype=bool)
             fresh[1:] = name[1:] != name[:-1]
             at = np.flatnonzero(fresh)
-            return name[at], lang[order[at]], np.add.reduceat(n[order], at) if len(at) else n
+            return name[at], check[order[at]], lang[order[at]], np.add.reduceat(n[order], at) if len(at) else n
 
-        def handed(name, lang, n):
+        def handed(name, check, lang, n):
+            same = lambda value: pa.array(np.full(len(name), value, dtype=np.int32))
             return pa.record_batch({
-                "lang_key": pa.array(lang), "shard": pa.array(np.full(len(name), shard, dtype=np.int32)),
-                "name": signed(name), "n": pa.array(n)})
+                "lang_key": pa.array(lang), "name": signed(name), "check": pa.array(check), "shard": same(part % shards),
+                "part": same(part), "n": pa.array(n)})
 
         for batch in byte_slices(batches, "text", _SLICE):
             found = _Words(batch)
             for size, at, name in found.phrases(own, max(sizes)):
                 if size in sizes:
                     once, where, n = np.unique(name, return_index=True, return_counts=True)
-                    held.append((once, found.lang[at[where]], n.astype(np.int64)))
+                    at = at[where]
+                    held.append((once, found.checks(at, size), found.lang[at], n.astype(np.int64)))
             if sum(len(h[0]) for h in held) > _HELD:
                 held = [merged()]
                 if len(held[0][0]) > _HELD // 2:
@@ -166,54 +181,54 @@ def _local_counts(texts: DataFrame, shards: int, filters, sizes: tuple[int, ...]
         if held:
             yield handed(*merged())
 
-    counted = texts.mapInArrow(run, "lang_key bigint, shard int, name bigint, n bigint")
-    return counted.groupBy("lang_key", "shard", "name").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "lang_key bigint, name bigint, check int, shard int, part int, n bigint")
 
 
-def _frequent(counted: DataFrame, totals: DataFrame, support: int) -> DataFrame:
-    """Names that reach their shard's lowered support in any shard.
+def _candidates(counted: DataFrame, totals: DataFrame, support: int) -> DataFrame:
+    """(lang_key, name, check, n, part) of what reaches its shard's lowered support in any shard, counted over all shards.
 
     The lowered supports add up to ``support``, so a phrase below all of them is below it also
-    where a later pass deals the texts to shards in another way.
+    where a later pass deals the texts to shards in another way. Rows are dealt by name once
+    for both sums; a name has at most as many rows as there are tasks.
     """
+    key = ["lang_key", "name", "check"]
+    local = counted.repartition("name").groupBy(*key, "shard").agg(F.sum("n").alias("n"), F.min("part").alias("part"))
     reached = F.col("n").cast("decimal(20)") * F.col("lang_words") >= F.col("shard_words").cast("decimal(20)") * support
-    return counted.join(totals, ["lang_key", "shard"], "left").where(F.coalesce(reached, F.lit(True))).select("name").distinct()
+    return (
+        local.join(totals, ["lang_key", "shard"], "left")
+        .groupBy(*key).agg(F.sum("n").alias("n"), F.min("part").alias("part"), F.max(F.coalesce(reached, F.lit(True))).alias("reached"))
+        .where("reached").drop("reached")
+    )
 
 
-def _exact_counts(texts: DataFrame, filters: list[Bloom]) -> DataFrame:
-    """(lang_key, phrase, words, n) of all phrases that pass their size's filter, added up task by task."""
-    shared = [texts.sparkSession.sparkContext.broadcast(f) for f in filters]
+def _written_out(texts: DataFrame, often: Bloom, anywhere: bool) -> DataFrame:
+    """(lang_key, name, check, phrase) of the phrases in the filter: names with their partition, or names alone."""
+    shared = texts.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [b.value for b in shared]
-        held: dict[int, list] = {}
-
-        def handed():
-            rows = list(held.values())
-            held.clear()
-            return pa.record_batch({
-                "lang_key": pa.array([r[1] for r in rows], type=pa.int64()),
-                "phrase": pa.array([r[2] for r in rows], type=pa.binary()).cast(pa.string()),
-                "words": pa.array([r[3] for r in rows], type=pa.int32()),
-                "n": pa.array([r[0] for r in rows], type=pa.int64())})
-
+        part = _U(TaskContext.get().partitionId())
+        known: set[int] = set()
         for batch in byte_slices(batches, "text", _SLICE):
             found = _Words(batch)
-            for size, at, name in found.phrases([*own, None], LONGEST):
-                good = own[min(size, 3) - 1].has(name)
-                once, where, n = np.unique(name[good], return_index=True, return_counts=True)
-                for key, place, count in zip(once.tolist(), at[good][where].tolist(), n.tolist()):
-                    known = held.get(key)
-                    if known is None:
-                        held[key] = [count, int(found.lang[place]), found.text(place, size), size]
-                    else:
-                        known[0] += count
-            if len(held) > _HELD // 4:
-                yield handed()
-        yield handed()
-
-    counted = texts.mapInArrow(run, "lang_key bigint, phrase string, words int, n bigint")
-    return counted.groupBy("lang_key", "phrase", "words").agg(F.sum("n").alias("n"))
+            names, checks, langs, phrases = [], [], [], []
+            for size, at, name in found.phrases([None] * LONGEST, LONGEST):
+                once, where = np.unique(name, return_index=True)
+                good = shared.value.has(once if anywhere else pair(once, np.full(len(once), part)))
+                for key, place in zip(once[good].tolist(), at[where[good]].tolist()):
+                    if key not in known:
+                        known.add(key)
+                        names.append(key)
+                        langs.append(found.lang[place])
+                        checks.append(found.checks(np.array([place]), size)[0])
+                        phrases.append(found.text(place, size))
+            if len(known) > _HELD:
+                known.clear()
+            yield pa.record_batch({
+                "lang_key": pa.array(langs, type=pa.int64()), "name": signed(np.array(names, dtype=_U)),
+                "check": pa.array(checks, type=pa.int32()),
+                "phrase": pa.array(phrases, type=pa.binary()).cast(pa.string())})
+
+    return texts.mapInArrow(run, "lang_key bigint, name bigint, check int, phrase string")
 
 
 def phrase_counts(docs: DataFrame, support: int = 30, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -221,22 +236,39 @@ def phrase_counts(docs: DataFrame, support: int = 30, shards: int = SHARDS) -> t
     scratch = Scratch(docs.sparkSession)
     lang = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
     texts = lang.select("text", F.xxhash64("lang").alias("lang_key"))
-    single = scratch.save("words", _local_counts(texts, shards, [], (1,)))
+    single = scratch.save("words", _counted(texts, shards, [], (1,)))
     by_shard = single.groupBy("lang_key", "shard").agg(F.sum("n").alias("shard_words"))
     by_lang = by_shard.groupBy("lang_key").agg(F.sum("shard_words").alias("lang_words"))
     totals = scratch.save("totals", by_shard.join(by_lang, "lang_key"))
-    filters = []
-    for counted, name in ((single, "one"), ((2,), "two"), ((3, 4), "more")):
-        if isinstance(counted, tuple):
-            counted = _local_counts(texts, shards, filters, counted)
-        filters.append(_filter(scratch.save(name, _frequent(counted, totals, support))))
-        scratch.drop(name)
+    filters, tables = [], []
+    for level, sizes in enumerate(((1,), (2,), (3, 4))):
+        counted = single if sizes == (1,) else _counted(texts, shards, filters, sizes)
+        tables.append(scratch.save(f"level{level}", _candidates(counted, totals, support)))
+        if len(filters) < 2:
+            filters.append(_filter(tables[-1].select("name")))
     scratch.drop("words")
-    exact = _exact_counts(texts, filters).where(F.col("n") >= support)
+    often = scratch.save("often", reduce(DataFrame.unionByName, tables).where(F.col("n") >= support))
+    scratch.drop("level0", "level1", "level2")
+
+    key = ["lang_key", "name", "check"]
+    places = often.mapInArrow(_placed, "name bigint")
+    phrases = scratch.save("phrases", _written_out(texts, _filter(places), anywhere=False).join(often.select(*key), key, "left_semi"))
+    lost = often.join(phrases, key, "left_anti")
+    if not lost.isEmpty():  # a scan that is dealt to partitions in another way than before
+        phrases = phrases.unionByName(_written_out(texts, _filter(lost.select("name")), anywhere=True))
     names = lang.groupBy(F.xxhash64("lang").alias("lang_key")).agg(F.min("lang").alias("lang"))
-    of_lang = totals.select("lang_key", "lang_words").distinct().join(names, "lang_key")
-    counts = scratch.save("counts", exact.join(names, "lang_key").select("lang", "phrase", "words", "n"))
-    return counts, of_lang.select("lang", "lang_words")
+    counts = scratch.save(
+        "counts", often.join(phrases.groupBy(*key).agg(F.min("phrase").alias("phrase")), key).join(names, "lang_key")
+        .select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "n"))
+    scratch.drop("often", "phrases")
+    return counts, totals.select("lang_key", "lang_words").distinct().join(names, "lang_key").select("lang", "lang_words")
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names together with their partition."""
+    for batch in batches:
+        name, part = (batch.column(c).to_numpy() for c in ("name", "part"))
+        yield pa.record_batch({"name": signed(pair(name.view(_U), part.astype(_U)))})
 
 
 def collocations(docs: DataFrame, support: int = 30, percent: int = 80, most: int | None = 2000, shards: int = SHARDS) -> DataFrame:
