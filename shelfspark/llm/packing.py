@@ -5,11 +5,12 @@ level h moves one window from h to h + length; the rule takes the level that lea
 smallest sum of squared counts of partially filled windows, so no level piles up and
 every later length finds a fitting gap. An array holds the number of windows per level.
 
-Each task packs its own partition in one streaming pass, without a shuffle. A task holds
-at most ``open_windows`` unfinished windows: beyond that, the next document is cut to close
-the fullest one. At the task's end the unfinished windows are poured together, and what
-remains below one window is cut into sequences whose lengths are powers of two, which
-need no padding. Nothing is dropped: every id of every document lies in exactly one piece.
+Each task packs its own partition in one streaming pass, without a shuffle. Every document
+is placed by the rule. A task holds at most ``held_ids`` ids of unfinished windows: beyond
+that, the windows of the level that holds most of them are poured together into whole
+sequences, as all unfinished windows are at the task's end. What then remains below one
+window is cut into sequences whose lengths are powers of two, which need no padding.
+Nothing is dropped: every id of every document lies in exactly one piece.
 """
 
 from __future__ import annotations
@@ -81,11 +82,12 @@ def tokens(path: str, ranks: str | None) -> Tokens:
 class Packer:
     """Online packing of one task's documents; yields finished pieces."""
 
-    def __init__(self, size: int = 2048, open_windows: int = 256, first_id: int = 0):
-        self.size, self.limit, self.next_id = size, open_windows, first_id
+    def __init__(self, size: int = 2048, held_ids: int = 1 << 23, first_id: int = 0):
+        # One window of every level always has room.
+        self.size, self.limit, self.next_id = size, max(held_ids, size * size), first_id
+        self.held = 0
         self.count = np.zeros(size + 1, dtype=np.int64)
         self.at_level: dict[int, list[tuple[int, list]]] = defaultdict(list)
-        self.open = 0
 
     def _new(self) -> int:
         self.next_id += 1
@@ -106,17 +108,48 @@ class Packer:
         if level:
             window, held = self.at_level[level].pop()
             self.count[level] -= 1
-            self.open -= 1
         else:
             window, held = self._new(), []
         held.append(piece)
         filled = level + len(piece[2])
+        self.held += len(piece[2])
         if filled == self.size:
+            self.held -= self.size
             return self._emit(window, held)
         self.at_level[filled].append((window, held))
         self.count[filled] += 1
-        self.open += 1
-        return []
+        return self._close_level() if self.held > self.limit else []
+
+    def _close_level(self) -> list[tuple]:
+        """Pour the windows of the level that holds most ids together; less than one window is left and stays open."""
+        level = int(np.argmax(self.count * np.arange(self.size + 1)))
+        windows = self.at_level.pop(level)
+        self.count[level] = 0
+        whole = len(windows) * level // self.size
+        out, left = self._poured(windows, [self.size] * whole)
+        self.held -= whole * self.size
+        if left:
+            filled = sum(len(p[2]) for p in left)
+            self.at_level[filled].append((self._new(), left))
+            self.count[filled] += 1
+        return out
+
+    def _poured(self, windows: list, lengths: list[int]) -> tuple[list[tuple], list[tuple]]:
+        """The windows' pieces in sequences of the given lengths, cut where one ends, and the pieces that are left."""
+        out, held, room = [], [], 0
+        lengths = lengths[::-1]
+        for doc_id, start, ids, total in (p for _, pieces in windows for p in pieces):
+            while len(ids) and (room or lengths):
+                room = room or lengths.pop()
+                cut = min(room, len(ids))
+                held.append((doc_id, start, ids[:cut], total))
+                start, ids, room = start + cut, ids[cut:], room - cut
+                if not room:
+                    out += self._emit(self._new(), held)
+                    held = []
+            if len(ids):
+                held.append((doc_id, start, ids, total))
+        return out, held
 
     @staticmethod
     def _emit(window: int, held: list) -> list[tuple]:
@@ -131,37 +164,21 @@ class Packer:
         while total - at >= self.size:
             out += self._emit(self._new(), [(doc_id, at, ids[at: at + self.size], total)])
             at += self.size
-        if at < total and self.open >= self.limit:
-            level = int(np.flatnonzero(self.count)[-1])
-            cut = min(self.size - level, total - at)
-            out += self._put(level, (doc_id, at, ids[at: at + cut], total))
-            at += cut
         if at < total:
-            out += self._put(self._level(total - at), (doc_id, at, ids[at:], total))
+            rest = ids[at:].copy() if at else ids  # a long document's other ids are not held
+            out += self._put(self._level(total - at), (doc_id, at, rest, total))
         return out
 
     def finish(self) -> list[tuple]:
         """Pour the unfinished windows together; the rest becomes power-of-two sequences."""
         windows = [w for level in sorted(self.at_level, reverse=True) for w in self.at_level[level]]
-        pieces = [p for _, held in windows for p in held]
-        rest = sum(len(p[2]) for p in pieces)
-        lengths = [self.size] * (rest // self.size)
-        rest %= self.size
+        rest = self.held % self.size
+        lengths = [self.size] * (self.held // self.size)
         lengths += [1 << bit for bit in reversed(range(rest.bit_length())) if rest >> bit & 1]
-        out, held, room = [], [], 0
-        lengths.reverse()
-        for doc_id, start, ids, total in pieces:
-            while len(ids):
-                room = room or lengths.pop()
-                cut = min(room, len(ids))
-                held.append((doc_id, start, ids[:cut], total))
-                start, ids, room = start + cut, ids[cut:], room - cut
-                if not room:
-                    out += self._emit(self._new(), held)
-                    held = []
+        out, _ = self._poured(windows, lengths)
         self.at_level.clear()
         self.count[:] = 0
-        self.open = 0
+        self.held = 0
         return out
 
 
@@ -173,7 +190,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def pack(
     docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int = 2048, end_id: int = 1,
-    open_windows: int = 256,
+    held_ids: int = 1 << 23,
 ) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) in sequences of at most ``size`` tokens.
 
@@ -186,7 +203,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        packer = Packer(size, open_windows, (task.partitionId() if task else 0) << _TASK_BITS)
+        packer = Packer(size, held_ids, (task.partitionId() if task else 0) << _TASK_BITS)
         encode = tokens(tokenizer, ranks).ids
         for batch in small_batches(batches):
             rows = []

@@ -27,14 +27,16 @@ def check(pieces, docs, size=2048):
         assert at == size or (at < size and at & (at - 1) == 0)
     got = []
     for (doc_id, total), parts in by_doc.items():
-        copies = sum(1 for start, _ in parts if start == 0)
-        parts.sort()
-        whole = [x for _, ids in parts for x in ids]
-        assert len(whole) == total * copies
-        if copies == 1:
-            got.append((doc_id, tuple(whole)))
-        else:  # repeated rows are packed each
-            got += [(doc_id, tuple(dict(parts)[0]) if total == len(parts[0][1]) else None)] * copies
+        copies = []  # repeated rows are packed each, and may be cut differently
+        for start, ids in sorted(parts):
+            copy = next((c for c in copies if len(c) == start), None)
+            if copy is None:
+                assert start == 0
+                copies.append(list(ids))
+            else:
+                copy += ids
+        assert all(len(c) == total for c in copies)
+        got += [(doc_id, tuple(c)) for c in copies]
     assert sorted(got, key=repr) == want
 
 
@@ -75,24 +77,35 @@ def brute_level(count, size, length):
 @pytest.mark.parametrize("seed", range(3))
 def test_level_is_the_least_sum_of_squares(seed):
     rng, size = random.Random(seed), 32
-    packer = Packer(size, open_windows=1000)
+    packer = Packer(size)
     for i in range(400):
         length = rng.randint(1, size - 1)
         assert packer._level(length) == brute_level(list(packer.count), size, length)
         packer.add(i, np.arange(length, dtype="<u4"))
 
 
-def test_bounded_open_windows_keep_every_id():
-    size, packer, out = 32, Packer(32, open_windows=4), []
-    for i in range(500):
-        out += packer.add(i, np.full(17, i, dtype="<u4"))  # two never fit into one window
-        assert packer.open <= 4
+@pytest.mark.parametrize("lengths", [[17], [17, 19, 23], [3, 17], [1, 2, 30]])
+def test_bounded_ids_keep_every_id_and_the_rule(lengths):
+    """Windows that nothing fits into are poured together; every document is still placed by the rule."""
+    size, packer, out, rng = 32, Packer(32, held_ids=0), [], random.Random(2)
+    docs = [rng.choice(lengths) for _ in range(3000)]
+    for i, length in enumerate(docs):
+        level = brute_level(list(packer.count), size, length)
+        assert packer._level(length) == level
+        out += packer.add(i, np.full(length, i, dtype="<u4"))
+        assert packer.held <= size * size and packer.held == sum(n * h for h, n in enumerate(packer.count.tolist()))
     out += packer.finish()
-    assert sum(p[2] for p in out) == 500 * 17
+    got = {}
+    for doc, start, length, ids, total, *_ in sorted(out):
+        assert start == got.get(doc, 0) and set(struct.unpack(f"<{length}I", ids)) == {doc}
+        got[doc] = start + length
+    assert got == dict(enumerate(docs))
     windows = {}
     for p in out:
-        windows[p[5]] = windows.get(p[5], 0) + p[2]
-    assert sum(1 for v in windows.values() if v < size) <= 5
+        windows.setdefault(p[5], []).append((p[6], p[2]))
+    for spans in windows.values():
+        assert sum(n for _, n in spans) == max(a + n for a, n in spans)
+    assert sum(1 for v in windows.values() if sum(n for _, n in v) < size) <= 5
 
 
 def test_fast_library_gives_the_same_ids():
