@@ -127,3 +127,30 @@ def test_languages_of_odd_documents(spark):
     assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
     assert {r.doc_id for r in langid.keep_known(docs, empty).collect()} >= {1, 5, 6, 8}
     assert langid.predict(docs.limit(0), network).count() == 0
+
+
+def test_two_networks_in_one_session_keep_apart(spark):
+    """Workers are used again; each network still answers for itself, also where its address is taken again."""
+    def data(one, two):
+        return H.table(spark, [(i, " ".join(w * 3 for w in words), lang) for i in range(60)
+                               for lang, words in [((one, ["abba", "acab", "baca"]), (two, ["xyzz", "zyxy", "yzxz"]))[i % 2]]])
+
+    frames = {("xx", "yy"): data("xx", "yy"), ("pp", "qq"): data("pp", "qq")}
+    for _ in range(3):
+        for names, docs in frames.items():
+            found = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs, steps=60)).collect()}
+            assert found == {i: names[i % 2] for i in range(60)}
+            kept = langid.keep_known(docs, langid.fit(docs, steps=60), 0.4)
+            assert kept.count() == 60
+
+
+def test_language_sample_is_the_smallest_hashes_of_each_language(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = []
+    monkeypatch.setattr(langid.Network, "train", lambda self, words, target, steps: seen.extend(words))
+    docs = H.table(spark, [(i, f"w{i}x", "en" if i % 3 else "de") for i in range(900)])
+    langid.fit(docs, sample=7)
+    rows = docs.where(fold(F.col("doc_id"), 3) != 1).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).collect()
+    want = [r.doc_id for lang in ("en", "de") for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.h)[:7]]
+    assert sorted(seen) == sorted(f"w{i}x".encode() for i in want)
