@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import saved
 
 PIECE = 4096  # vectors compared at a time
+DRAWS = 4  # each draw of the vectors has so many times those of the one before
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -74,13 +75,16 @@ def _codes(frame: DataFrame, width: int, trees: int, bits: int) -> DataFrame:
     return frame.mapInArrow(run, f"{kinds}, codes array<bigint>")
 
 
-def _best(scores: np.ndarray, q: np.ndarray, data: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and exact products of the k nearest; ``scores`` only sorts out the far ones."""
-    at = np.arange(len(scores))
-    if len(scores) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= edge - 1e-9 * max(1.0, abs(edge)))
+def _best(
+    scores: np.ndarray, q: np.ndarray, data: np.ndarray, low: np.ndarray, k: int, least: float, rounding: float,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and exact products of the k nearest, ``least`` or more; ``scores``, off by at most ``rounding``, only sorts out the far ones."""
+    at = np.flatnonzero(scores >= least - 2 * rounding)
+    if len(at) > k:
+        edge = np.partition(scores[at], len(at) - k)[len(at) - k]
+        at = at[scores[at] >= edge - 2 * rounding]
     exact = (data[at] * q).sum(axis=1)
+    at, exact = at[exact >= least], exact[exact >= least]
     order = np.lexsort((low[at], -exact))[:k]
     return at[order], exact[order]
 
@@ -88,8 +92,9 @@ def _best(scores: np.ndarray, q: np.ndarray, data: np.ndarray, low: np.ndarray,
 def _search(work: DataFrame, k: int, bits: int, width: int) -> DataFrame:
     """Best entries of every query per piece: query_id, entry, low, score.
 
-    ``work``: piece, kind (0 entry, 1 query), id, low, v, code, length. A piece's entries come
-    first, sorted by their codes; a query looks at those that share ``length`` bits with it.
+    ``work``: piece, kind (0 entry, 1 query), id, low, v, code, length, least. A piece's entries
+    come first, sorted by their codes; a query looks at those that share ``length`` bits with
+    it, and entries below its ``least`` product are not listed.
     """
     names = ["query_id", "entry", "low", "score"]
 
@@ -97,7 +102,9 @@ def _search(work: DataFrame, k: int, bits: int, width: int) -> DataFrame:
         ids, low, data, codes = (np.concatenate([e[i] for e in entries]) for i in range(4))
         order = np.argsort(codes, kind="stable")
         ids, low, data, codes = ids[order], low[order], data[order], codes[order]
-        query, _, block, code, length = (np.concatenate([a[i] for a in asked]) for i in range(5))
+        query, _, block, code, length, least = (np.concatenate([a[i] for a in asked]) for i in range(6))
+        longest = np.sqrt((data * data).sum(axis=1).max())
+        rounding = 1e-12 * width * np.sqrt((block * block).sum(axis=1)) * longest
         start = np.searchsorted(codes, code >> (bits - length) << (bits - length))
         stop = np.searchsorted(codes, ((code >> (bits - length)) + 1) << (bits - length))
         for at in range(0, len(query), 256):
@@ -106,7 +113,7 @@ def _search(work: DataFrame, k: int, bits: int, width: int) -> DataFrame:
             for i in range(at, min(at + 256, len(query))):
                 a, b = start[i], stop[i]
                 if b > a:
-                    near, exact = _best(scores[i - at, a:b], block[i], data[a:b], low[a:b], k)
+                    near, exact = _best(scores[i - at, a:b], block[i], data[a:b], low[a:b], k, least[i], rounding[i])
                     out[0].append(np.full(len(near), query[i]))
                     for part, values in zip(out[1:], (ids[a:b][near], low[a:b][near], exact)):
                         part.append(values)
@@ -133,7 +140,7 @@ def _search(work: DataFrame, k: int, bits: int, width: int) -> DataFrame:
                 if own.any():
                     entries.append((ids[own], low[own], data[own], code[own]))
                 if other.any():
-                    asked.append((ids[other], low[other], data[other], code[other], length[other]))
+                    asked.append((ids[other], low[other], data[other], code[other], length[other], np.asarray(part.column(7))[other]))
                     waiting += int(other.sum())
                     if waiting >= PIECE and entries:
                         yield from matched(entries, asked)
@@ -142,7 +149,7 @@ def _search(work: DataFrame, k: int, bits: int, width: int) -> DataFrame:
             yield from matched(entries, asked)
 
     dealt = work.repartition("piece").sortWithinPartitions("piece", "kind")
-    return dealt.select("piece", "kind", "id", "low", "v", "code", "length").mapInArrow(
+    return dealt.select("piece", "kind", "id", "low", "v", "code", "length", "least").mapInArrow(
         run, "query_id bigint, entry bigint, low bigint, score double")
 
 
@@ -160,9 +167,10 @@ def _ranked(found: DataFrame, entries: DataFrame, k: int) -> DataFrame:
         "query_id", "rank", "vec_id", "score")
 
 
-def _item(piece, kind: int, name: str, low: str, code="0L", length="0L") -> list:
+def _item(piece, kind: int, name: str, low: str, code="0L", length="0L", least="'-Infinity'") -> list:
     return [piece.alias("piece"), F.lit(kind).alias("kind"), F.col(name).alias("id"), F.col(low).alias("low"), "v",
-            F.expr(f"cast({code} AS bigint)").alias("code"), F.expr(f"cast({length} AS bigint)").alias("length")]
+            F.expr(f"cast({code} AS bigint)").alias("code"), F.expr(f"cast({length} AS bigint)").alias("length"),
+            F.expr(f"cast({least} AS double)").alias("least")]
 
 
 def _full(entries: DataFrame, queries: DataFrame, rows: int) -> DataFrame:
@@ -214,26 +222,44 @@ def neighbours(
     reach = saved(asked.select("query_id", "tree", "length", prefix).join(below, ["tree", "length", "prefix"]).groupBy(
         "query_id", "length").agg(F.sum("n").alias("n")))
     enough = _enough(queries, coded, entries, reach, k, bits, recall, sample, rows, width)
-    # The longest prefixes, alike in all trees, that together hold enough.
-    depth = reach.where(F.col("n") >= enough).groupBy("query_id").agg(F.max("length").alias("length"))
-    chosen = queries.join(depth, "query_id", "left").select(
-        "query_id", "v", F.coalesce("length", F.lit(0)).alias("length"), F.posexplode("codes").alias("tree", "code"))
+    # The longest prefixes, alike in all trees, that together hold enough. If they hold as many
+    # as there are, one tree's root holds them all.
+    depth = reach.where(F.col("n") >= enough).groupBy("query_id").agg(F.max(F.struct("length", "n")).alias("best")).select(
+        "query_id", F.when(F.col("best.n") < rows, F.col("best.length")).alias("length"))
+    chosen = saved(queries.join(depth, "query_id", "left").select(
+        "query_id", "v", F.coalesce("length", F.lit(0)).alias("length"), F.posexplode("codes").alias("tree", "code")).where(
+        "length > 0 OR tree = 0"))
     # Neighbouring leaves make a cell; a cell of many vectors is several pieces.
     level = max(0, bits - max(0, int(math.log2(PIECE / leaf))))
     cell = F.expr(f"shiftright(code, {bits - level})")
-    sizes = saved(leaves.groupBy("tree", cell.alias("cell")).agg(F.sum("n").alias("n")).select(
-        "tree", "cell", F.ceil(F.col("n") / PIECE).alias("parts")))
-    piece = F.concat_ws("-", "tree", "cell", "part")
-    own = (coded.select("entry", "low", "v", F.posexplode("codes").alias("tree", "code")).withColumn("cell", cell)
-           .join(sizes, ["tree", "cell"]).withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")))
-           .select(*_item(piece, 0, "entry", "low", "code")))
+    placed = saved(coded.select("entry", "low", "v", F.posexplode("codes").alias("tree", "code")).withColumn("cell", cell).withColumn(
+        "draw", F.pmod(F.xxhash64("entry", F.lit("draw")), F.lit(DRAWS ** 16))))
     # A prefix shorter than the cells' covers several of them.
     high, wide = f"shiftright(code, {bits} - least(length, {level}))", f"({level} - least(length, {level}))"
     cells = F.expr(f"sequence(shiftleft({high}, {wide}), shiftleft({high} + 1, {wide}) - 1)")
-    sent = (chosen.withColumn("cell", F.explode(cells)).join(sizes, ["tree", "cell"])
-            .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-            .select(*_item(piece, 1, "query_id", "query_id", "code", "length")))
-    return _ranked(_search(own.unionByName(sent), k + 1, bits, width), entries, k)
+
+    def found(part: DataFrame, asking: DataFrame) -> DataFrame:
+        sizes = saved(part.groupBy("tree", "cell").agg(F.ceil(F.count("*") / PIECE).alias("parts")))
+        piece = F.concat_ws("-", "tree", "cell", "part")
+        own = (part.join(sizes, ["tree", "cell"]).withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")))
+               .select(*_item(piece, 0, "entry", "low", "code")))
+        sent = (asking.withColumn("cell", F.explode(cells)).join(sizes, ["tree", "cell"])
+                .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+                .select(*_item(piece, 1, "query_id", "query_id", "code", "length", "least")))
+        return _search(own.unionByName(sent), k + 1, bits, width)
+
+    # Ever larger draws of the vectors, each DRAWS times the one before: what a draw has at rank
+    # k + 1 is a bound for the next, so each lists some DRAWS * k entries a query, not k a piece.
+    bound = F.expr("double('-Infinity')").alias("least")
+    asking = chosen.withColumn("least", bound)
+    for power in reversed(range(1, 1 + max(0, math.ceil(math.log(max(1, rows / PIECE), DRAWS)) - 1))):
+        drawn = found(placed.where(F.pmod("draw", F.lit(DRAWS ** power)) == 0), asking)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        least = saved(drawn.groupBy("query_id", "entry").agg(F.max("score").alias("score"))
+                      .withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+                      .groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") > k).drop("n"))
+        asking = chosen.join(least, "query_id", "left").withColumn("least", F.coalesce("least", bound))
+    return _ranked(found(placed, asking), entries, k)
 
 
 def _enough(

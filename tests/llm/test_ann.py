@@ -69,3 +69,17 @@ def test_odd_vectors(spark):
     assert got == {0: [(-20, 9.0), (1, 4.0), (2, 3.0)], -20: [(0, 9.0), (1, 9.0), (2, 6.0)]}
     assert ann.neighbours(frame(spark, rows).limit(0)).count() == 0
     assert ann.neighbours(frame(spark, [(0, [1, 1])])).count() == 0
+
+
+def test_draws_lose_nothing_and_bound_the_lists(spark, monkeypatch):
+    """Pieces far smaller than the table, so that several draws come before the search; copies, ties and long vectors."""
+    monkeypatch.setattr(ann, "PIECE", 16)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=5) * (1e8 if i % 7 == 0 else 1)) for i in range(700)]
+    rows = [(i, [1.0, 0, 0, 0, 0] if i % 5 == 0 else v) for i, v in rows]
+    lists = []
+    whole = ann._search
+    monkeypatch.setattr(ann, "_search", lambda *a: lists.append(whole(*a)) or lists[-1])
+    got = as_dict(ann.neighbours(frame(spark, rows), k=5, recall=1.0))
+    assert got == brute(rows, k=5)
+    assert len(lists) >= 4 and lists[-1].count() < 35 * 6 * 16  # not 6 for each of the 44 pieces
