@@ -75,7 +75,7 @@ def test_draws_lose_nothing_and_bound_the_lists(spark, monkeypatch):
     """Pieces far smaller than the table, so that several draws come before the search; copies, ties and long vectors."""
     monkeypatch.setattr(ann, "PIECE", 16)
     rng = np.random.default_rng(4)
-    rows = [(i, rng.normal(size=5) * (1e8 if i % 7 == 0 else 1)) for i in range(700)]
+    rows = [(i, (rng.normal(size=5) * (1e8 if i % 7 == 0 else 1)).astype(np.float32)) for i in range(700)]
     rows = [(i, [1.0, 0, 0, 0, 0] if i % 5 == 0 else v) for i, v in rows]
     lists = []
     whole = ann._search
