@@ -39,8 +39,8 @@ HTML_ENTITIES = {
 }
 # Characters that count as blank at the ends of a text.
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-NBSP_CLASS = "[\\u00A0\\u202F\\u2007]"
-SPACES = "(?U)\\s+"
+# Blanks to collapse, no-break ones included: a lone plain blank is left alone.
+SPACES = "(?U)[^\\S ]\\s*| \\s+"
 
 
 @lru_cache(maxsize=1)
@@ -75,13 +75,13 @@ def collapse_spaces(col: Column) -> Column:
 
 
 def unescape_html(col: Column) -> Column:
-    return _all(col, HTML_ENTITIES.items())
+    """Entities decoded; a text without ``&`` is left as it is."""
+    return bind(col, lambda t: F.when(F.contains(t, F.lit("&")), _all(t, HTML_ENTITIES.items())).otherwise(t))
 
 
 def normalize_spaces(col: Column) -> Column:
-    """Entities decoded, no-break blanks made plain, runs of blanks collapsed."""
-    text = F.regexp_replace(unescape_html(F.coalesce(col, F.lit(""))), NBSP_CLASS, " ")
-    return collapse_spaces(text)
+    """Entities decoded, runs of blanks collapsed, no-break blanks included."""
+    return collapse_spaces(unescape_html(F.coalesce(col, F.lit(""))))
 
 
 def fold_case(col: Column) -> Column:

@@ -176,7 +176,7 @@ _METRICS = r"""t AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(rep
 
 @query("FN42_text_metrics", "WITH " + _METRICS + "SELECT doc_id, len(w) AS words, l AS letters, length(t) AS chars FROM w")
 def _(v):
-    m = v.documents.select("doc_id", Y.text_metrics(F.col("text")).alias("m"))
+    m = v.documents.select("doc_id", Y.text_counts(F.col("text")).alias("m"))
     return m.select("doc_id", "m.words", "m.letters", "m.chars")
 
 
