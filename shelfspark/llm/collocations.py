@@ -92,8 +92,11 @@ class _Words:
                 total = total * _CHECK + (self.name[at + i] >> _U(7))
         return (total >> _U(32)).astype(np.uint32).view(np.int32)
 
-    def text(self, at: int, size: int) -> bytes:
-        return b" ".join(self.data[self.first[i] : self.end[i]].tobytes() for i in range(at, at + size))
+    def texts(self, at: np.ndarray, size: int) -> list[bytes]:
+        """The phrases' words joined by blanks."""
+        whole = self.data.tobytes()
+        words = [[whole[a:b] for a, b in zip(self.first[at + i].tolist(), self.end[at + i].tolist())] for i in range(size)]
+        return [b" ".join(phrase) for phrase in zip(*words)]
 
 
 class Bloom:
@@ -201,32 +204,31 @@ def _candidates(counted: DataFrame, totals: DataFrame, support: int) -> DataFram
     )
 
 
-def _written_out(texts: DataFrame, often: Bloom, anywhere: bool) -> DataFrame:
-    """(lang_key, name, check, phrase) of the phrases in the filter: names with their partition, or names alone."""
-    shared = texts.sparkSession.sparkContext.broadcast(often)
+def _written_out(texts: DataFrame, filters: list[Bloom], often: Bloom, anywhere: bool) -> DataFrame:
+    """(lang_key, name, check, phrase) of the phrases in ``often``: names with their partition, or names alone."""
+    shared = texts.sparkSession.sparkContext.broadcast([often, *filters])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = _U(TaskContext.get().partitionId())
+        wanted, *inner = shared.value
         known: set[int] = set()
         for batch in byte_slices(batches, "text", _SLICE):
             found = _Words(batch)
-            names, checks, langs, phrases = [], [], [], []
-            for size, at, name in found.phrases([None] * LONGEST, LONGEST):
-                once, where = np.unique(name, return_index=True)
-                good = shared.value.has(once if anywhere else pair(once, np.full(len(once), part)))
-                for key, place in zip(once[good].tolist(), at[where[good]].tolist()):
-                    if key not in known:
-                        known.add(key)
-                        names.append(key)
-                        langs.append(found.lang[place])
-                        checks.append(found.checks(np.array([place]), size)[0])
-                        phrases.append(found.text(place, size))
+            out: list[tuple] = []
+            for size, at, name in found.phrases([*inner, None, None], LONGEST):
+                good = wanted.has(name if anywhere else pair(name, np.full(len(name), part)))
+                once, where = np.unique(name[good], return_index=True)
+                new = np.array([key not in known for key in once.tolist()], dtype=bool)
+                known.update(once.tolist())
+                place = at[good][where[new]]
+                out.append((found.lang[place], once[new], found.checks(place, size), found.texts(place, size)))
             if len(known) > _HELD:
                 known.clear()
+            lang, name, check, text = zip(*out)
             yield pa.record_batch({
-                "lang_key": pa.array(langs, type=pa.int64()), "name": signed(np.array(names, dtype=_U)),
-                "check": pa.array(checks, type=pa.int32()),
-                "phrase": pa.array(phrases, type=pa.binary()).cast(pa.string())})
+                "lang_key": pa.array(np.concatenate(lang)), "name": signed(np.concatenate(name)),
+                "check": pa.array(np.concatenate(check)),
+                "phrase": pa.array([t for part in text for t in part], type=pa.binary()).cast(pa.string())})
 
     return texts.mapInArrow(run, "lang_key bigint, name bigint, check int, phrase string")
 
@@ -252,10 +254,10 @@ def phrase_counts(docs: DataFrame, support: int = 30, shards: int = SHARDS) -> t
 
     key = ["lang_key", "name", "check"]
     places = often.mapInArrow(_placed, "name bigint")
-    phrases = scratch.save("phrases", _written_out(texts, _filter(places), anywhere=False).join(often.select(*key), key, "left_semi"))
+    phrases = scratch.save("phrases", _written_out(texts, filters, _filter(places), anywhere=False).join(often.select(*key), key, "left_semi"))
     lost = often.join(phrases, key, "left_anti")
     if not lost.isEmpty():  # a scan that is dealt to partitions in another way than before
-        phrases = phrases.unionByName(_written_out(texts, _filter(lost.select("name")), anywhere=True))
+        phrases = phrases.unionByName(_written_out(texts, filters, _filter(lost.select("name")), anywhere=True))
     names = lang.groupBy(F.xxhash64("lang").alias("lang_key")).agg(F.min("lang").alias("lang"))
     counts = scratch.save(
         "counts", often.join(phrases.groupBy(*key).agg(F.min("phrase").alias("phrase")), key).join(names, "lang_key")
