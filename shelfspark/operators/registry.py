@@ -167,15 +167,21 @@ def find_existing_candidates(incoming: DataFrame, stored: DataFrame) -> DataFram
 
 
 # --------------------------------------------------------------------- import
-def with_url_forms(rows: DataFrame, url: str = "url") -> DataFrame:
-    forms = rows.withColumn("_forms", url_forms(F.col(url)))
-    return forms.withColumns(
-        {
-            "url_error": F.col("_forms.error"),
-            "url_normalized": F.col("_forms.normalized"),
-            "source_domain": F.col("_forms.host"),
-        }
-    ).drop("_forms")
+def with_url_forms(rows: DataFrame, url: str = "url", repeated: bool = False) -> DataFrame:
+    """``rows`` with url_error, url_normalized and source_domain.
+
+    Of feeds in which the same URLs come again and again (``repeated``), each distinct URL is
+    parsed once and its forms are a table that the rows meet; otherwise rows are not shuffled.
+    """
+    def parsed(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("_forms", url_forms(F.col(url))).select(
+            *frame.columns, F.col("_forms.error").alias("url_error"), F.col("_forms.normalized").alias("url_normalized"),
+            F.col("_forms.host").alias("source_domain"))
+
+    if not repeated:
+        return parsed(rows)
+    forms = parsed(rows.select(url).distinct()).withColumnRenamed(url, "_parsed")
+    return rows.join(forms, F.col(url).eqNullSafe(F.col("_parsed")), "left").drop("_parsed")
 
 
 def union_feeds(feeds: dict[str, DataFrame]) -> DataFrame:

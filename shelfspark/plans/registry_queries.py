@@ -68,7 +68,7 @@ VIEWS["imported_urls_v"] = """
            max(l_shipdate) AS last_seen_at,
            CASE WHEN l_suppkey % 4 <> 3 THEN max(l_shipdate) ELSE NULL END AS last_success_at,
            CASE WHEN l_suppkey % 10 = 0 THEN 'HTTP 500' ELSE NULL END AS last_error, 'Imported' AS notes
-    FROM {lineitem} WHERE l_linestatus = 'F' GROUP BY l_partkey, l_suppkey"""
+    FROM {lineitem} GROUP BY l_partkey, l_suppkey HAVING min(l_linestatus) = 'F'"""
 VIEWS["capture_sources_v"] = """
     SELECT l_partkey * 100000 + l_suppkey AS source_id, l_partkey AS product_id, l_suppkey % 6 AS vendor_id,
            'https://shop' || cast(l_suppkey AS string) || '.example.com/p/' || cast(l_partkey AS string)
@@ -187,7 +187,8 @@ def _(v):
 
 
 def _evidence(v):
-    rows = R.with_url_forms(R.resolve_for_import(v.evidence_v, v.catalog_v))
+    # The same URLs are seen day after day: parsed once each, before anything is joined to them.
+    rows = R.resolve_for_import(R.with_url_forms(v.evidence_v, repeated=True), v.catalog_v)
     weak = (F.col("feed") == "artifacts") & (F.col("match_type") != "model")
     return rows.withColumns({
         "status": F.when(weak, "needs_review").otherwise("active"),
