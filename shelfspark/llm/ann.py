@@ -229,20 +229,23 @@ def neighbours(
     chosen = saved(queries.join(depth, "query_id", "left").select(
         "query_id", "v", F.coalesce("length", F.lit(0)).alias("length"), F.posexplode("codes").alias("tree", "code")).where(
         "length > 0 OR tree = 0"))
-    # Neighbouring leaves make a cell; a cell of many vectors is several pieces.
-    level = max(0, bits - max(0, int(math.log2(PIECE / leaf))))
-    cell = F.expr(f"shiftright(code, {bits - level})")
-    placed = saved(coded.select("entry", "low", "v", F.posexplode("codes").alias("tree", "code")).withColumn("cell", cell).withColumn(
-        "draw", F.pmod(F.xxhash64("entry", F.lit("draw")), F.lit(DRAWS ** 16))))
-    # A prefix shorter than the cells' covers several of them.
-    high, wide = f"shiftright(code, {bits} - least(length, {level}))", f"({level} - least(length, {level}))"
-    cells = F.expr(f"sequence(shiftleft({high}, {wide}), shiftleft({high} + 1, {wide}) - 1)")
-
-    def found(part: DataFrame, asking: DataFrame) -> DataFrame:
-        sizes = saved(part.groupBy("tree", "cell").agg(F.ceil(F.count("*") / PIECE).alias("parts")))
+    # Trees that no query looks into are left out.
+    used = chosen.select("tree").distinct()
+    placed = saved(coded.select("entry", "low", "v", F.posexplode("codes").alias("tree", "code")).join(used, "tree", "left_semi")
+                   .withColumn("draw", F.pmod(F.xxhash64("entry", F.lit("draw")), F.lit(DRAWS ** 16))))
+
+    def found(part: DataFrame, asking: DataFrame, share: float) -> DataFrame:
+        # Neighbouring leaves make a cell of about PIECE vectors; a cell of many more is several pieces.
+        level = max(0, bits - max(0, int(math.log2(PIECE / leaf / share))))
+        cell = F.expr(f"shiftright(code, {bits - level})")
+        celled = part.withColumn("cell", cell)
+        sizes = saved(celled.groupBy("tree", "cell").agg(F.ceil(F.count("*") / PIECE).alias("parts")))
         piece = F.concat_ws("-", "tree", "cell", "part")
-        own = (part.join(sizes, ["tree", "cell"]).withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")))
+        own = (celled.join(sizes, ["tree", "cell"]).withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")))
                .select(*_item(piece, 0, "entry", "low", "code")))
+        # A prefix shorter than the cells' covers several of them.
+        high, wide = f"shiftright(code, {bits} - least(length, {level}))", f"({level} - least(length, {level}))"
+        cells = F.expr(f"sequence(shiftleft({high}, {wide}), shiftleft({high} + 1, {wide}) - 1)")
         sent = (asking.withColumn("cell", F.explode(cells)).join(sizes, ["tree", "cell"])
                 .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
                 .select(*_item(piece, 1, "query_id", "query_id", "code", "length", "least")))
@@ -252,14 +255,14 @@ def neighbours(
     # k + 1 is a bound for the next, so each lists some DRAWS * k entries a query, not k a piece.
     bound = F.expr("double('-Infinity')").alias("least")
     asking = chosen.withColumn("least", bound)
-    for power in reversed(range(1, 1 + max(0, math.ceil(math.log(max(1, rows / PIECE), DRAWS)) - 1))):
-        drawn = found(placed.where(F.pmod("draw", F.lit(DRAWS ** power)) == 0), asking)
+    for power in reversed(range(1, 1 + math.ceil(math.log(max(1, rows / PIECE), DRAWS)))):
+        drawn = found(placed.where(F.pmod("draw", F.lit(DRAWS ** power)) == 0), asking, DRAWS ** -power)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"))
         least = saved(drawn.groupBy("query_id", "entry").agg(F.max("score").alias("score"))
                       .withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
                       .groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") > k).drop("n"))
         asking = chosen.join(least, "query_id", "left").withColumn("least", F.coalesce("least", bound))
-    return _ranked(found(placed, asking), entries, k)
+    return _ranked(found(placed, asking, 1.0), entries, k)
 
 
 def _enough(
