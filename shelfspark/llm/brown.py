@@ -3,33 +3,50 @@
 P(word | last word) = P(class | last class) * P(word | class). Words are clustered through
 units of bounded number: a frequent word is a unit of its own, every other word, unseen
 ones included, belongs to the unit of its ending and shape. The exchange moves each unit
-to the class that raises the likelihood of the training tokens most; moves are judged in
-parallel against the class counts of the last round. The counts of a unit's neighbouring
-classes and the words' counts come from all training documents.
+to the class that raises the likelihood of the training tokens most, half of the units in
+turn, until few move; moves are judged in parallel against the class counts of the last
+round. The counts of a unit's neighbouring classes and the words' counts come from all
+training documents.
 
 What is gathered: the count of every distinct word (shuffled), the bigram counts of the
 bounded units (shuffled), and from those the tables of the model, whose size the number of
 units bounds. Word counts are not bounded and never leave the executors: a document's
 words meet them in an equality join; only the units' own counts are shared with all tasks.
+
+Words go by 64-bit names; two words of a corpus of n share one with a chance near n^2 / 2^65.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import fold, saved, small_batches
+from shelfspark.llm.arrays import byte_slices, pair, raw, row_of, signed, word_names, words
+from shelfspark.llm.common import Scratch, fold, saved
 
+_U = np.uint64
 END = b"\n"  # no word holds it
-FLUSH = 300_000  # distinct words a task gathers before it hands them on
+HELD = 1 << 20  # distinct words or pairs a task gathers before it hands them on
+SLICE = 1 << 21  # bytes of text looked at in one go
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# Signs that are no part of a word's ending.
+_OUTER = np.zeros(256, dtype=bool)
+_OUTER[list(b".,;:!?*#$%&|\"'()[]-")] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[list(b"abcdefghijklmnopqrstuvwxyz")] = True
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[list(b"0123456789")] = True
+OTHER, LAST = 0, 1  # units of words without any other unit, and of a document's end
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -37,25 +54,50 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def word_key(word: bytes) -> int:
-    """64-bit name of a word, signed; two words of a corpus share one with a chance near n^2 / 2^65."""
-    value = xxhash.xxh3_64_intdigest(word)
-    return value - (1 << 64) if value >> 63 else value
-
-
-def ending(word: bytes) -> bytes:
-    """Shape of a rare word: its last two letters and whether other signs follow or lead them."""
-    core = word.strip(b".,;:!?*#$%&|\"'()[]-")
-    kind = b"a" if core.isalpha() else b"u" if core and max(core) > 127 else b"d" if core.isdigit() else b"x"
-    tail = b"." if word != core else b""
-    return b"\t" + kind + core[-2:] + tail
+class _Tokens:
+    """Words of some texts: bytes, text and name of each."""
+
+    def __init__(self, column: pa.Array):
+        data, starts = raw(column)
+        self.rows, self.data = len(starts) - 1, _LOWER[data]
+        self.first, self.end = words(self.data, starts, _BLANK)
+        self.row = row_of(starts, self.first)
+        self.name = word_names(self.data, self.first, self.end)
+
+    def endings(self, at: np.ndarray) -> np.ndarray:
+        """Names of the words' shapes: last two bytes within outer signs, kind of the rest, and whether there are outer signs."""
+        first, end = self.first[at].copy(), self.end[at].copy()
+        if not len(at):
+            return np.zeros(0, dtype=_U)
+        for edge, place, step in ((end, -1, -1), (first, 0, 1)):
+            left = np.arange(len(at))
+            while len(left):
+                left = left[(first[left] < end[left])]
+                left = left[_OUTER[self.data[edge[left] + place]]]
+                edge[left] += step
+        size = end - first
+        kinds = np.zeros(len(at), dtype=_U)
+        full = np.flatnonzero(size > 0)
+        if len(full):
+            # Flags of the bytes from the first of a core up to its end, by sums over the whole text.
+            for value, flags in ((1, _LETTER), (2, _DIGIT)):
+                upto = np.concatenate([[0], np.cumsum(flags[self.data], dtype=np.int32)])
+                kinds[full[upto[end[full]] - upto[first[full]] == size[full]]] = value
+            high = np.concatenate([[0], np.cumsum(self.data > 127, dtype=np.int32)])
+            kinds[full[high[end[full]] > high[first[full]]]] = 3
+        byte = lambda back: np.where(size >= back, self.data[np.maximum(end - back, 0)], 0).astype(_U)
+        outer = (size != self.end[at] - self.first[at]).astype(_U)
+        return pair(byte(1) << _U(8) | byte(2), kinds << _U(1) | outer) | _U(1)
 
 
 @dataclass
 class Model:
     """Units of the words, their classes, and the tables of class transitions and emissions."""
 
-    units: dict[bytes, int]
+    names: np.ndarray  # sorted names of the words that are units, and their units
+    units: np.ndarray
+    ending_names: np.ndarray  # the same of endings
+    ending_units: np.ndarray
     known: np.ndarray  # tokens of each unit that is one word; 0 else
     classes: np.ndarray  # class of each unit
     step: np.ndarray  # log10 P(class | class before)
@@ -63,141 +105,144 @@ class Model:
     tokens: int
     distinct: int
 
+    def of(self, tokens: _Tokens) -> np.ndarray:
+        """Units of all words."""
+        out = _looked_up(self.names, self.units, tokens.name, -1)
+        rare = np.flatnonzero(out < 0)
+        _, first, back = np.unique(tokens.name[rare], return_index=True, return_inverse=True)
+        shapes = _looked_up(self.ending_names, self.ending_units, tokens.endings(rare[first]), OTHER)
+        out[rare] = shapes[back]
+        return out
+
     def unit(self, word: bytes) -> int:
-        found = self.units.get(word)
-        if found is None:
-            found = self.units.get(ending(word), 0)
-        return found
+        return LAST if word == END else int(self.of(_Tokens(pa.array([word], pa.binary())))[0])
 
 
-class _Units:
-    """Words to units, with a memo of bounded size."""
+def _looked_up(names: np.ndarray, values: np.ndarray, wanted: np.ndarray, none: int) -> np.ndarray:
+    if not len(names):
+        return np.full(len(wanted), none, dtype=np.int64)
+    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+    return np.where(names[at] == wanted, values[at], none)
 
-    def __init__(self, units: dict[bytes, int]):
-        self.units, self.memo = units, {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.memo) > FLUSH:
-            self.memo.clear()
-        memo, units = self.memo, self.units
-        out = []
-        for word in words:
-            at = memo.get(word)
-            if at is None:
-                at = units.get(word)
-                if at is None:
-                    at = units.get(ending(word), 0)
-                memo[word] = at
-            out.append(at)
-        return np.array(out, dtype=np.int64)
+def _sequence(units: np.ndarray, tokens: _Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Units of all texts one after the other with one end before them and one after each, and the text of each but the first."""
+    counts = np.bincount(tokens.row, minlength=tokens.rows)
+    out = np.full(len(units) + tokens.rows + 1, LAST, dtype=np.int64)
+    out[1 + np.arange(len(units)) + tokens.row] = units
+    return out, np.repeat(np.arange(tokens.rows), counts + 1)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Key, carried value and sum of the last column per key."""
+    key, value, n = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(key)
+    key = key[order]
+    fresh = np.ones(len(key), dtype=bool)
+    fresh[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(fresh)
+    return key[at], value[order[at]], np.add.reduceat(n[order], at) if len(at) else n
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (binary) and its tokens n over all texts; one end per document."""
+    """word and ending (names) and tokens n of all distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in small_batches(batches):
-            for text in batch.column(0).to_pylist():
-                counts.update(words_of(text))
-            counts[END] += batch.num_rows
-            if len(counts) > FLUSH:
-                yield _counted(counts)
-                counts.clear()
-        if counts:
-            yield _counted(counts)
+        held: list[tuple[np.ndarray, ...]] = []
 
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, n bigint")
-    return parts.groupBy("word").agg(F.sum("n").alias("n"))
+        def handed(word, ending, n):
+            return pa.record_batch({"word": signed(word), "ending": signed(ending), "n": pa.array(n)})
 
+        for batch in byte_slices(batches, "text", SLICE):
+            tokens = _Tokens(batch.column("text"))
+            once, at, n = np.unique(tokens.name, return_index=True, return_counts=True)
+            held.append((once, tokens.endings(at), n.astype(np.int64)))
+            if sum(len(h[0]) for h in held) > HELD:
+                held = [_summed(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield handed(*held.pop())
+        if held:
+            yield handed(*_summed(held))
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+    parts = docs.select("text").mapInArrow(run, "word bigint, ending bigint, n bigint")
+    return parts.groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 
-def _unit_pairs(docs: DataFrame, units: dict[bytes, int]) -> DataFrame:
+def _unit_pairs(docs: DataFrame, model: Model) -> DataFrame:
     """left, right and n: neighbouring units over all texts; a document starts and stops at the end."""
-    shared = docs.sparkSession.sparkContext.broadcast(units)
-    size = len(units)
-    end = units[END]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    size = len(model.known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, keys, held = _Units(shared.value), [], 0
-        for batch in small_batches(batches):
-            for text in batch.column(0).to_pylist():
-                at = np.concatenate([[end], of(words_of(text)), [end]])
-                keys.append(at[:-1] * size + at[1:])
-                held += len(at)
-            if held > 2_000_000:
-                keys, merged = [], _paired(keys, size)
-                held = 0
-                yield merged
-        if keys:
-            yield _paired(keys, size)
-
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "left int, right int, n bigint")
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def handed(key, _, n):
+            return pa.record_batch({"left": pa.array((key // size).astype(np.int32)), "right": pa.array((key % size).astype(np.int32)), "n": pa.array(n)})
+
+        for batch in byte_slices(batches, "text", SLICE):
+            tokens = _Tokens(batch.column("text"))
+            at, _ = _sequence(shared.value.of(tokens), tokens)
+            once, n = np.unique(at[:-1] * size + at[1:], return_counts=True)
+            held.append((once, once, n.astype(np.int64)))
+            if sum(len(h[0]) for h in held) > HELD:
+                held = [_summed(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield handed(*held.pop())
+        if held:
+            yield handed(*_summed(held))
+
+    parts = docs.select("text").mapInArrow(run, "left int, right int, n bigint")
     return parts.groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
-def _paired(keys: list[np.ndarray], size: int) -> pa.RecordBatch:
-    pairs, n = np.unique(np.concatenate(keys), return_counts=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(pairs // size, pa.int32()), pa.array(pairs % size, pa.int32()), pa.array(n, pa.int64())],
-        names=["left", "right", "n"])
-
-
 def _gain(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def _neighbours(pairs: DataFrame, of: np.ndarray, moving: int, classes: int, fixed: int) -> DataFrame:
-    """unit and its list of (side, class, n), for the units whose turn it is.
+def _neighbours(pairs: DataFrame, of: np.ndarray, classes: int, only_table: bool = False) -> DataFrame:
+    """unit, side, class, n: tokens of the classes to the right (side 0) and left (1) of every unit.
 
-    Side 0 counts the classes to the unit's right, side 1 those to its left. A task adds
-    up in one array of units by classes, so the shuffle gets sums only.
+    Rows of unit -1 - c are the table: tokens of the classes after class c. A task adds up in
+    one array of units by classes, so the shuffle gets sums only.
     """
     shared = pairs.sparkSession.sparkContext.broadcast(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = shared.value
-        sums = np.zeros((len(now), 2, classes), dtype=np.int64)
-        for batch in batches:
-            left, right, n = (np.asarray(batch.column(i)) for i in range(3))
-            for side, unit, other in ((0, left, right), (1, right, left)):
-                turn = (unit % 2 == moving) & (unit != fixed)
-                np.add.at(sums, (unit[turn], side, now[other[turn]]), n[turn])
-        unit, side, which = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(unit, pa.int32()), pa.array(side, pa.int32()), pa.array(which, pa.int32()), pa.array(sums[unit, side, which])],
-            names=["unit", "side", "class", "n"])
-
-    return (pairs.select("left", "right", "n").mapInArrow(run, "unit int, side int, class int, n bigint")
-            .groupBy("unit", "side", "class").agg(F.sum("n").alias("n"))
-            .groupBy("unit").agg(F.collect_list(F.struct("side", "class", "n")).alias("near")))
+        sums = np.zeros(0 if only_table else len(now) * 2 * classes)
+        table = np.zeros(classes * classes)
 
+        def added(left, right, n):
+            table[:] += np.bincount(now[left] * classes + now[right], weights=n, minlength=len(table))
+            if not only_table:
+                for side, unit, other in ((0, left, right), (1, right, left)):
+                    sums[:] += np.bincount((unit * 2 + side) * classes + now[other], weights=n, minlength=len(sums))
 
-def _transitions(pairs: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
-    """Counts of class after class over all training tokens."""
-    shared = pairs.sparkSession.sparkContext.broadcast(of)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sums = shared.value, np.zeros(classes * classes, dtype=np.int64)
+        held = []
         for batch in batches:
-            left, right, n = (np.asarray(batch.column(i)) for i in range(3))
-            np.add.at(sums, now[left] * classes + now[right], n)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], names=["at", "n"])
-
-    out = np.zeros(classes * classes)
-    steps = pairs.select("left", "right", "n").mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
-    for r in steps.collect():  # at most classes * classes rows
-        out[r["at"]] = r.n
-    return out.reshape(classes, classes)
+            held.append([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)])
+            if sum(len(h[0]) for h in held) > HELD:
+                added(*(np.concatenate(c) for c in zip(*held)))
+                held = []
+        if held:
+            added(*(np.concatenate(c) for c in zip(*held)))
+        at, cell = np.flatnonzero(sums), np.flatnonzero(table)
+        yield pa.record_batch({
+            "unit": pa.array(np.concatenate([at // (2 * classes), -1 - cell // classes]).astype(np.int32)),
+            "side": pa.array(np.concatenate([at // classes % 2, 0 * cell]).astype(np.int32)),
+            "class": pa.array(np.concatenate([at % classes, cell % classes]).astype(np.int32)),
+            "n": pa.array(np.concatenate([sums[at], table[cell]]).astype(np.int64))})
+
+    parts = pairs.select("left", "right", "n").mapInArrow(run, "unit int, side int, class int, n bigint")
+    return parts.groupBy("unit", "side", "class").agg(F.sum("n").alias("n"))
+
+
+def _table(near: DataFrame, classes: int) -> np.ndarray:
+    """Counts of class after class over all training tokens."""
+    out = np.zeros((classes, classes))
+    for r in near.where("unit < 0").collect():  # at most classes * classes rows
+        out[-1 - r.unit, r["class"]] = r.n
+    return out
 
 
 def best_classes(units: np.ndarray, near: np.ndarray, of: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -225,41 +270,51 @@ def best_classes(units: np.ndarray, near: np.ndarray, of: np.ndarray, table: np.
     return out
 
 
-def exchange(pairs: DataFrame, size: int, classes: int, rounds: int, fixed: int) -> tuple[np.ndarray, np.ndarray]:
+def exchange(
+    pairs: DataFrame, size: int, classes: int, rounds: int, rare: float = 0.002,
+) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the units and the class transition counts, by rounds of the exchange.
 
     Per round Spark sums each unit's neighbours by class and finds, unit by unit, the class
     of the best gain; the driver holds one class per unit and the square table of classes.
-    The end, unit ``fixed``, has class 0 alone. Units of even and odd numbers take turns, so
-    that neighbours do not swap forever.
+    The document's end has class 0 alone. Units of even and odd numbers take turns, so that
+    neighbours do not swap forever; when both turns move less than a share of ``rare`` of
+    the units, or after ``rounds`` turns, it ends.
     """
     of = 1 + np.arange(size) % (classes - 1)
-    of[fixed] = 0
-    table = _transitions(pairs, of, classes)
+    of[LAST] = 0
+    scratch, last = Scratch(pairs.sparkSession), size
     for turn in range(rounds):
-        shared = pairs.sparkSession.sparkContext.broadcast((of.copy(), table))
+        near = scratch.save(f"near{turn}", _neighbours(pairs, of, classes))
+        shared = pairs.sparkSession.sparkContext.broadcast((of.copy(), _table(near, classes)))
 
         def choose(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             now, base = shared.value
             for batch in batches:
                 units = np.asarray(batch.column(0))
                 near = np.zeros((len(units), 2, classes))
-                for i, entries in enumerate(batch.column(1).to_pylist()):
-                    for e in entries:
-                        near[i, e["side"], e["class"]] = e["n"]
+                entries = batch.column(1)
+                row = np.repeat(np.arange(len(units)), np.asarray(entries.value_lengths()))
+                side, which, n = (np.asarray(entries.flatten().field(i)) for i in range(3))
+                near[row, side, which] = n
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(best_classes(units, near, now, base), pa.int32())], names=["unit", "choice"])
 
-        near = _neighbours(pairs, of, turn % 2, classes, fixed)
-        moved = near.mapInArrow(choose, "unit int, choice int").collect()  # one row per unit, a bounded number
-        for r in moved:
+        own = near.where(F.col("unit").between(0, size - 1) & (F.col("unit") % 2 == turn % 2) & (F.col("unit") != LAST)).groupBy(
+            "unit").agg(F.collect_list(F.struct("side", "class", "n")).alias("near"))
+        before = of.copy()
+        for r in own.mapInArrow(choose, "unit int, choice int").collect():  # one row per unit, a bounded number
             of[r.unit] = r.choice
-        table = _transitions(pairs, of, classes)
-    return of, table
+        scratch.drop(f"near{turn}")
+        moved = int((of != before).sum())
+        if moved + last < rare * size:
+            break
+        last = moved
+    return of, _table(_neighbours(pairs, of, classes, only_table=True), classes)
 
 
 def fit(
-    docs: DataFrame, units: int = 16_384, endings: int = 2_048, classes: int = 48, rounds: int = 8, folds: int = 5,
+    docs: DataFrame, units: int = 16_384, endings: int = 2_048, classes: int = 48, rounds: int = 12, folds: int = 5,
     held_out: int = 1,
 ) -> tuple[Model, DataFrame]:
     """Model and word counts, learnt from the documents outside the held-out fold.
@@ -267,54 +322,55 @@ def fit(
     ``units`` most frequent words are units of their own, ``endings`` most frequent endings
     stand for the others, and one unit for what has neither. Counts cover all training rows.
     """
-    train = docs.where(fold(F.col("doc_id"), folds) != held_out)
+    train = docs.where(fold(F.col("doc_id"), folds) != held_out).select(F.col("text").cast("string").alias("text"))
     counts = saved(word_counts(train))
+    ends = train.count()
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    tokens, distinct = int(total.n or 0), int(total.v)
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(units).collect()
-    ends = counts.where(F.col("word") == F.lit(END)).first()
-    single = {bytes(r.word): int(r.n) for r in top}
-
-    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: Counter = Counter()
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word != END and word not in single:
-                    found[ending(word)] += n
-            yield _counted(found)
-
-    rare = (counts.mapInArrow(shapes, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "word").limit(endings).collect())
-    names = [b"\t", END, *single, *(bytes(r.word) for r in rare)]
-    at = {name: i for i, name in enumerate(names)}
-    known = np.zeros(len(names), dtype=np.int64)
-    for name, n in single.items():
-        known[at[name]] = n
-    known[1] = int(ends.n) if ends else 0
-    pairs = saved(_unit_pairs(train, at))
-    of, table = exchange(pairs, len(names), classes, rounds, fixed=1)
+    tokens, distinct = int(total.n or 0) + ends, int(total.v) + (ends > 0)
+    order = [F.desc("n"), F.col("word")]
+    top = counts.orderBy(*order).limit(units).select("word", "n").collect()
+    least = (-top[-1].n, top[-1].word) if len(top) == units else None
+    rare = counts.where("false") if least is None else counts.where((F.col("n") < -least[0]) | ((F.col("n") == -least[0]) & (F.col("word") > least[1])))
+    shapes = rare.groupBy("ending").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ending").limit(endings).select("ending").collect()
+
+    def sorted_units(names, first):
+        names = np.array(names, dtype=np.int64).view(_U)
+        by = np.argsort(names)
+        return names[by], first + by
+
+    known = np.zeros(2 + len(top) + len(shapes), dtype=np.int64)
+    known[LAST] = ends
+    known[2 : 2 + len(top)] = [r.n for r in top]
+    model = Model(
+        *sorted_units([r.word for r in top], 2), *sorted_units([r.ending for r in shapes], 2 + len(top)), known,
+        np.zeros(len(known), dtype=np.int64), np.zeros((classes, classes)), np.zeros(classes), tokens, distinct)
+    pairs = saved(_unit_pairs(train, model))
+    model.classes, table = exchange(pairs, len(known), classes, rounds)
     # Tokens and distinct words per class; a class keeps half a count for all its unseen words.
     sizes = np.zeros((2, classes))
-    shared = docs.sparkSession.sparkContext.broadcast((at, of))
+    sizes[:, 0] = ends, ends > 0
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units_now, of_now = shared.value
-        lookup = _Units(units_now)
+        m = shared.value
         for batch in batches:
-            classes_now = of_now[lookup(batch.column(0).to_pylist())]
-            n = np.bincount(classes_now, weights=np.asarray(batch.column(1)), minlength=classes).astype(np.int64)
-            v = np.bincount(classes_now, minlength=classes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(classes), pa.int32()), pa.array(n), pa.array(v, pa.int64())], names=["class", "n", "v"])
+            word, ending, n = (np.asarray(batch.column(i)) for i in range(3))
+            unit = _looked_up(m.names, m.units, word.view(_U), -1)
+            unit = np.where(unit < 0, _looked_up(m.ending_names, m.ending_units, ending.view(_U), OTHER), unit)
+            now = m.classes[unit]
+            sums = np.bincount(now, weights=n, minlength=classes).astype(np.int64)
+            yield pa.record_batch({
+                "class": pa.array(np.arange(classes, dtype=np.int32)), "n": pa.array(sums),
+                "v": pa.array(np.bincount(now, minlength=classes).astype(np.int64))})
 
     for r in counts.mapInArrow(by_class, "class int, n bigint, v bigint").groupBy("class").agg(
             F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        sizes[:, r["class"]] = r.n, r.v
+        sizes[:, r["class"]] += r.n, r.v
     # Transitions: interpolation with the classes' own shares, so no step has probability 0.
     share = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * classes)
-    step = (table + 8 * share) / (table.sum(axis=1, keepdims=True) + 8)
-    emit = np.log10(sizes[0] + 0.5 * (sizes[1] + 1))
-    return Model(at, known, of, np.log10(step), emit, tokens, distinct), counts
+    model.step = np.log10((table + 8 * share) / (table.sum(axis=1, keepdims=True) + 8))
+    model.emit = np.log10(sizes[0] + 0.5 * (sizes[1] + 1))
+    return model, counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -323,42 +379,41 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     Null and empty texts are one end. Every row gives a row, repeated rows and null ids
     too; other columns are ignored; without training tokens n_known is 0.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    held = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                      ("logs", pa.float64()), ("path", pa.float64()), ("word", pa.list_(pa.int64())), ("n", pa.list_(pa.int32()))])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        of = _Units(m.units)
-        end = m.units[END]
         log_known = np.log10(m.known + 0.5)
-        for batch in small_batches(batches):
-            rows = []
-            for row, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = words_of(text)
-                at = np.append(of(words), end)
-                c = np.concatenate([[m.classes[end]], m.classes[at]])
-                path = m.step[c[:-1], c[1:]].sum() - m.emit[c[1:]].sum()
-                # Words that are no unit of their own count as unseen until the join below.
-                single = m.known[at] > 0
-                rest = Counter([w for w, s in zip(words, single.tolist()) if not s])
-                logs = log_known[at].sum()  # log10(0.5) for a unit of many words
-                rows.append((row, doc_id, len(at), int(single.sum()), float(logs), float(path),
-                             [word_key(w) for w in rest] or None, list(rest.values()) or None))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*rows), held)], schema=held)
+        for batch in byte_slices(batches, "text", SLICE):
+            tokens = _Tokens(batch.column("text"))
+            units, row = _sequence(m.of(tokens), tokens)
+            c, at = m.classes[units], units[1:]
+            summed = lambda values: np.bincount(row, weights=values, minlength=tokens.rows)
+            # Words that are no unit of their own count as unseen until the join below.
+            single = m.known[at] > 0
+            word = at != LAST
+            rest = np.flatnonzero(~single[word])
+            rows = tokens.row[rest]
+            once, first, n = np.unique(pair(tokens.name[rest], rows.astype(_U)), return_index=True, return_counts=True)
+            by = np.argsort(rows[first], kind="stable")
+            lists = np.searchsorted(rows[first][by], np.arange(tokens.rows + 1)).astype(np.int32)
+            listed = lambda values: pa.ListArray.from_arrays(pa.array(lists), values)
+            yield pa.record_batch({
+                "row": batch.column("row"), "doc_id": batch.column("doc_id"),
+                "n_tokens": pa.array(np.bincount(row, minlength=tokens.rows).astype(np.int64)),
+                "n_known": pa.array(summed(single).astype(np.int64)), "logs": pa.array(summed(log_known[at])),
+                "path": pa.array(summed(m.step[c[:-1], c[1:]] - m.emit[c[1:]])),
+                "word": listed(signed(tokens.name[rest][first][by])), "n": listed(pa.array(n[by].astype(np.int32)))})
 
     schema = ("row bigint, doc_id bigint, n_tokens bigint, n_known bigint, logs double, path double, "
               "word array<bigint>, n array<int>")
-    numbered = _texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    numbered = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = saved(numbered.mapInArrow(run, schema))
     # The rare words of all documents meet the counts; a word's rows are few by then.
-    asked = parts.where("word IS NOT NULL").select("row", F.explode(F.arrays_zip("word", "n")).alias("x")).select(
-        "row", "x.word", "x.n")
-    keyed = counts.mapInArrow(_keys, "word bigint, known bigint")
+    asked = parts.select("row", F.explode(F.arrays_zip("word", "n")).alias("x")).select("row", "x.word", "x.n")
     half = math.log10(0.5)
-    looked = asked.join(keyed, "word").groupBy("row").agg(
+    looked = asked.join(counts.select("word", F.col("n").alias("known")), "word").groupBy("row").agg(
         F.sum(F.col("n") * (F.log10(F.col("known") + 0.5) - half)).alias("more"), F.sum("n").alias("found"))
     all_logs = F.col("logs") + F.coalesce("more", F.lit(0.0))
     base = math.log10(model.tokens + 0.5 * (model.distinct + 1))
@@ -366,9 +421,3 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         (all_logs - F.col("n_tokens") * base).alias("base_score"), (all_logs + F.col("path")).alias("score"))
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = [word_key(w) for w in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), batch.column(1)], names=["word", "known"])

@@ -29,7 +29,7 @@ def base(docs):
 
 def class_score(words, model, counts):
     """The model's score token by token."""
-    out, last = 0.0, model.classes[model.units[B.END]]
+    out, last = 0.0, model.classes[B.LAST]
     for w in [*words, B.END]:
         c = model.classes[model.unit(w)]
         out += model.step[last, c] + math.log10(counts[w] + 0.5) - model.emit[c]
@@ -56,8 +56,11 @@ def test_probabilities_add_up(spark):
     docs = H.table(spark, [(i, f"a b c{i % 4} d. e{i % 9}") for i in range(60)])
     model, counts = B.fit(docs, units=6, endings=3, classes=4, rounds=3)
     assert (10**model.step).sum(axis=1) == pytest.approx(np.ones(4))
+    texts = [(i, f"a b c{i % 4} d. e{i % 9}") for i in range(60)]
+    _, exact = base(texts)
+    assert sorted(n for w, n in exact.items() if w != B.END) == sorted(r.n for r in counts.collect())
     for c in range(4):
-        inside = [r.n for r in counts.collect() if model.classes[model.unit(bytes(r.word))] == c]
+        inside = [n for w, n in exact.items() if model.classes[model.unit(w)] == c]
         assert (sum(inside) + 0.5 * len(inside) + 0.5) / 10**model.emit[c] == pytest.approx(1.0)
 
 
@@ -118,3 +121,21 @@ def test_odd_documents(spark):
     empty, none = B.fit(docs.limit(0), units=4, endings=2, classes=4, rounds=1)
     assert {(r.n_known, r.train_tokens) for r in B.score(docs, empty, none).collect()} == {(0, 0)}
     assert B.score(docs.limit(0), model, counts).count() == 0
+
+
+def test_endings_of_words():
+    """Shapes of rare words: outer signs, letters, digits, other bytes, very short and empty cores."""
+    import pyarrow as pa
+
+    cases = ["walking", "talking,", "(singing)", "123", "45", "a-b", "ünder", "--", "x", "yx", "...q", "ing", "12ing", "baking."]
+    tokens = B._Tokens(pa.array([" ".join(cases)]))
+    shape = dict(zip(cases, tokens.endings(np.arange(len(cases))).tolist()))
+
+    def plain(word):
+        core = word.strip(".,;:!?*#$%&|\"'()[]-").encode()
+        kind = "u" if core and max(core) > 127 else "a" if core.isalpha() else "d" if core.isdigit() else "x"
+        return core[-2:], kind, core != word.encode()
+
+    for a in cases:
+        for b in cases:
+            assert (shape[a] == shape[b]) == (plain(a) == plain(b)), (a, b)
