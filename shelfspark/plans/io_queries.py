@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfspark.operators import catalog as C
 from shelfspark.operators import changes as X
 from shelfspark.operators import monitoring as O
+from shelfspark.operators import registry as R
 from shelfspark.plans import change_queries, monitoring_queries
 from shelfspark.plans.monitoring_queries import _CHECKED, _RAISED
 from shelfspark.plans.registry import query
@@ -17,6 +18,7 @@ from shelfspark.plans.views import Views
 from shelfspark.session import shared_dir
 from shelfspark.sources import readers as RD
 from shelfspark.sources import sinks as SK
+from shelfspark.sources import tables as TB
 from shelfspark.streaming import jobs as J
 from shelfspark.streaming import keyed as K
 
@@ -128,6 +130,60 @@ def _(v):
     return RD.read_table(v.spark, path).groupBy(F.col("run_id").cast("string").alias("run_id")).agg(F.count(F.lit(1)).alias("observations"))
 
 
+@query(
+    "IO12_url_checks_stored",
+    """WITH c AS (SELECT url_id, CASE failure_count WHEN 0 THEN 'success' WHEN 1 THEN 'failed' WHEN 2 THEN 'inconclusive' END AS r FROM existing_urls_v)
+       SELECT o.url_id, CASE WHEN r = 'success' AND status <> 'disabled' THEN 'active' WHEN r = 'failed' THEN 'broken' ELSE status END AS status,
+              CASE WHEN r = 'success' THEN 0 WHEN r = 'failed' THEN failure_count + 1 ELSE failure_count END AS failure_count,
+              CASE WHEN r IN ('failed', 'inconclusive') THEN 'HTTP ' || r END AS last_error
+       FROM existing_urls_v o JOIN c USING (url_id)""",
+)
+def _(v):
+    """The registry as a stored table, checked by one merge that is called twice."""
+    urls = v.existing_urls_v.select("url_id", "status", "failure_count", F.lit(None).cast("string").alias("last_error"))
+    table = TB.KeyedTable.create(urls, fresh_dir(v, "urls"), ["url_id"], parts=16)
+    result = F.element_at(F.array(F.lit("success"), F.lit("failed"), F.lit("inconclusive"), F.lit(None)), (F.col("failure_count") + 1).cast("int"))
+    checks = v.existing_urls_v.select("url_id", result.alias("result"), F.concat(F.lit("HTTP "), result).alias("message"))
+    for _ in range(2):
+        table.merge("checks", checks, R.apply_url_checks)
+    return table.read()
+
+
+@query(
+    "IO12_imported_urls_stored",
+    """SELECT coalesce(o.product_id, n.product_id) AS product_id, coalesce(o.url_normalized, n.url_normalized) AS url_normalized,
+          CASE WHEN o.url IS NULL THEN n.status WHEN n.url IS NULL OR o.status = 'disabled' THEN o.status
+               WHEN o.status = 'broken' AND n.status = 'active' AND n.last_success_at IS NOT NULL THEN 'active'
+               WHEN o.status = 'needs_review' AND n.status = 'active' THEN 'active'
+               WHEN o.status NOT IN ('active', 'broken', 'redirected') THEN n.status ELSE o.status END AS status,
+          strftime(greatest(o.last_seen_at, n.last_seen_at), '%Y-%m-%d') AS last_seen_at
+       FROM existing_urls_v o FULL OUTER JOIN imported_urls_v n ON n.product_id = o.product_id AND n.url_normalized = o.url_normalized""",
+)
+def _(v):
+    """The registry as a stored table after an import, whose second run changes nothing."""
+    fields = ["product_id", "url_normalized", *R.MERGE_FIELDS]
+    kept = dict.fromkeys(fields)  # a key may be a merged field too
+    table = TB.KeyedTable.create(v.existing_urls_v.select(*kept), fresh_dir(v, "urls"), ["product_id", "url_normalized"], parts=16)
+    for run in ("import", "the same import again"):
+        table.merge(run, v.imported_urls_v.select(*kept), R.merge_imported_urls)
+    return table.read().select("product_id", "url_normalized", "status", F.date_format("last_seen_at", "yyyy-MM-dd").alias("last_seen_at"))
+
+
+@query(
+    "IO12_ignored_models_stored",
+    """WITH old AS (SELECT model, arg_max(name, seq) AS name, arg_max(reason, seq) AS reason FROM ignored_raw_v GROUP BY model),
+       new AS (SELECT model, name, 'manual ignore' AS reason FROM catalog_v WHERE status <> 1 AND is_atomic_model)
+       SELECT model, name, reason FROM new UNION ALL SELECT model, name, reason FROM old WHERE model NOT IN (SELECT model FROM new)""",
+)
+def _(v):
+    """The ignore list as a stored table after an upsert."""
+    old = C.last_per_model(v.ignored_raw_v, "seq").select("model", "name", "reason")
+    table = TB.KeyedTable.create(old, fresh_dir(v, "ignored"), ["model"], parts=16)
+    new = v.catalog_v.where("status <> 1 AND is_atomic_model").select("model", "name", F.lit("manual ignore").alias("reason"))
+    table.merge("manual", new, C.upsert_by_model)
+    return table.read()
+
+
 @query(
     "IO13_price_update_csv",
     "WITH " + _CHECKED + """SELECT model, cast(target_price AS varchar) AS price FROM ap
