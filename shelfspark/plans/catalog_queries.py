@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfspark.operators import catalog as C
+from shelfspark.operators import paging as PG
 from shelfspark.plans.registry import query
 from shelfspark.plans.views import VIEWS, spark_view
 
@@ -300,6 +301,26 @@ def _(v):
     return C.catalog_page(filtered, 3, 25, "price").select("product_id", "name", "price")
 
 
+@query(
+    "S2_catalog_deep_page",
+    _PAGE_SQL + "ORDER BY price ASC NULLS LAST, product_id LIMIT 25 OFFSET 1000",
+)
+def _(v):
+    """Page 41, of which only the ranges that hold it are read."""
+    active = _active(v).select("product_id", "name", "price")
+    return PG.PagedResult(active, C.catalog_order("price")).page(41, 25)
+
+
+@query(
+    "S1_last_page_desc",
+    _PAGE_SQL + "ORDER BY lower(name) DESC NULLS FIRST, product_id LIMIT 30 OFFSET greatest(0, (SELECT count(*) FROM catalog_v WHERE active) - 30)",
+)
+def _(v):
+    """The end of the list by name, descending."""
+    listed = PG.PagedResult(_active(v).select("product_id", "name", "price"), C.catalog_order("name", descending=True))
+    return listed.slice(max(0, listed.total - 30), 30)
+
+
 @query(
     "S2_catalog_page_totals",
     """SELECT count(*) AS total, count(*) FILTER (mpn <> '' AND market_b_status = 1)

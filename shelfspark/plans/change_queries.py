@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfspark.operators import changes as X
+from shelfspark.operators import snapshots as SN
 from shelfspark.operators.skew import multiset_hash
 from shelfspark.plans.registry import query
 from shelfspark.plans.views import VIEWS
+from shelfspark.session import shared_dir
 
 # What a candidate run proposes for the exported catalog.
 VIEWS["proposed_v"] = """
@@ -270,6 +274,28 @@ def _(v):
     return X.verify_snapshot(v.export_after_v.select("model", "name", "manufacturer"), stored)
 
 
+@query(
+    "D37_verify_stored_snapshot",
+    """SELECT coalesce(a.model, b.model) AS model, CASE WHEN b.model IS NULL THEN 'added' WHEN a.model IS NULL THEN 'removed' WHEN a.name = b.name AND a.manufacturer = b.manufacturer THEN 'same' ELSE 'changed' END AS state
+       FROM export_after_v a FULL OUTER JOIN export_v b ON b.model = a.model""",
+)
+def _(v):
+    """The stored snapshot, of which only the leaves that differ are read."""
+    path = f"{shared_dir(v.spark)}/shelfspark-snapshot-{uuid.uuid4().hex}"
+    SN.store_snapshot(v.export_v.select("model", "name", "manufacturer"), path)
+    return SN.verify_stored(v.export_after_v.select("model", "name", "manufacturer"), path)
+
+
+@query(
+    "A37_stored_root",
+    "SELECT count(*) AS row_count FROM export_v",
+)
+def _(v):
+    path = f"{shared_dir(v.spark)}/shelfspark-snapshot-{uuid.uuid4().hex}"
+    SN.store_snapshot(v.export_v.select("model", "name", "manufacturer"), path)
+    return SN.stored_root(v.spark, path).select("row_count")
+
+
 @query(
     "D37_field_inventory",
     "SELECT 'mpn' AS field, count(*) FILTER (mpn <> '') AS filled, count(*) AS rows FROM export_v UNION ALL SELECT 'price', count(*) FILTER (price <> ''), count(*) FROM export_v",

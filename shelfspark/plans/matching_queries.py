@@ -8,6 +8,7 @@ from shelfspark.functions import html as H
 from shelfspark.functions import urls as U
 from shelfspark.functions.text import HTML_ENTITIES
 from shelfspark.operators import matching as K
+from shelfspark.operators import paging as PG
 from shelfspark.plans.registry import query
 from shelfspark.plans.registry_queries import norm_sql
 from shelfspark.plans.views import VIEWS
@@ -531,6 +532,16 @@ def _(v):
     )
 
 
+@query(
+    "S7_candidates_deep",
+    "SELECT candidate_id, strftime(created_at, '%Y-%m-%d') AS day FROM candidates_v ORDER BY created_at DESC, candidate_id DESC LIMIT 50 OFFSET 15000",
+)
+def _(v):
+    """Candidates from place 15,000 on, newest first; only the ranges that hold them are read."""
+    listed = PG.PagedResult(v.candidates_v.select("candidate_id", "created_at"), [F.desc("created_at"), F.desc("candidate_id")])
+    return listed.slice(15_000, 50).select("candidate_id", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+
+
 @query(
     "A16_run_summary",
     "SELECT source_name, count(*) AS candidates, " + ", ".join(

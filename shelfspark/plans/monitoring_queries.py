@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import money as M
 from shelfspark.operators import listings as L
 from shelfspark.operators import monitoring as O
+from shelfspark.operators import paging as PG
 from shelfspark.operators import pricing as P
 from shelfspark.operators.catalog import CatalogFilter, filter_catalog
 from shelfspark.plans.registry import query
@@ -543,6 +544,16 @@ def _(v):
     return O.newest_first(v.observations_v, 100, 20).select("observation_id", "created_at")
 
 
+@query(
+    "S3_observations_deep",
+    "SELECT observation_id, created_at FROM observations_v ORDER BY created_at DESC, observation_id DESC LIMIT 100 OFFSET 20000",
+)
+def _(v):
+    """Observations from place 20,000 on, newest first; only the ranges that hold them are read."""
+    listed = PG.PagedResult(v.observations_v.select("observation_id", "created_at"), [F.desc("created_at"), F.desc("observation_id")])
+    return listed.slice(20_000, 100)
+
+
 @query(
     "S4_price_history",
     """SELECT observation_id, created_at, cast(competitor_price AS double) AS competitor_price FROM observations_v

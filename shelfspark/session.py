@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Runtime SQL settings. Hot join keys are split by the adaptive skew join, also when
 # the split costs one more shuffle downstream.
@@ -47,6 +48,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, part: str) -> DataFrame:
+    """``df`` written to the shared folder, one folder for each value of the integer column ``part``, and read back."""
+    path = f"{shared_dir(df.sparkSession)}/shelfspark-{uuid.uuid4().hex}"
+    df.write.partitionBy(part).parquet(path)
+    # Partition columns come last when a table is read.
+    fields = [f for f in df.schema.fields if f.name != part] + [df.schema[part]]
+    return df.sparkSession.read.schema(StructType(fields)).parquet(path)
+
+
 def local_session(app: str = "shelfspark", cpus: str | int | None = None) -> SparkSession:
     """Single-machine session for tests and the bench."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
