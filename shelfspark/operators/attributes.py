@@ -12,7 +12,7 @@ from shelfspark.functions.common import bind, empty_texts
 from shelfspark.functions.text import (
     label_key, match_key, normalize_spaces, null_dashes, trim_text, words,
 )
-from shelfspark.functions.values import phrases_of, value_alias_keys
+from shelfspark.functions.values import value_alias_keys
 from shelfspark.operators.catalog import labels
 from shelfspark.operators.skew import first_row, last_row, top_rows
 
@@ -542,13 +542,14 @@ def resolve_filter_values(
     before one with the same key.
     """
     spelled = values.withColumn("_names", F.concat(F.array("value"), F.coalesce("aliases", empty_texts())))
-    # Phrases are as long as the longest key of a name, which may have more words than the name.
-    key_words = F.array_max(F.transform(value_alias_keys(F.col("_name")), lambda k: F.size(words(k))))
-    listed = spelled.select("group_id", "status", F.explode("_names").alias("_name")).groupBy("group_id").agg(
-        F.max(F.col("status") != "inactive").alias("_has_allowed"), F.max(key_words).alias("_most"))
+    # Groups and whether they list a value that may be used: both go by group id, so one grouping serves them.
+    fields = F.struct("category_id", "group_name", "required", F.col("status").alias("group_status"))
+    known = groups.select("group_id", fields.alias("g"), F.lit(None).cast("boolean").alias("allowed")).unionByName(
+        spelled.select("group_id", F.lit(None).alias("g"), (F.col("status") != "inactive").alias("allowed")))
+    listed = known.groupBy("group_id").agg(F.collect_list("g").alias("g"), F.max("allowed").alias("_has_allowed")).select(
+        "group_id", F.explode("g").alias("g"), "_has_allowed")
     asked = products.join(
-        groups.select(F.col("category_id").alias("filter_category_id"), "group_id", "group_name", "required",
-                      F.col("status").alias("group_status")).join(listed, "group_id", "left"),
+        listed.select(F.col("g.category_id").alias("filter_category_id"), "group_id", "g.group_name", "g.required", "g.group_status", "_has_allowed"),
         "filter_category_id",
     )
     facts = evidence.withColumn("_value", null_dashes(F.col("value"))).where(
@@ -571,7 +572,7 @@ def resolve_filter_values(
     )
     usable_hit = F.col("_value").isNotNull() & ((F.col("group_status") != "inactive") | (F.col("kind") == "approved_review"))
     last = F.lit(len(EVIDENCE_TIERS) + 99)
-    own = ["group_name", "group_status", "required", "_has_allowed", "_most"]
+    own = ["group_name", "group_status", "required", "_has_allowed"]
     found = first_row(
         hits.select(
             "product_id", "group_id", *own, F.when(usable_hit, place).alias("_place"), F.when(usable_hit, F.col("_tier")).alias("_tier"),
@@ -599,28 +600,37 @@ def _canonical_values(found: DataFrame, spelled: DataFrame, carry: list[str]) ->
     """Found values in the spelling of the filter map, with the status they have there.
 
     An equal alias key decides; else the one listed value whose key stands as a phrase in the
-    found text. Keys and phrases, no longer than the group's longest alias key, meet the map in
-    one equality join.
+    found text. In one equality join the keys of a text meet equal keys, and each of its words
+    meets the keys that begin with it; the words behind it then tell whether the key goes on
+    like the text. So a text gives as many rows as its keys have words, however long keys are.
     """
     keys = (
         spelled.select("group_id", F.struct(F.col("value").alias("name"), "status").alias("canonical"), F.posexplode("_names").alias("_n", "_name"))
         .select("group_id", "canonical", "_n", F.explode(value_alias_keys(F.col("_name"))).alias("_key"))
     )
     owner = first_row(keys, ["group_id", "_key"], [F.col("_n"), F.col("canonical")], ["canonical"])
-    own = value_alias_keys(F.col("_value"))
-    asked = found.withColumn("_keys", F.coalesce(own, empty_texts()))
-    phrases = F.array_distinct(F.flatten(F.transform("_keys", lambda k: phrases_of(k, F.coalesce("_most", F.lit(0))))))
-    tries = F.concat(
-        F.transform("_keys", lambda k, i: F.struct(i.alias("pos"), k.alias("key"))),
-        F.transform(F.filter(phrases, lambda k: F.length(k) > 2), lambda k: F.struct(F.lit(None).cast("int").alias("pos"), k.alias("key"))),
-    )
-    rows = asked.select("product_id", "group_id", *carry, "_value", F.explode_outer(tries).alias("_t")).withColumns(
-        {"_pos": F.col("_t.pos"), "_key": F.col("_t.key")})
-    met = rows.join(owner, ["group_id", "_key"], "left")
-    phrase = F.when(F.col("_pos").isNull(), F.col("canonical"))
+    none = empty_texts()
+    probe = lambda kind, text, own: F.struct(F.lit(kind).alias("kind"), text.alias("text"), own.alias("own"))
+    of_key = bind(words(F.col("_key")), lambda w: F.array(
+        probe("key", F.col("_key"), none), probe("word", F.when(F.length("_key") > 2, F.get(w, F.lit(0))), w)))
+    probes = owner.select("group_id", "canonical", F.explode(of_key).alias("p")).where("p.text IS NOT NULL").select(
+        "group_id", "canonical", "p.*")
+
+    asked = found.withColumn("_keys", F.coalesce(value_alias_keys(F.col("_value")), none))
+    ask = lambda pos, kind, text, rest: F.struct(
+        pos.alias("pos"), F.lit(kind).alias("kind"), text.alias("text"), rest.alias("rest"))
+    no_place = F.lit(None).cast("int")
+    by_word = F.flatten(F.transform("_keys", lambda k: bind(words(k), lambda w: F.transform(
+        w, lambda t, i: ask(no_place, "word", t, F.slice(w, i + 1, F.size(w)))))))
+    tries = F.concat(F.transform("_keys", lambda k, i: ask(i, "key", k, none)), F.array_distinct(by_word))
+    rows = asked.select("product_id", "group_id", *carry, "_value", F.explode_outer(tries).alias("_t")).select(
+        "product_id", "group_id", *carry, "_value", "_t.*")
+    met = rows.join(probes, ["group_id", "kind", "text"], "left").withColumn(
+        "canonical", F.when((F.col("kind") == "key") | (F.slice("rest", 1, F.size("own")) == F.col("own")), F.col("canonical")))
+    phrase = F.when(F.col("pos").isNull(), F.col("canonical"))
     best = met.groupBy("product_id", "group_id").agg(
         *[F.min(c).alias(c) for c in [*carry, "_value"]],
-        F.min(F.when(F.col("canonical").isNotNull() & F.col("_pos").isNotNull(), F.struct("_pos", "canonical"))).alias("_equal"),
+        F.min(F.when(F.col("canonical").isNotNull() & F.col("pos").isNotNull(), F.struct("pos", "canonical"))).alias("_equal"),
         F.min(phrase).alias("_low"), F.max(phrase).alias("_high"),
     )
     chosen = F.coalesce("_equal.canonical", F.when(F.col("_low.name") == F.col("_high.name"), F.col("_low")))

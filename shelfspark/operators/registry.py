@@ -17,6 +17,7 @@ from shelfspark.functions.urls import (
 )
 from shelfspark.operators.catalog import URL_STATUSES, labels
 from shelfspark.operators.skew import first_row, last_row
+from shelfspark.session import written
 
 URL_TYPES = ["manual", "imported", "discovered"]
 # Trust levels whose URLs are captured with full confidence.
@@ -204,7 +205,8 @@ def import_report(evidence: DataFrame, existing: DataFrame, order: Sequence[str]
         .when(F.col("resolved_id").isNull(), "unresolved_identity")
         .when(F.col("url_error").isNotNull(), "invalid_url")
     )
-    judged = evidence.withColumn("skip", reason)
+    # Worked out once: the first of each pair and the report both come from it.
+    judged = written(evidence.withColumn("skip", reason))
     keys = ["resolved_id", "url_normalized"]
     usable = judged.where(F.col("skip").isNull())
     firsts = usable.groupBy(*keys).agg(F.min(F.struct(*order)).alias("least"))

@@ -417,3 +417,16 @@ def test_filter_values_found_by_keys_longer_than_the_listed_names(spark):
         "product_id int, kind string, label string, value string, seq int")
     got = rows(A.resolve_filter_values(products, groups, values, evidence), "group_id", "resolved_value", "outside_allowed")
     assert got == [(g, v, False) for g, (v, _) in sorted(cases.items())]
+
+
+def test_filter_values_found_as_phrases_inside_a_text(spark):
+    """One listed name inside the text decides, two leave it open; part of a word is no phrase."""
+    cases = {"a": "very dark blue frame", "b": "dark blue or steel", "c": "steelwork", "d": "dark and blue", "e": "Dark Blue"}
+    products = spark.createDataFrame([(i, "c") for i in range(len(cases))], "product_id int, filter_category_id string")
+    groups = spark.createDataFrame([("c", "g", "Finish", False, "active")], "category_id string, group_id string, group_name string, required boolean, status string")
+    values = spark.createDataFrame(
+        [("g", "Dark blue", "active", []), ("g", "Steel", "active", ["inox"])], "group_id string, value string, status string, aliases array<string>")
+    evidence = spark.createDataFrame(
+        [(i, "source", "Finish", t, 1) for i, t in enumerate(cases.values())], "product_id int, kind string, label string, value string, seq int")
+    got = rows(A.resolve_filter_values(products, groups, values, evidence), "product_id", "resolved_value", "outside_allowed")
+    assert got == [(0, "Dark blue", False), (1, "dark blue or steel", True), (2, "steelwork", True), (3, "dark and blue", True), (4, "Dark blue", False)]
