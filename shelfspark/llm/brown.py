@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.arrays import byte_slices, pair, raw, row_of, signed, word_names, words
-from shelfspark.llm.common import Scratch, fold, saved
+from shelfspark.llm.common import Scratch, fold, saved, small_batches
 
 _U = np.uint64
 END = b"\n"  # no word holds it
-HELD = 1 << 20  # distinct words or pairs a task gathers before it hands them on
-SLICE = 1 << 21  # bytes of text looked at in one go
+HELD = 1 << 19  # distinct words or pairs a task gathers before it hands them on
+SLICE = 1 << 20  # bytes of text looked at in one go
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -160,9 +160,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
             if sum(len(h[0]) for h in held) > HELD:
                 held = [_summed(held)]
                 if len(held[0][0]) > HELD // 2:
-                    yield handed(*held.pop())
+                    yield from small_batches([handed(*held.pop())], 1 << 16)
         if held:
-            yield handed(*_summed(held))
+            yield from small_batches([handed(*_summed(held))], 1 << 16)
 
     parts = docs.select("text").mapInArrow(run, "word bigint, ending bigint, n bigint")
     return parts.groupBy("word", "ending").agg(F.sum("n").alias("n"))
@@ -187,9 +187,9 @@ def _unit_pairs(docs: DataFrame, model: Model) -> DataFrame:
             if sum(len(h[0]) for h in held) > HELD:
                 held = [_summed(held)]
                 if len(held[0][0]) > HELD // 2:
-                    yield handed(*held.pop())
+                    yield from small_batches([handed(*held.pop())], 1 << 16)
         if held:
-            yield handed(*_summed(held))
+            yield from small_batches([handed(*_summed(held))], 1 << 16)
 
     parts = docs.select("text").mapInArrow(run, "left int, right int, n bigint")
     return parts.groupBy("left", "right").agg(F.sum("n").alias("n"))

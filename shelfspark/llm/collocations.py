@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm.arrays import byte_slices, pair, raw, row_of, signed, word_names, words
-from shelfspark.llm.common import Scratch, mix64
+from shelfspark.llm.common import Scratch, mix64, small_batches
 
 _U = np.uint64
 SHARDS = 4
@@ -41,8 +41,8 @@ LONGEST = 4
 LEAST_BITS, MOST_BITS = 1 << 17, 1 << 28
 _SLOT = 1 << 16  # bits of one piece of a filter
 _CHECK = _U(0xD6E8FEB86659FD93)
-_HELD = 1 << 20  # phrases a task holds before it hands them on
-_SLICE = 1 << 21  # bytes of text a task looks at in one go
+_HELD = 1 << 19  # phrases a task holds before it hands them on
+_SLICE = 1 << 20  # bytes of text a task looks at in one go
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -180,9 +180,9 @@ def _counted(texts: DataFrame, shards: int, filters: list[Bloom], sizes: tuple[i
             if sum(len(h[0]) for h in held) > _HELD:
                 held = [merged()]
                 if len(held[0][0]) > _HELD // 2:
-                    yield handed(*held.pop())
+                    yield from small_batches([handed(*held.pop())], 1 << 16)
         if held:
-            yield handed(*merged())
+            yield from small_batches([handed(*merged())], 1 << 16)
 
     return texts.mapInArrow(run, "lang_key bigint, name bigint, check int, shard int, part int, n bigint")
 
