@@ -393,6 +393,54 @@ def _(v):
     return Q.asset_checks(assets, texts).select("model", "check", "status")
 
 
+@query(
+    "D29_artifact_profile",
+    """WITH k AS (SELECT *, model::int AS n FROM export_v),
+       c AS (SELECT model, n, unnest(['identity.internal_model_present', 'identity.brand_present_phase3', 'identity.mpn_present', 'identity.mpn_verified',
+            'identity.mpn_not_internal_code', 'identity.mpn_scope_valid', 'identity.complete_set_preserved', 'identity.component_models_preserved',
+            'identity.no_component_set_conflict', 'identity.consistent_across_outputs', 'identity.provenance_present', 'structured_data.product_json_valid',
+            'structured_data.schema_type_product', 'structured_data.name_present', 'structured_data.brand_matches', 'structured_data.sku_matches_internal_model',
+            'structured_data.mpn_matches_verified_identity', 'structured_data.url_matches_canonical', 'structured_data.images_present',
+            'structured_data.offer_consistent', 'structured_data.forbidden_identifier_fields_absent', 'feed.feed_json_valid', 'feed.id_matches_internal_model',
+            'feed.brand_matches', 'feed.mpn_matches_verified_identity', 'feed.identifier_mode_mpn_only', 'feed.price_and_availability_consistent',
+            'feed.forbidden_identifier_fields_absent']) AS c FROM k),
+       b AS (SELECT *, CASE c WHEN 'identity.mpn_present' THEN n % 5 = 0 WHEN 'identity.mpn_verified' THEN n % 3 = 0 WHEN 'identity.mpn_scope_valid' THEN n % 7 = 0
+            WHEN 'identity.consistent_across_outputs' THEN n % 11 = 0 AND n % 5 <> 0 WHEN 'structured_data.product_json_valid' THEN n % 13 = 0
+            WHEN 'structured_data.forbidden_identifier_fields_absent' THEN n % 13 = 0 WHEN 'feed.forbidden_identifier_fields_absent' THEN n % 13 = 0
+            WHEN 'feed.feed_json_valid' THEN n % 13 = 0 WHEN 'structured_data.offer_consistent' THEN n % 17 = 0
+            WHEN 'feed.price_and_availability_consistent' THEN n % 19 = 0 ELSE false END AS bad FROM c)
+       SELECT model, c AS "check", CASE WHEN starts_with(c, 'feed.') AND n % 23 = 0 THEN 'not_run' WHEN bad THEN 'fail' ELSE 'pass' END AS status,
+              bad AND NOT (starts_with(c, 'feed.') AND n % 23 = 0) AS blocks_publish FROM b""",
+)
+def _(v):
+    """Every product's identity and documents, some of them with one fault each."""
+    n = F.col("model").cast("int")
+    mpn = F.when(n % 5 == 0, "").otherwise(F.concat(F.lit("KX-"), "model"))
+    state = F.when(n % 3 == 0, "candidate").otherwise("verified")
+    e = v.export_v.select("model", F.col("manufacturer").alias("brand"), "name", "product_url", mpn.alias("mpn"), state.alias("mpn_status"))
+    none = F.lit("")
+    identity = e.select(
+        "model", "brand", "mpn", "mpn_status", F.when(n % 7 == 0, "other").otherwise("single_unit").alias("mpn_scope"),
+        F.array().cast("array<string>").alias("components"), none.alias("primary_model"), none.alias("set_model"), none.alias("series"),
+        F.array().cast("array<string>").alias("warnings"), F.lit("manufacturer").alias("source"))
+    outputs = e.select(
+        "model", F.when(n % 11 == 0, "other").otherwise(F.lower("mpn")).alias("csv_mpn"), "name", none.alias("meta_title"), none.alias("seo_keyword"),
+        "product_url", none.alias("description_heading"))
+    shown = F.when(F.col("mpn_status") == "verified", F.col("mpn"))
+    doc = F.to_json(F.struct(
+        F.lit("Product").alias("@type"), "name", F.struct(F.col("brand").alias("name")).alias("brand"), F.col("model").alias("sku"), shown.alias("mpn"),
+        F.col("product_url").alias("url"), F.array(F.lit("https://img.example.org/1.jpg")).alias("image"),
+        F.when(n % 17 != 0, F.struct(F.lit("Offer").alias("@type"))).alias("offers")))
+    doc = F.when(n % 17 == 0, F.regexp_replace(doc, "[}]$", ',"offers":"none"}')).otherwise(doc)
+    feed = F.to_json(F.struct(
+        F.col("model").alias("id"), "brand", shown.alias("mpn"), F.lit("mpn_only").alias("identifier_mode"),
+        F.struct(F.lit("9.90").alias("value"), F.when(n % 19 == 0, "USD").otherwise("EUR").alias("currency")).alias("price")))
+    artifacts = e.select(
+        "model", doc.alias("structured"), F.when(n % 23 != 0, feed).alias("feed"),
+        F.when(n % 13 == 0, F.array(F.lit("forbidden_identifier:gtin"))).otherwise(F.array().cast("array<string>")).alias("errors"))
+    return Q.artifact_profile(identity, outputs, artifacts).select("model", "check", "status", "blocks_publish")
+
+
 @query(
     "D29_artifact_checks",
     """WITH k AS (SELECT *, unnest(['identity.internal_model_present', 'identity.mpn_present', 'identity.mpn_verified', 'identity.mpn_not_internal_code',

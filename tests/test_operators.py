@@ -430,3 +430,58 @@ def test_filter_values_found_as_phrases_inside_a_text(spark):
         [(i, "source", "Finish", t, 1) for i, t in enumerate(cases.values())], "product_id int, kind string, label string, value string, seq int")
     got = rows(A.resolve_filter_values(products, groups, values, evidence), "product_id", "resolved_value", "outside_allowed")
     assert got == [(0, "Dark blue", False), (1, "dark blue or steel", True), (2, "steelwork", True), (3, "dark and blue", True), (4, "Dark blue", False)]
+
+
+GOOD = {
+    "brand": "Acme", "mpn": "AB-1/CD-2", "mpn_status": "verified", "mpn_scope": "complete_set", "components": ["AB-1", "CD-2"], "primary_model": "AB-1",
+    "set_model": "ab - 1 / cd-2", "series": "Breeze", "warnings": [], "source": "maker", "csv_mpn": "ab-1/cd-2", "name": "Acme AB-1 set",
+    "meta_title": "AB-1 by Acme", "seo_keyword": "acme-ab-1-set", "product_url": "https://x.example/p", "description_heading": "Acme Breeze",
+    "structured": '{"@type":"Product","name":"n","brand":{"name":"ACME"},"sku":"000001","mpn":"AB-1/CD-2","url":"https://x.example/p","image":["i"]}',
+    "feed": '{"id":"000001","brand":"acme","mpn":"ab-1/cd-2","identifier_mode":"mpn_only","price":{"value":"1","currency":"EUR"},"availability":"in_stock"}',
+    "errors": [],
+}
+
+
+def profile(spark, changed, **how):
+    row = {"model": "000001", **GOOD, **changed}
+    kinds = {"components": "array<string>", "warnings": "array<string>", "errors": "array<string>"}
+    schema = ", ".join(f"{k} {kinds.get(k, 'string')}" for k in row)
+    df = spark.createDataFrame([tuple(row.values())], schema)
+    identity = df.select("model", "brand", "mpn", "mpn_status", "mpn_scope", "components", "primary_model", "set_model", "series", "warnings", "source")
+    outputs = df.select("model", "csv_mpn", "name", "meta_title", "seo_keyword", "product_url", "description_heading")
+    found = Q.artifact_profile(identity, outputs, df.select("model", "structured", "feed", "errors"), **how).collect()
+    assert len(found) == 28 and sum(r.weight for r in found) == 20
+    return found
+
+
+@pytest.mark.parametrize("changed, failed", [
+    ({}, set()),
+    ({"mpn": None, "csv_mpn": ""}, {"identity.mpn_present", "identity.complete_set_preserved", "structured_data.mpn_matches_verified_identity", "feed.mpn_matches_verified_identity"}),
+    ({"mpn_status": "conflicting"}, {"identity.mpn_verified", "identity.no_component_set_conflict", "structured_data.mpn_matches_verified_identity", "feed.mpn_matches_verified_identity"}),
+    ({"warnings": ["complete_set_and_component_identifier_conflict"]}, {"identity.no_component_set_conflict"}),
+    ({"components": ["AB-1", " "]}, {"identity.complete_set_preserved", "identity.component_models_preserved"}),
+    ({"mpn_scope": "other"}, {"identity.mpn_scope_valid", "identity.complete_set_preserved"}),
+    ({"seo_keyword": "acme-set"}, {"identity.consistent_across_outputs"}),
+    ({"description_heading": "Acme other"}, {"identity.consistent_across_outputs"}),
+    ({"source": None, "brand": ""}, {"identity.provenance_present", "identity.brand_present_phase3", "identity.consistent_across_outputs", "structured_data.brand_matches", "feed.brand_matches"}),
+    ({"errors": ["forbidden_identifier:gtin"]}, {"structured_data.product_json_valid", "structured_data.forbidden_identifier_fields_absent", "feed.feed_json_valid", "feed.forbidden_identifier_fields_absent"}),
+    ({"errors": ["feed_price"]}, {"feed.feed_json_valid"}),
+    ({"structured": '{"@type":"Thing","name":"","brand":"x","sku":"2","mpn":"z","image":[],"offers":[]}'},
+     {"structured_data." + c for c in ("schema_type_product", "name_present", "brand_matches", "sku_matches_internal_model", "mpn_matches_verified_identity", "url_matches_canonical", "images_present", "offer_consistent")}),
+    ({"feed": '{"id":"2","price":{"value":"1","currency":"USD"},"availability":"soon"}'},
+     {"feed." + c for c in ("id_matches_internal_model", "brand_matches", "mpn_matches_verified_identity", "identifier_mode_mpn_only", "price_and_availability_consistent")}),
+])
+def test_artifact_profile(spark, changed, failed):
+    found = profile(spark, changed)
+    assert {r.check for r in found if r.status == "fail"} == failed
+    assert {r.check for r in found if r.blocks_publish} == failed - set(Q.ARTIFACT_ADVISORY)
+    assert all(r.points == (r.weight if r.status == "pass" else 0) for r in found)
+
+
+def test_artifact_profile_of_missing_and_switched_off_artifacts(spark):
+    found = {r.check: r for r in profile(spark, {"structured": None, "mpn_status": "candidate", "feed": "not json"}, require_verified=False)}
+    assert {r.status for c, r in found.items() if c.startswith("structured")} == {"not_run"}
+    assert found["feed.feed_json_valid"].status == "fail" and found["identity.mpn_verified"].status == "warn"
+    assert found["identity.mpn_verified"].points == 1
+    off = profile(spark, {}, feed_enabled=False)
+    assert {r.status for r in off if r.group == "feed"} == {"not_applicable"}
