@@ -182,7 +182,11 @@ def _full(entries: DataFrame, queries: DataFrame, rows: int) -> DataFrame:
 
 
 def exact_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """The true k nearest rows of a bounded number of ``queries`` (query_id, v), by blocks."""
+    """The true k nearest rows of a bounded number of ``queries`` (query_id, v), by blocks.
+
+    Unusable vectors, repeated rows, ties and copies count as in ``neighbours``; without vectors
+    there are no rows.
+    """
     entries = saved(_entries(_usable(vectors), k))
     first = entries.first()
     work = _full(entries, queries, entries.count())

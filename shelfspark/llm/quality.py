@@ -157,7 +157,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of ``docs`` that the model predicts as good, with all their columns."""
+    """Rows of ``docs`` that the model predicts as good, with all their columns.
+
+    Null and empty texts have the score of an empty text; a model without labels keeps all rows;
+    repeated rows and null ids are judged by their text; no rows give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
