@@ -199,49 +199,67 @@ def _gain(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def _neighbours(pairs: DataFrame, of: np.ndarray, classes: int, only_table: bool = False) -> DataFrame:
-    """unit, side, class, n: tokens of the classes to the right (side 0) and left (1) of every unit.
+def _listed(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, unit and tokens of all entries of two list columns, the first one being ``column``."""
+    others, n = batch.column(column), batch.column(column + 1)
+    rows = np.repeat(np.arange(batch.num_rows), np.asarray(others.value_lengths()))
+    return rows, np.asarray(others.flatten()), np.asarray(n.flatten())
 
-    Rows of unit -1 - c are the table: tokens of the classes after class c. A task adds up in
-    one array of units by classes, so the shuffle gets sums only.
+
+def _neighbours(pairs: DataFrame) -> DataFrame:
+    """unit, after, after_n, before, before_n: the units to the right and left of every unit, and their tokens.
+
+    One row per unit, with lists that the number of units bounds. A task puts its pairs into
+    lists first, so the shuffle groups few rows.
     """
-    shared = pairs.sparkSession.sparkContext.broadcast(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = shared.value
-        sums = np.zeros(0 if only_table else len(now) * 2 * classes)
-        table = np.zeros(classes * classes)
-
-        def added(left, right, n):
-            table[:] += np.bincount(now[left] * classes + now[right], weights=n, minlength=len(table))
-            if not only_table:
-                for side, unit, other in ((0, left, right), (1, right, left)):
-                    sums[:] += np.bincount((unit * 2 + side) * classes + now[other], weights=n, minlength=len(sums))
+        held: list[list[np.ndarray]] = []
+
+        def handed():
+            left, right, n = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            for side, unit, other in ((0, left, right), (1, right, left)):
+                order = np.argsort(unit, kind="stable")
+                at = np.flatnonzero(np.diff(unit[order], prepend=-1))
+                ends = pa.array(np.append(at, len(unit)).astype(np.int32))
+                yield pa.record_batch({
+                    "unit": pa.array(unit[order[at]]), "side": pa.array(np.full(len(at), side, dtype=np.int32)),
+                    "other": pa.ListArray.from_arrays(ends, pa.array(other[order])),
+                    "n": pa.ListArray.from_arrays(ends, pa.array(n[order]))})
 
-        held = []
         for batch in batches:
-            held.append([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)])
+            held.append([np.asarray(batch.column(i)) for i in range(3)])
             if sum(len(h[0]) for h in held) > HELD:
-                added(*(np.concatenate(c) for c in zip(*held)))
-                held = []
+                yield from handed()
         if held:
-            added(*(np.concatenate(c) for c in zip(*held)))
-        at, cell = np.flatnonzero(sums), np.flatnonzero(table)
-        yield pa.record_batch({
-            "unit": pa.array(np.concatenate([at // (2 * classes), -1 - cell // classes]).astype(np.int32)),
-            "side": pa.array(np.concatenate([at // classes % 2, 0 * cell]).astype(np.int32)),
-            "class": pa.array(np.concatenate([at % classes, cell % classes]).astype(np.int32)),
-            "n": pa.array(np.concatenate([sums[at], table[cell]]).astype(np.int64))})
+            yield from handed()
 
-    parts = pairs.select("left", "right", "n").mapInArrow(run, "unit int, side int, class int, n bigint")
-    return parts.groupBy("unit", "side", "class").agg(F.sum("n").alias("n"))
+    parts = pairs.select("left", "right", "n").mapInArrow(run, "unit int, side int, other array<int>, n array<bigint>")
+    # Lists of one group are collected row by row, so units and tokens keep one order.
+    of = lambda side, name: F.flatten(F.collect_list(F.when(F.col("side") == side, F.col(name))))
+    return parts.groupBy("unit").agg(
+        of(0, "other").alias("after"), of(0, "n").alias("after_n"), of(1, "other").alias("before"), of(1, "n").alias("before_n"))
 
 
-def _table(near: DataFrame, classes: int) -> np.ndarray:
+def _table(near: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
     """Counts of class after class over all training tokens."""
+    shared = near.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = shared.value, np.zeros(classes * classes)
+        for batch in batches:
+            rows, others, n = _listed(batch, 1)
+            sums += np.bincount(now[np.asarray(batch.column(0))][rows] * classes + now[others], weights=n, minlength=len(sums))
+        cell = np.flatnonzero(sums)
+        yield pa.record_batch({
+            "last": pa.array((cell // classes).astype(np.int32)), "class": pa.array((cell % classes).astype(np.int32)),
+            "n": pa.array(sums[cell].astype(np.int64))})
+
+    parts = near.select("unit", "after", "after_n").mapInArrow(run, "last int, class int, n bigint")
     out = np.zeros((classes, classes))
-    for r in near.where("unit < 0").collect():  # at most classes * classes rows
-        out[-1 - r.unit, r["class"]] = r.n
+    for r in parts.groupBy("last", "class").agg(F.sum("n").alias("n")).collect():  # at most classes * classes rows
+        out[r["last"], r["class"]] = r.n
     return out
 
 
@@ -251,13 +269,16 @@ def best_classes(units: np.ndarray, near: np.ndarray, of: np.ndarray, table: np.
     ``near`` holds each unit's counts as units by side by class; class 0 takes no unit.
     """
     out = np.empty(len(units), dtype=np.int64)
+    whole, at = _gain(np.maximum(table, 0)), np.arange(len(table))
     for i, unit in enumerate(units):
         after, before, own = near[i, 0], near[i, 1], of[unit]
         rest = table.copy()
         rest[own] -= after
         rest[:, own] -= before
         rest = np.maximum(rest, 0)
-        flat, at = _gain(rest), np.arange(len(table))
+        # Without the unit only its class's row and column change.
+        flat = whole.copy()
+        flat[own], flat[:, own] = _gain(rest[own]), _gain(rest[:, own])
         gain = (_gain(rest + after) - flat).sum(axis=1) + (_gain(rest + before[:, None]) - flat).sum(axis=0)
         # The class's own cell grows by both sides at once.
         inner = rest[at, at]
@@ -275,8 +296,9 @@ def exchange(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the units and the class transition counts, by rounds of the exchange.
 
-    Per round Spark sums each unit's neighbours by class and finds, unit by unit, the class
-    of the best gain; the driver holds one class per unit and the square table of classes.
+    Each unit's neighbours are brought together once; per round Spark sums them by class
+    and finds, unit by unit, the class of the best gain, without a shuffle of them. The
+    driver holds one class per unit and the square table of classes.
     The document's end has class 0 alone. Units of even and odd numbers take turns, so that
     neighbours do not swap forever; when both turns move less than a share of ``rare`` of
     the units, or after ``rounds`` turns, it ends.
@@ -284,33 +306,33 @@ def exchange(
     of = 1 + np.arange(size) % (classes - 1)
     of[LAST] = 0
     scratch, last = Scratch(pairs.sparkSession), size
+    near = scratch.save("near", _neighbours(pairs))
+    table = _table(near, of, classes)
     for turn in range(rounds):
-        near = scratch.save(f"near{turn}", _neighbours(pairs, of, classes))
-        shared = pairs.sparkSession.sparkContext.broadcast((of.copy(), _table(near, classes)))
+        shared = pairs.sparkSession.sparkContext.broadcast((of.copy(), table))
 
         def choose(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             now, base = shared.value
             for batch in batches:
                 units = np.asarray(batch.column(0))
-                near = np.zeros((len(units), 2, classes))
-                entries = batch.column(1)
-                row = np.repeat(np.arange(len(units)), np.asarray(entries.value_lengths()))
-                side, which, n = (np.asarray(entries.flatten().field(i)) for i in range(3))
-                near[row, side, which] = n
+                sums = np.empty((len(units), 2, classes))
+                for side in range(2):
+                    rows, others, n = _listed(batch, 1 + 2 * side)
+                    sums[:, side] = np.bincount(rows * classes + now[others], weights=n, minlength=len(units) * classes).reshape(-1, classes)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(best_classes(units, near, now, base), pa.int32())], names=["unit", "choice"])
+                    [batch.column(0), pa.array(best_classes(units, sums, now, base), pa.int32())], names=["unit", "choice"])
 
-        own = near.where(F.col("unit").between(0, size - 1) & (F.col("unit") % 2 == turn % 2) & (F.col("unit") != LAST)).groupBy(
-            "unit").agg(F.collect_list(F.struct("side", "class", "n")).alias("near"))
+        own = near.where((F.col("unit") % 2 == turn % 2) & (F.col("unit") != LAST))
         before = of.copy()
         for r in own.mapInArrow(choose, "unit int, choice int").collect():  # one row per unit, a bounded number
             of[r.unit] = r.choice
-        scratch.drop(f"near{turn}")
+        table = _table(near, of, classes)
         moved = int((of != before).sum())
         if moved + last < rare * size:
             break
         last = moved
-    return of, _table(_neighbours(pairs, of, classes, only_table=True), classes)
+    scratch.drop("near")
+    return of, table
 
 
 def fit(

@@ -107,6 +107,38 @@ def test_exchange_raises_the_likelihood(spark):
     assert scores[1] > scores[0]
 
 
+def test_rounds_share_one_table_of_neighbours(spark, monkeypatch):
+    """Neighbours are shuffled once, not in every round; classes and counts are those of plain sums."""
+    rng = np.random.default_rng(3)
+    size, classes, rounds = 30, 5, 6
+    counts = rng.integers(0, 9, size=(size, size)) * (rng.random((size, size)) < 0.4)
+    pairs = spark.createDataFrame(
+        [(a, b, int(counts[a, b])) for a in range(size) for b in range(size) if counts[a, b]], "left int, right int, n bigint").repartition(3)
+    written = []
+    save = B.Scratch.save
+    monkeypatch.setattr(B.Scratch, "save", lambda self, name, df: written.append(name) or save(self, name, df))
+    monkeypatch.setattr(B, "HELD", 20)
+    of, table = B.exchange(pairs, size, classes, rounds, rare=0)
+    assert written == ["near"]
+
+    def by_class(of):
+        out = np.zeros((classes, classes))
+        np.add.at(out, (of[:, None], of[None, :]), counts)
+        return out
+
+    want = 1 + np.arange(size) % (classes - 1)
+    want[B.LAST] = 0
+    for turn in range(rounds):
+        units = np.array([u for u in range(size) if u % 2 == turn % 2 and u != B.LAST])
+        near = np.zeros((len(units), 2, classes))
+        for i, u in enumerate(units):
+            np.add.at(near[i, 0], want, counts[u])
+            np.add.at(near[i, 1], want, counts[:, u])
+        moved = B.best_classes(units, near, want, by_class(want))
+        want[units] = moved
+    assert of.tolist() == want.tolist() and table.tolist() == by_class(want).tolist()
+
+
 def test_odd_documents(spark):
     docs = H.odd(spark)
     model, counts = B.fit(docs, units=4, endings=2, classes=4, rounds=1)
