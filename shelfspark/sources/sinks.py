@@ -34,8 +34,8 @@ def _flat(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[text(c) for c in columns])
 
 
-def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
-    _flat(df, columns).write.mode("errorifexists").option("header", True).option("quoteAll", False).option(
+def write_csv(df: DataFrame, path: str, columns: Sequence[str], compression: str = "none") -> None:
+    _flat(df, columns).write.mode("errorifexists").option("compression", compression).option("header", True).option("quoteAll", False).option(
         "escape", '"'
     ).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
@@ -71,10 +71,10 @@ def product_csv_rows(products: DataFrame, filters: DataFrame, template: Sequence
 
 
 def write_plan_artifacts(plan: DataFrame, totals: DataFrame, folder: str) -> None:
-    """Plan rows, blocked rows and a summary, each in its own folder."""
+    """Plan rows, blocked rows and a summary, each in its own folder, as gzip files: a plan has a row per model and field."""
     columns = ["model", "field", "current_value", "candidate_value", "classification", "reason", "approval_requirement"]
-    write_csv(plan, f"{folder}/products", columns)
-    write_csv(plan.where("classification = 'blocked'"), f"{folder}/blocked", columns)
+    write_csv(plan, f"{folder}/products", columns, "gzip")
+    write_csv(plan.where("classification = 'blocked'"), f"{folder}/blocked", columns, "gzip")
     totals.write.mode("errorifexists").json(f"{folder}/summary")
 
 
@@ -90,9 +90,9 @@ def write_filtered_catalog(catalog: DataFrame, excluded: DataFrame, path: str) -
 
 
 def write_transfer(entities: dict[str, DataFrame], folder: str) -> None:
-    """Registry URLs, runs and candidates as JSON lines, one folder per entity."""
+    """Registry URLs, runs and candidates as JSON lines in gzip files, one folder per entity."""
     for name, df in entities.items():
-        df.write.mode("errorifexists").json(f"{folder}/{name}")
+        df.write.mode("errorifexists").option("compression", "gzip").json(f"{folder}/{name}")
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
