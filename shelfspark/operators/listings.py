@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.functions.common import bind
 from shelfspark.functions.money import MONEY, landed_price, lenient_decimal, usable
 from shelfspark.functions.text import fold_case
 from shelfspark.operators.skew import exact_rank, first_row, top_rows
@@ -134,9 +135,9 @@ def _key_map(item: Column) -> Column:
             F.regexp_replace(F.lower(e["key"]), "[^a-z0-9]", "").alias("key"), e["value"].alias("value")
         ),
     )
-    names = F.transform(entries, lambda e: e["key"])
-    first = F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1)
-    return F.map_from_entries(first)
+    # Bound, or the names of all fields would be reduced again for every field.
+    return bind(entries, lambda es: bind(F.transform(es, lambda e: e["key"]), lambda names: F.map_from_entries(
+        F.filter(es, lambda e, i: F.array_position(names, e["key"]) == i + 1))))
 
 
 def _first_alias(fields: Column, aliases: Sequence[str]) -> Column:
@@ -153,80 +154,60 @@ def raw_listings(observations: DataFrame, raw: str = "raw_observation") -> DataF
     Looks at the payload itself, at every collection of listings it holds, one level
     further down as well, and at numbered fields such as ``store_2`` / ``price_2``.
     """
-    v = F.try_parse_json(F.col(raw))
+    # A payload is read once and a listing's field names are reduced once; the listings without a
+    # usable price go before they become rows.
+    listed = bind(F.try_parse_json(F.col(raw)), lambda v: F.filter(
+        F.transform(_named_items(v), lambda item, no: bind(_key_map(item), lambda f: _listing(f, no))),
+        lambda found: usable(found["price"]),
+    ))
+    found = observations.select("*", F.explode(listed).alias("_l"))
+    return found.withColumns({c: F.col(f"_l.{c}") for c in ("store", "price", "url", "listing_no", "landed")}).drop("_l")
+
+
+def _named_items(v: Column) -> Column:
+    """All objects of a payload that may be a listing, as maps of their fields."""
     kind = "array<map<string,string>>"
+    none = F.array().cast(kind)
     top = F.try_variant_get(v, "$", "map<string,variant>")
     nested = F.transform(
         F.coalesce(F.map_values(top), F.array()),
-        lambda child: F.flatten(
-            F.array(*[
-                F.coalesce(F.try_variant_get(child, f"$.{k}", kind), F.array().cast(kind))
-                for k in LISTING_COLLECTIONS
-            ])
-        ),
+        lambda child: F.flatten(F.array(*[F.coalesce(F.try_variant_get(child, f"$.{k}", kind), none) for k in LISTING_COLLECTIONS])),
     )
     collected = [F.try_variant_get(v, f"$.{k}", kind) for k in LISTING_COLLECTIONS]
-    own = F.array(F.try_variant_get(v, "$", "map<string,string>"))
-    items = F.concat(
-        *[
-            F.coalesce(c, F.array().cast(kind))
-            for c in (own, F.try_variant_get(v, "$", kind), *collected, F.flatten(nested))
-        ],
-    )
-    found = observations.select(
-        "*", F.posexplode(F.concat(F.filter(items, lambda m: m.isNotNull()), numbered_fields(v)))
-    )
-    fields = found.withColumn("_f", _key_map(F.col("col")))
-    price = lenient_decimal(_first_alias(F.col("_f"), PRICE_ALIASES)).cast(MONEY)
-    landed = landed_price(
-        price,
-        lenient_decimal(_first_alias(F.col("_f"), SHIPPING_ALIASES)),
-        lenient_decimal(_first_alias(F.col("_f"), LANDED_ALIASES)),
-    )
-    return (
-        fields.withColumns(
-            {
-                "store": _first_alias(F.col("_f"), STORE_ALIASES),
-                "price": price,
-                "url": _first_alias(F.col("_f"), URL_ALIASES),
-                "listing_no": F.col("pos"),
-            }
-        )
-        .withColumn("landed", landed)
-        .where(usable(F.col("price")))
-        .drop("pos", "col", "_f")
-    )
+    more = [F.coalesce(c, none) for c in (F.try_variant_get(v, "$", kind), *collected, F.flatten(nested))]
+    return bind(F.try_variant_get(v, "$", "map<string,string>"), lambda own: F.concat(
+        F.filter(F.concat(F.array(own), *more), lambda m: m.isNotNull()), numbered_fields(own)))
 
 
-def numbered_fields(v: Column) -> Column:
-    """``store_1, price_1, url_1, store_2 ...`` of a flat payload as one map per number."""
-    flat = F.try_variant_get(v, "$", "map<string,string>")
-    entries = F.filter(
-        F.map_entries(F.coalesce(flat, F.create_map().cast("map<string,string>"))),
-        lambda e: e["key"].rlike("(^|_)[0-9]+(_|$)"),
-    )
-    number = lambda e: F.regexp_extract(e["key"], "(?:^|_)([0-9]+)(?:_|$)", 1)
+def _listing(fields: Column, no: Column) -> Column:
+    """Store, price, address and landed price under the reduced names of one listing."""
+    money = lambda aliases: lenient_decimal(_first_alias(fields, aliases))
+    return bind(money(PRICE_ALIASES).cast(MONEY), lambda price: F.struct(
+        _first_alias(fields, STORE_ALIASES).alias("store"), price.alias("price"), _first_alias(fields, URL_ALIASES).alias("url"),
+        no.alias("listing_no"),
+        bind(F.struct(money(SHIPPING_ALIASES).alias("s"), money(LANDED_ALIASES).alias("l")), lambda m: landed_price(price, m["s"], m["l"])).alias("landed"),
+    ))
+
+
+def numbered_fields(flat: Column) -> Column:
+    """``store_1, price_1, url_1, store_2 ...`` of a flat payload's fields as one map per number."""
+    key = lambda e: F.lower(e["key"])
     role = lambda e: (
-        F.when(
-            F.lower(e["key"]).rlike("store|shop|merchant|seller")
-            & ~F.lower(e["key"]).rlike("price|url|link|href"),
-            "store",
-        )
-        .when(F.lower(e["key"]).rlike("price|amount"), "price")
-        .when(F.lower(e["key"]).rlike("url|link|href"), "url")
+        F.when(key(e).rlike("store|shop|merchant|seller") & ~key(e).rlike("price|url|link|href"), "store")
+        .when(key(e).rlike("price|amount"), "price")
+        .when(key(e).rlike("url|link|href"), "url")
     )
-    numbers = F.array_distinct(F.transform(entries, number))
-
-    def one(n: Column) -> Column:
-        mine = F.filter(entries, lambda e: (number(e) == n) & role(e).isNotNull())
-        last = lambda r: F.coalesce(
-            F.try_element_at(F.filter(mine, lambda e: role(e) == r), F.lit(-1))["value"], F.lit("")
-        )
-        return F.create_map(
-            F.lit("store"), last("store"), F.lit("price"), last("price"), F.lit("url"), last("url")
-        )
-
-    return F.transform(numbers, one)
+    number = lambda e: F.regexp_extract(e["key"], "(?:^|_)([0-9]+)(?:_|$)", 1)
+    named = F.transform(F.map_entries(flat), lambda e: F.struct(number(e).alias("no"), e["key"].alias("key"), e["value"].alias("value")))
+    numbered = F.transform(F.filter(named, lambda e: e["no"] != ""), lambda e: F.struct(e["no"].alias("no"), role(e).alias("role"), e["value"].alias("value")))
+    entries = F.coalesce(numbered, F.array().cast("array<struct<no:string,role:string,value:string>>"))
+
+    def one(mine: Column) -> Column:
+        last = lambda r: F.coalesce(F.try_element_at(F.filter(mine, lambda e: e["role"] == r), F.lit(-1))["value"], F.lit(""))
+        return F.create_map(F.lit("store"), last("store"), F.lit("price"), last("price"), F.lit("url"), last("url"))
+
+    return bind(entries, lambda es: F.transform(
+        F.array_distinct(F.transform(es, lambda e: e["no"])), lambda n: one(F.filter(es, lambda e: e["no"] == n))))
 
 
 def lowest_tier(tiers: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

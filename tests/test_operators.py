@@ -505,3 +505,11 @@ def test_artifact_profile_of_missing_and_switched_off_artifacts(spark):
     assert found["identity.mpn_verified"].points == 1
     off = profile(spark, {}, feed_enabled=False)
     assert {r.status for r in off if r.group == "feed"} == {"not_applicable"}
+
+
+def test_a_payload_is_read_once_and_its_listings_field_names_are_reduced_once(spark):
+    df = spark.createDataFrame([(1, '{"offers":[{"Shop Name":"a","final-price":"1,5 €"},{"price":"0"}],"store_2":"b","price_2":"2"}')], "id int, raw_observation string")
+    found = L.raw_listings(df)
+    assert rows(found, "id", "store", "listing_no") == [(1, "a", 1), (1, "b", 3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9]") == 1 and plan.lower().count("parsejson") <= 1
