@@ -513,3 +513,12 @@ def test_a_payload_is_read_once_and_its_listings_field_names_are_reduced_once(sp
     assert rows(found, "id", "store", "listing_no") == [(1, "a", 1), (1, "b", 3)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[^a-z0-9]") == 1 and plan.lower().count("parsejson") <= 1
+
+
+def test_lowest_tier_reads_each_source_once_and_drops_rows_without_a_key(spark):
+    at = lambda *data: spark.createDataFrame(list(data), "p int, run string, store string")
+    tiers = [at((1, "a", "x"), (None, "a", "n")), at((1, "a", "y"), (2, "a", "z"), (2, "a", "z"), (2, None, "n")), at((3, "a", "q"), (2, "b", None))]
+    found = L.lowest_tier(tiers, ["p", "run"])
+    assert found.columns == ["p", "run", "tier", "store"]
+    assert rows(found.fillna("-", ["store"]), "p", "run", "tier", "store") == [(1, "a", 0, "x"), (2, "a", 1, "z"), (2, "a", 1, "z"), (2, "b", 2, "-"), (3, "a", 2, "q")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3
