@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.categories import deepest_paths, stable_id
-from shelfspark.functions.common import bind, empty_texts
+from shelfspark.functions.common import bind, empty_texts, texts
 from shelfspark.functions.text import (
     label_key, match_key, normalize_spaces, null_dashes, trim_text, words,
 )
 from shelfspark.functions.values import value_alias_keys
 from shelfspark.operators.catalog import labels
 from shelfspark.operators.skew import first_row, last_row, top_rows
+from shelfspark.session import written
 
 # ---------------------------------------------------------------- fixed values
 FUZZY_SINGLE_WORDS = [
@@ -34,20 +35,11 @@ EVIDENCE_TIERS = {
 
 
 # ------------------------------------------------------------------- taxonomy
-def _soft_equal(a: Column, b: Column) -> Column:
-    """Equal words, one the start of the other, or six first letters in common."""
-    same_start = (F.length(a) >= 6) & (F.length(b) >= 6) & (F.substring(a, 1, 6) == F.substring(b, 1, 6))
-    return (a == b) | F.startswith(a, b) | F.startswith(b, a) | same_start
-
-
-def _soft_overlap(left: Column, right: Column) -> Column:
-    return F.size(F.filter(left, lambda a: F.exists(right, lambda b: _soft_equal(a, b))))
-
-
 def _soft_keys(tokens: Column, side: str) -> Column:
-    """Join keys so that any two softly equal words share one.
+    """Join keys that a path word and a name word share exactly when they are softly equal.
 
-    Six first letters meet six first letters; a word shorter than six meets the starts
+    Softly equal are equal words, one the start of the other, or six first letters in common:
+    six first letters meet six first letters; a word shorter than six meets the starts
     of longer words, from either side.
     """
     starts = lambda t: F.transform(
@@ -95,33 +87,68 @@ def _with_rare_word(paths: DataFrame) -> DataFrame:
     return paths.join(rare, "path", "left")
 
 
-def taxonomy_candidates(products: DataFrame, paths: DataFrame, rules: Sequence[dict] = ()) -> DataFrame:
+def _taxonomy_profiles(products: DataFrame, t: DataFrame, rule_words: Sequence[str]) -> DataFrame:
+    """Each product row with what the paths ``t`` can see of it, under the name ``_profile``.
+
+    That is the crumbs, words and crumb path that some path has too, the path words its name is
+    softly equal to, and the rule words in its evidence. All products of one profile score alike.
+    """
+    p = products.where("product_id IS NOT NULL").select(
+        "product_id",
+        F.filter(F.transform("breadcrumbs", match_key), lambda c: c != "").alias("crumbs"),
+        F.array_distinct(words(match_key(F.regexp_replace("url", "^[a-z]+://[^/]*", "")))).alias("url_words"),
+        F.array_distinct(words(match_key(F.col("name")))).alias("name_words"),
+        F.array_sort(F.array_intersect(
+            words(match_key(F.concat_ws(" ", "name", "url", "evidence"))), texts(*rule_words) if rule_words else empty_texts())).alias("evidence_words"),
+        match_key(F.array_join(F.slice("breadcrumbs", 2, 3), " > ")).alias("crumb_path"),
+    ).where("crumbs IS NOT NULL AND url_words IS NOT NULL AND name_words IS NOT NULL")
+    p = p.withColumn("crumb_words", F.transform("crumbs", words)).withColumn("_row", F.md5(F.to_json(F.struct("*"))))
+    tag = lambda name, arr: F.transform(arr, lambda x: F.concat(F.lit(name), x))
+    full = F.when((F.size("crumbs") >= 3) & (F.col("crumb_path") != ""), F.array("crumb_path")).otherwise(empty_texts())
+    asked = p.select("product_id", "_row", F.explode(F.array_distinct(F.concat(
+        tag("c:", F.col("crumbs")), tag("x:", F.flatten("crumb_words")), tag("u:", F.col("url_words")), tag("p:", full),
+        _soft_keys(F.col("name_words"), "name")))).alias("_key")).distinct()
+    own = lambda name, arr: F.transform(arr, lambda x: F.struct(F.concat(F.lit(name), x).alias("key"), F.lit(name).alias("kind"), x.alias("text")))
+    soft = F.flatten(F.transform(F.array_union("leaf_words", "sub_words"), lambda w: F.transform(
+        _soft_keys(F.array(w), "path"), lambda k: F.struct(k.alias("key"), F.lit("n:").alias("kind"), w.alias("text")))))
+    none = F.array().cast("array<struct<key:string,kind:string,text:string>>")
+    listed = F.concat(*[F.coalesce(c, none) for c in (
+        own("c:", F.array("parent_key", "leaf_key", "sub_key")), own("x:", F.col("sub_words")), own("u:", F.col("url_words")),
+        own("p:", F.array("path_key")), soft)])
+    known = t.select(F.explode(listed).alias("k")).select(F.col("k.key").alias("_key"), "k.kind", "k.text").distinct()
+    hits = asked.join(known, "_key").groupBy("product_id", "_row").agg(F.collect_set(F.struct("kind", "text")).alias("_hits"))
+    of = lambda kind: F.transform(F.filter("_hits", lambda h: h["kind"] == kind), lambda h: h["text"])
+    both = lambda arr, kind: F.array_sort(F.array_intersect(F.coalesce(arr, empty_texts()), of(kind)))
+    seen = p.join(hits, ["product_id", "_row"], "left").withColumn(
+        "_hits", F.coalesce("_hits", F.array().cast("array<struct<kind:string,text:string>>")))
+    profile = seen.select(
+        "product_id", both(F.col("crumbs"), "c:").alias("crumbs"), both(F.col("url_words"), "u:").alias("p_url_words"),
+        F.array_sort(of("n:")).alias("name_words"), "evidence_words", F.coalesce(F.get(of("p:"), F.lit(0)), F.lit("")).alias("crumb_path"),
+        bind(of("x:"), lambda x: F.array_sort(F.array_distinct(F.transform(
+            "crumb_words", lambda c: F.array_sort(F.array_intersect(c, x)))))).alias("crumb_words"),
+    )
+    return profile.withColumn("_profile", F.md5(F.to_json(F.struct(*profile.columns[1:]))))
+
+
+def taxonomy_candidates(products: DataFrame, paths: DataFrame, rules: Sequence[dict] = (), most: int | None = None) -> DataFrame:
     """Scored taxonomy paths of each product.
 
     ``products``: ``product_id, breadcrumbs, url, name, evidence`` (evidence is free text
     of the specs). Pairs meet on shared keys only: a crumb, a word of the address, or a
     name word that is softly equal to a path word. A path without any shared key scores 0.
+    Products in which the paths find the same words are scored once. ``most`` leaves the
+    best paths of each product row, by score and path.
 
     A rule is a dict of ``reason, points, path_word`` and ``words``: it applies when the
     path's keys contain the word and the product's evidence has one of the words.
     """
-    p = products.select(
-        "product_id",
-        F.filter(F.transform("breadcrumbs", match_key), lambda c: c != "").alias("crumbs"),
-        F.array_distinct(words(match_key(F.regexp_replace("url", "^[a-z]+://[^/]*", "")))).alias("url_words"),
-        F.array_distinct(words(match_key(F.col("name")))).alias("name_words"),
-        F.array_distinct(words(match_key(F.concat_ws(" ", "name", "url", "evidence")))).alias("evidence_words"),
-        match_key(F.array_join(F.slice("breadcrumbs", 2, 3), " > ")).alias("crumb_path"),
-    )
     t = _with_rare_word(prepare_paths(paths))
     tag = lambda name, arr: F.transform(arr, lambda x: F.concat(F.lit(name), x))
-    p = p.withColumn("crumb_words", F.transform("crumbs", words))
-    crumb_words = F.array_distinct(F.flatten("crumb_words"))
-    rule_words = sorted({w for r in rules for w in r["words"]})
+    rows = written(_taxonomy_profiles(products, t, sorted({w for r in rules for w in r["words"]})))
+    p = rows.drop("product_id").dropDuplicates(["_profile"])
     p_keys = F.concat(
-        tag("c:", F.col("crumbs")), tag("w:", crumb_words), tag("u:", F.col("url_words")),
-        _soft_keys(F.col("name_words"), "name"),
-        tag("r:", F.array_intersect("evidence_words", F.array(*[F.lit(w) for w in rule_words]) if rule_words else empty_texts())),
+        tag("c:", F.col("crumbs")), tag("w:", F.array_distinct(F.flatten("crumb_words"))), tag("u:", F.col("p_url_words")),
+        tag("n:", F.col("name_words")), tag("r:", F.col("evidence_words")),
     )
     path_rule_words = F.concat(
         *[
@@ -134,18 +161,17 @@ def taxonomy_candidates(products: DataFrame, paths: DataFrame, rules: Sequence[d
     t_keys = F.concat(
         tag("c:", F.filter(F.array("parent_key", "leaf_key", "sub_key"), lambda k: k != "")),
         tag("w:", F.filter(F.array("rare_word"), lambda w: w.isNotNull())), tag("u:", F.col("url_words")),
-        _soft_keys(F.array_union("leaf_words", "sub_words"), "path"),
-        tag("r:", F.array_distinct(path_rule_words)),
+        tag("n:", F.array_union("leaf_words", "sub_words")), tag("r:", F.array_distinct(path_rule_words)),
     )
     meet = (
-        p.select("product_id", F.explode(F.array_distinct(p_keys)).alias("_key"))
+        p.select("_profile", F.explode(F.array_distinct(p_keys)).alias("_key"))
         .join(t.select("path", F.explode(F.array_distinct(t_keys)).alias("_key")), "_key")
-        .select("product_id", "path")
+        .select("_profile", "path")
         .distinct()
     )
-    pairs = meet.join(p.withColumnRenamed("url_words", "p_url_words"), "product_id").join(t, "path")
+    pairs = meet.join(p, "_profile").join(t, "path")
     in_crumbs = lambda k: (F.col(k) != "") & F.array_contains("crumbs", F.col(k))
-    share = lambda w: _soft_overlap(F.col(w), F.col("name_words")) / F.greatest(F.size(w), F.lit(1))
+    share = lambda w: F.size(F.array_intersect(w, "name_words")) / F.greatest(F.size(w), F.lit(1))
     own_words = F.concat("leaf_words", "sub_words")
     # Features first, so that each is worked out once and then used twice.
     facts = {
@@ -153,7 +179,7 @@ def taxonomy_candidates(products: DataFrame, paths: DataFrame, rules: Sequence[d
         "_leaf": in_crumbs("leaf_key"),
         "_sub": in_crumbs("sub_key") | ((F.col("sub_key") != "") & F.exists(
             "crumb_words", lambda c: F.size(F.array_except("sub_words", c)) == 0)),
-        "_full": (F.size("crumbs") >= 3) & (F.col("crumb_path") != "") & (F.col("crumb_path") == F.col("path_key")),
+        "_full": (F.col("crumb_path") != "") & (F.col("crumb_path") == F.col("path_key")),
         "_shared": F.size(F.array_intersect("p_url_words", "url_words")),
         "_leaf_share": share("leaf_words"),
         "_sub_share": share("sub_words"),
@@ -175,11 +201,14 @@ def taxonomy_candidates(products: DataFrame, paths: DataFrame, rules: Sequence[d
     score = F.lit(0.0)
     for cond, points, _ in parts:
         score = score + F.when(cond, points).otherwise(F.lit(0.0))
-    return pairs.withColumns(facts).select(
-        "product_id", "path", "parent", "leaf", "sub",
+    scored = pairs.withColumns(facts).select(
+        "_profile", "path", "parent", "leaf", "sub",
         F.bround(score, 4).alias("confidence"),
         labels(*[(c, name) for c, _, name in parts]).alias("reasons"),
     )
+    if most:
+        scored = top_rows(scored, ["_profile"], [F.desc("confidence"), F.col("path")], most, "_place").drop("_place")
+    return rows.select("product_id", "_profile").join(scored, "_profile").drop("_profile")
 
 
 def resolve_taxonomy(products: DataFrame, candidates: DataFrame, strong_reasons: Sequence[str] = ()) -> DataFrame:

@@ -112,7 +112,7 @@ _TAX = f"""p AS (SELECT product_id, list_transform(breadcrumbs, lambda c: {mk('c
 )
 def _(v):
     # The best three paths per product; the task-side cut keeps the others out of the shuffle.
-    found = A.taxonomy_candidates(v.tax_products_v, v.paths_v, RULES).where("confidence > 0")
+    found = A.taxonomy_candidates(v.tax_products_v, v.paths_v, RULES, 3).where("confidence > 0")
     return A.top_rows(found, ["product_id"], [F.desc("confidence"), F.col("path")], 3).select(
         "product_id", "path", "confidence", "reasons"
     )
@@ -127,7 +127,7 @@ def _(v):
        SELECT product_id, CASE WHEN sure THEN path END AS path, confidence, CASE WHEN sure THEN reasons ELSE 'low_confidence' END AS reason FROM b""",
 )
 def _(v):
-    found = A.taxonomy_candidates(v.tax_products_v, v.paths_v, RULES)
+    found = A.taxonomy_candidates(v.tax_products_v, v.paths_v, RULES, 2)
     return A.resolve_taxonomy(v.tax_products_v, found, ["steam_evidence"])
 
 
@@ -137,7 +137,7 @@ def _(v):
        SELECT product_id, confidence, round(confidence - second, 4) AS lead FROM r WHERE rank = 1""",
 )
 def _(v):
-    found = A.taxonomy_candidates(v.tax_products_v, v.paths_v, RULES).where("confidence > 0")
+    found = A.taxonomy_candidates(v.tax_products_v, v.paths_v, RULES, 2).where("confidence > 0")
     top = A.top_rows(found, ["product_id"], [F.desc("confidence"), F.col("path")], 2)
     wide = top.groupBy("product_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("confidence"))).alias("confidence"),

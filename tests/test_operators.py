@@ -522,3 +522,20 @@ def test_lowest_tier_reads_each_source_once_and_drops_rows_without_a_key(spark):
     assert found.columns == ["p", "run", "tier", "store"]
     assert rows(found.fillna("-", ["store"]), "p", "run", "tier", "store") == [(1, "a", 0, "x"), (2, "a", 1, "z"), (2, "a", 1, "z"), (2, "b", 2, "-"), (3, "a", 2, "q")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3
+
+
+def test_products_in_which_the_paths_find_the_same_words_are_scored_once(spark):
+    paths = spark.createDataFrame(
+        [("Home > Washers > Slim", "Home", "Washers", "Slim", "https://x/home/washers"), ("Home > Kettles", "Home", "Kettles", None, "https://x/home/kettles")],
+        "path string, parent string, leaf string, sub string, url string")
+    data = [(i, ["Root", "Home", "Washers", "Slim"], f"https://s/home/{i}", f"washer number{i}", "none") for i in range(40)]
+    data += [(40, ["Root"], "https://s/q/1", "odd", ""), (None, ["Home"], "https://s/home", "washer", ""), (41, None, "https://s/home", "washer", "")]
+    products = spark.createDataFrame(data + data[:1], "product_id int, breadcrumbs array<string>, url string, name string, evidence string")
+    t = A._with_rare_word(A.prepare_paths(paths))
+    seen = A._taxonomy_profiles(products, t, [])
+    assert seen.where("product_id < 40").select("_profile").distinct().count() == 1
+    found = A.taxonomy_candidates(products, paths)
+    best = A.taxonomy_candidates(products, paths, most=1)
+    assert rows(found.where("product_id < 2"), "product_id", "path", "confidence") == sorted(
+        [(i, "Home > Washers > Slim", 18.0) for i in (0, 0, 1)] + [(i, "Home > Kettles", 3.5) for i in (0, 0, 1)])
+    assert rows(best, "product_id", "path") == sorted([(i, "Home > Washers > Slim") for i in (*range(40), 0)])
